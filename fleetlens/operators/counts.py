@@ -70,7 +70,7 @@ def potential_counts(pu: DataFrame, container: DataFrame, axes: Sequence[str] =
 def placement_snapshot(
     pu: DataFrame, container: DataFrame, facts: DataFrame, by_partition: bool = False, axes: Sequence[str] = AXES
 ) -> DataFrame:
-    """Zero-filled counts: every key a PU may use or already uses, with total, primary and backup instances.
+    """Zero-filled counts: every key a PU may use, plus those it uses, with total, primary and backup instances.
 
     ``partition_id`` is null on the rows of the whole PU; ``by_partition`` adds the rows of each partition.
     """
@@ -86,11 +86,7 @@ def placement_snapshot(
         # the zero rows of each partition are part of the result, so keys meet partitions by PU here and only here
         parts = held.where(F.col("scope") != WHOLE).withColumnRenamed("scope", "partition_id")
         partitions = parts.select("pu", "partition_id").distinct()
-        per_part = (
-            filled.select("pu", "axis", "key", "potential")
-            .join(partitions, "pu")
-            .join(parts, ["pu", "partition_id", "axis", "key"], "left")
-        )
+        per_part = potential.join(partitions, "pu").join(parts, ["pu", "partition_id", "axis", "key"], "full")
         result = result.unionByName(per_part.select(*shape, *zero))
     return result
 
@@ -110,7 +106,11 @@ def retain_zones(counts: DataFrame, zones: Sequence[str]) -> DataFrame:
 
 
 def by_role(counts: DataFrame) -> DataFrame:
-    """One row per role: columns ``role`` and ``n`` in place of the three count columns."""
+    """One row per role: columns ``role`` and ``n`` in place of the three count columns.
+
+    A key that is not eligible appears only in the roles that occupy it.
+    """
     pairs = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).cast("bigint").alias("n")) for r in ROLES])
     kept = [c for c in counts.columns if c not in ROLES]
-    return counts.select(*kept, F.explode(pairs).alias("_pair")).select(*kept, "_pair.*")
+    rows = counts.select(*kept, F.explode(pairs).alias("_pair")).select(*kept, "_pair.*")
+    return rows.where("potential > 0 OR n > 0")

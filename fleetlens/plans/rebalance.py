@@ -2,9 +2,9 @@
 
 A check is (PU, scope, role, lane). Scope is a partition or the whole PU. Lanes are
 the zone groups in order, then machine, then container. A check compares the
-lowest and highest count over all keys the PU may use or already uses, so most keys
-have count zero. Those zero rows are never built: the minimum is zero as soon as a
-check has fewer occupied keys than keys, and the smallest unoccupied key is found
+lowest and highest count over all keys the PU may use plus those it occupies, so most
+keys have count zero. Those zero rows are never built: the minimum is zero as soon as a
+check occupies fewer eligible keys than there are, and the smallest unoccupied key is found
 from the occupied ones (it is the first key of the lane, or follows an occupied key).
 The work grows with occupied keys instead of PUs x partitions x keys.
 """
@@ -45,13 +45,12 @@ def validated_zone_group(zones: Column) -> Column:
 
 def _lane_keys(groups: Sequence[Sequence[str]]) -> Column:
     """Array of (lane, key) of a container row; the lane number is its place in the cascade."""
-    parts = [
-        F.transform(
-            F.array_intersect(zone_set("zones"), F.array(*[F.lit(z) for z in group]).cast("array<string>")),
-            lambda z, lane=lane: F.struct(F.lit(lane).alias("lane"), z.alias("key")),
-        )
-        for lane, group in enumerate(groups)
-    ]
+
+    def zone_lane(lane: int, group: Sequence[str]) -> Column:
+        inside = F.array_intersect(zone_set("zones"), F.array(*[F.lit(z) for z in group]).cast("array<string>"))
+        return F.transform(inside, lambda z: F.struct(F.lit(lane).alias("lane"), z.alias("key")))
+
+    parts = [zone_lane(lane, group) for lane, group in enumerate(groups)]
     for lane, column in enumerate(("host", "container_id"), len(groups)):
         key = F.col(column).cast("string").alias("key")
         parts.append(F.array(F.struct(F.lit(lane).alias("lane"), key)))
@@ -64,56 +63,53 @@ def _axis(lane: Column, groups: Sequence) -> Column:
 
 
 def _nonzero(held: DataFrame) -> DataFrame:
-    """Occupied keys per check: (pu, scope, role, lane, key, n) with n > 0."""
+    """Occupied keys per check: (pu, scope, role, lane, key, offered, n) with n > 0."""
     pairs = F.array(*[
         F.struct(F.lit(i).alias("role"), F.col(r).cast("bigint").alias("n")) for i, r in enumerate(ROLES)
     ])
+    kept = ["pu", "scope", "lane", "key", "offered"]
     return (
-        held.select("pu", "scope", "lane", "key", F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("_pair"))
-        .select("pu", "scope", "_pair.role", "lane", "key", "_pair.n")
+        held.select(*kept, F.explode(F.filter(pairs, lambda p: p["n"] > 0)).alias("_pair"))
+        .select(*kept, "_pair.role", "_pair.n")
     )
 
 
 class _Keys:
-    """Ordered key lists. Each PU owns two: its requirement set's eligible keys and its own extra keys.
+    """Ordered eligible keys per requirement set and lane; PUs with the same requirements share a list."""
 
-    Extra keys are occupied but not eligible. ``owners`` maps a PU to both lists.
-    """
-
-    def __init__(self, pu: DataFrame, container: DataFrame, held: DataFrame, groups: Sequence) -> None:
-        set_owner = F.concat(F.lit("set:"), F.array_join("required_zones", "\x01"))
-        pu_owner = F.concat(F.lit("pu:"), F.col("pu"))
-        sets = requirement(pu).select("pu", set_owner.alias("owner"))
+    def __init__(self, pu: DataFrame, container: DataFrame, groups: Sequence) -> None:
+        owner = F.array_join("required_zones", "\x01").alias("owner")
+        self.owners = requirement(pu).select("pu", owner)
         eligible = (
             eligible_containers(pu, container)
-            .select(set_owner.alias("owner"), F.explode(_lane_keys(groups)).alias("_key"))
+            .select(owner, F.explode(_lane_keys(groups)).alias("_key"))
             .select("owner", "_key.lane", "_key.key")
             .distinct()
         )
-        extra = (
-            held.where(F.col("scope") == WHOLE)
-            .select("pu", "lane", "key")
-            .join(sets, "pu")
-            .join(eligible, ["owner", "lane", "key"], "left_anti")
-            .select(pu_owner.alias("owner"), "lane", "key")
+        self.ordered = written(with_ordinal(eligible, ["owner", "lane", "key"]))
+        following = self.ordered.select(
+            "owner", "lane", (F.col("ordinal") - 1).alias("ordinal"), F.col("key").alias("next")
         )
-        self.owners = sets.unionByName(pu.select("pu", pu_owner.alias("owner")))
-        ordered = with_ordinal(eligible.unionByName(extra), ["owner", "lane", "key"])
-        following = ordered.select("owner", "lane", (F.col("ordinal") - 1).alias("ordinal"), F.col("key").alias("next"))
-        # rows without a following key in the same list drop out
-        self.links = ordered.join(following, ["owner", "lane", "ordinal"]).select("owner", "lane", "key", "next")
-        self.heads = ordered.groupBy("owner", "lane").agg(F.count("*").alias("n_keys"), F.min("key").alias("first"))
+        # the last key of a list has no following key and drops out
+        self.links = self.ordered.join(following, ["owner", "lane", "ordinal"]).select("owner", "lane", "key", "next")
+        self.heads = self.ordered.groupBy("owner", "lane").agg(F.count("*").alias("n_keys"), F.min("key").alias("first"))
 
     def per_pu(self) -> DataFrame:
-        """Keys per PU and lane."""
+        """Number of eligible keys and first eligible key per PU and lane."""
+        return self.owners.join(self.heads, "owner").select("pu", "lane", "n_keys", "first")
+
+    def flagged(self, held: DataFrame) -> DataFrame:
+        """``offered`` tells whether an occupied key is eligible too; other occupied keys never count as zero."""
+        offered = self.ordered.select("owner", "lane", "key", F.lit(True).alias("offered"))
         return (
-            self.owners.join(self.heads, "owner")
-            .groupBy("pu", "lane")
-            .agg(F.sum("n_keys").alias("n_keys"), F.min("first").alias("first"))
+            held.join(self.owners, "pu")
+            .join(offered, ["owner", "lane", "key"], "left")
+            .withColumn("offered", F.coalesce("offered", F.lit(False)))
+            .drop("owner")
         )
 
     def smallest_free(self, checks: DataFrame, taken: DataFrame) -> DataFrame:
-        """Smallest key without instances, for checks that have one; ``taken`` holds their occupied keys."""
+        """Smallest eligible key without instances; ``taken`` holds the occupied keys of the checks."""
         firsts = checks.select(*_CHECK).join(self.owners, "pu").join(self.heads, ["owner", "lane"])
         nexts = taken.select(*_CHECK, "key").join(self.owners, "pu").join(self.links, ["owner", "lane", "key"])
         candidates = firsts.select(*_CHECK, F.col("first").alias("key")).unionByName(
@@ -135,10 +131,15 @@ def _first_failed(held: DataFrame, per_pu: DataFrame, lanes: int) -> DataFrame:
     up later for the chosen checks. A check whose counts are all zero is balanced, so
     occupied checks are enough.
     """
-    bounds = held.groupBy("pu", "scope", "lane").agg(*[
-        f(F.when(F.col(r) > 0, F.col(r))).alias(f"{name}_{r}")
-        for r in ROLES for name, f in (("taken", F.count), ("low", F.min), ("max", F.max))
-    ]).join(per_pu.select("pu", "lane", "n_keys"), ["pu", "lane"])
+    measures = []
+    for r in ROLES:
+        positive = F.when(F.col(r) > 0, F.col(r))
+        measures += [
+            F.count_if((F.col(r) > 0) & F.col("offered")).alias(f"taken_{r}"),
+            F.min(positive).alias(f"low_{r}"), F.max(positive).alias(f"max_{r}"),
+        ]
+    sizes = per_pu.select("pu", "lane", "n_keys")
+    bounds = held.groupBy("pu", "scope", "lane").agg(*measures).join(sizes, ["pu", "lane"], "left").fillna(0, ["n_keys"])
     failed = []
     for role, r in enumerate(ROLES):
         low = F.when(F.col(f"taken_{r}") < F.col("n_keys"), F.lit(0)).otherwise(F.col(f"low_{r}"))
@@ -150,12 +151,12 @@ def _first_failed(held: DataFrame, per_pu: DataFrame, lanes: int) -> DataFrame:
         F.expr(f"cast((place div {lanes}) % {len(ROLES)} as int)").alias("role"),
         F.expr(f"cast(place % {lanes} as int)").alias("lane"),
     )
-    return chosen.join(per_pu.select("pu", "lane", "n_keys"), ["pu", "lane"])
+    return chosen.join(sizes, ["pu", "lane"], "left").fillna(0, ["n_keys"])
 
 
 def _occupied_stats(nonzero: DataFrame, *extra: str) -> DataFrame:
     return nonzero.groupBy(*_CHECK, *extra).agg(
-        F.count("*").alias("n_taken"),
+        F.count_if("offered").alias("n_taken"),
         F.min("n").alias("low"),
         F.max("n").alias("max"),
         F.min_by("key", F.struct("n", "key")).alias("low_key"),
@@ -191,13 +192,14 @@ def rebalance_checks(
     pu: DataFrame, container: DataFrame, facts: DataFrame, groups: Sequence[Sequence[str]] = ()
 ) -> DataFrame:
     """Every check of the cascade with its bounds, their smallest keys and its verdict."""
-    held = written(_held(container, slot_counts(facts), groups))
+    keys = _Keys(pu, container, groups)
+    held = written(keys.flagged(_held(container, slot_counts(facts), groups)))
     nonzero = _nonzero(held)
-    keys = _Keys(pu, container, held, groups)
     roles = F.explode(F.array(*[F.lit(i) for i in range(len(ROLES))]))
-    # a PU has a fixed few roles and lanes, so this adds a fixed factor to its partitions
+    # a PU has a fixed few roles and lanes, so this adds a fixed factor to its partitions;
+    # occupied checks without any eligible key come in from the other side
     every = held.select("pu", "scope").distinct().withColumn("role", roles).join(keys.per_pu(), "pu")
-    stats = every.join(_occupied_stats(nonzero), _CHECK, "left").withColumn("n_taken", F.coalesce("n_taken", F.lit(0)))
+    stats = every.join(_occupied_stats(nonzero), _CHECK, "full").fillna(0, ["n_taken", "n_keys"])
     full = _with_min_key(_minimum(stats), nonzero, keys)
     high = F.coalesce("max", F.lit(0))
     return full.select(
@@ -222,8 +224,8 @@ def rebalance_step(
     # the scan of the instances is the costly part: its counts are written once, loads and candidates use them too
     all_slots = written(slot_counts(facts))
     slots = all_slots if pus is None else all_slots.join(pus, "pu", "left_semi")
-    held = written(_held(container, slots, groups))
-    keys = _Keys(wanted, container, held, groups)
+    keys = _Keys(wanted, container, groups)
+    held = written(keys.flagged(_held(container, slots, groups)))
 
     # one small row per PU; written once because four joins below read it
     first = _first_failed(held, keys.per_pu(), len(groups) + 2)
@@ -231,7 +233,7 @@ def rebalance_step(
         held.join(first, ["pu", "scope", "lane"])
         .withColumn("n", F.element_at(F.array(*[F.col(r).cast("bigint") for r in ROLES]), F.col("role") + 1))
         .where("n > 0")
-        .select(*_CHECK, "n_keys", "key", "n")
+        .select(*_CHECK, "n_keys", "key", "offered", "n")
     )
     stats = _minimum(_occupied_stats(taken, "n_keys"))
     chosen = written(_with_min_key(stats, taken, keys).withColumn("axis", _axis(F.col("lane"), groups)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +27,8 @@ DEFAULT_XPATH = "/process/script/environment"
 def read_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """Whole files below ``folder`` whose name matches: (directory, file_name, text)."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .text(folder)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(folder, wholetext=True)
     )
     return files.select(
         F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]*$", 1).alias("directory"),
@@ -43,12 +41,13 @@ def read_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def unknown_fields(text: Column) -> Column:
     """Field paths a descriptor must not have."""
-    found = []
-    for path, known in DESCRIPTOR_FIELDS.items():
+
+    def extra_at(path: str, known: tuple[str, ...]) -> Column:
         keys = F.json_object_keys(text if path == "$" else F.get_json_object(text, path))
         extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
-        found.append(F.transform(extra, lambda k, path=path: F.concat(F.lit(path + "."), k)))
-    return reduce(lambda a, b: F.concat(a, b), found)
+        return F.transform(extra, lambda k: F.concat(F.lit(path + "."), k))
+
+    return F.concat(*[extra_at(path, known) for path, known in DESCRIPTOR_FIELDS.items()])
 
 
 def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
@@ -63,7 +62,8 @@ def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True)
         F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))
     )
     if strict:
-        problem = F.when(problem.isNotNull(), F.raise_error(problem).cast("string"))
+        message = F.concat(problem, F.lit(" in "), json)
+        problem = F.when(problem.isNotNull(), F.raise_error(message).cast("string"))
     properties = F.map_entries(F.try_variant_get(whole, "$.contextProperties", "map<string,variant>"))
     context = F.transform(properties, lambda e: F.struct(
         e["key"].alias("key"),
