@@ -6,7 +6,7 @@ stream emits a window once the watermark has passed its end.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.balance import min_max
@@ -15,18 +15,34 @@ from ..operators.balance import min_max
 DISCOVERY_ATTEMPTS = 10
 
 
-def _late_by(df: DataFrame, delay: str | None) -> DataFrame:
-    return df if delay is None else df.withWatermark("ts", delay)
+def _micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-free timestamp, whatever the session time zone is."""
+    since = ts - F.lit("1970-01-01").cast("timestamp_ntz")
+    day, hour, minute, second = (F.extract(F.lit(u), since) for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
+    whole = day.cast("bigint") * 86400 + hour * 3600 + minute * 60
+    return (whole * 1_000_000 + second * 1_000_000).cast("bigint")
+
+
+def _zone_free(instant: Column) -> Column:
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def _windowed(df: DataFrame, window: str, delay: str | None, keys: list[str], *measures: Column) -> DataFrame:
+    """Measures per window and keys. A watermark needs an instant, so zone-free input is read as UTC there."""
+    if delay is None:
+        start, end = F.col("w.start"), F.col("w.end")
+    else:
+        df = df.withColumn("ts", F.timestamp_micros(_micros(F.col("ts")))).withWatermark("ts", delay)
+        start, end = _zone_free(F.col("w.start")), _zone_free(F.col("w.end"))
+    counted = df.groupBy(F.window("ts", window).alias("w"), *keys).agg(*measures)
+    kept = [c for c in counted.columns if c != "w"]
+    return counted.select(start.alias("window_start"), end.alias("window_end"), *kept)
 
 
 def key_counts(observations: DataFrame, window: str, delay: str | None = None) -> DataFrame:
     """Observations (ts, pu, key) counted per window, PU and key; the state holds one row per key and window."""
-    return (
-        _late_by(observations, delay)
-        .groupBy(F.window("ts", window).alias("w"), "pu", "key")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "pu", "key", "n")
-    )
+    return _windowed(observations, window, delay, ["pu", "key"], F.count("*").alias("n"))
 
 
 def imbalance(counts: DataFrame) -> DataFrame:
@@ -36,26 +52,18 @@ def imbalance(counts: DataFrame) -> DataFrame:
 
 def manager_presence(heartbeats: DataFrame, window: str, delay: str | None = None) -> DataFrame:
     """Probes (ts, is_manager) per window; ``alert`` marks a window in which no manager answered."""
-    return (
-        _late_by(heartbeats, delay)
-        .groupBy(F.window("ts", window).alias("w"))
-        .agg(F.count("*").alias("probes"), F.count_if("is_manager").alias("managers"))
-        .select(
-            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "probes", "managers",
-            (F.col("managers") == 0).alias("alert"),
-        )
-    )
+    measures = (F.count("*").alias("probes"), F.count_if("is_manager").alias("managers"))
+    return _windowed(heartbeats, window, delay, [], *measures).withColumn("alert", F.col("managers") == 0)
 
 
 def discovery_outcome(presence: DataFrame, attempts: int = DISCOVERY_ATTEMPTS) -> DataFrame:
     """One row: the probe window in which managers were first seen, FOUND when within the allowed attempts."""
-    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
     ends = presence.agg(
         F.min("window_start").alias("first"),
         F.min(F.when(F.col("managers") > 0, F.col("window_start"))).alias("seen"),
-        F.min(seconds(F.col("window_end")) - seconds(F.col("window_start"))).alias("width"),
+        F.min(_micros(F.col("window_end")) - _micros(F.col("window_start"))).alias("width"),
     )
-    attempt = ((seconds(F.col("seen")) - seconds(F.col("first"))) / F.col("width") + 1).cast("bigint")
+    attempt = ((_micros(F.col("seen")) - _micros(F.col("first"))) / F.col("width") + 1).cast("bigint")
     return ends.select(
         attempt.alias("attempt"),
         F.when(attempt <= attempts, "FOUND").otherwise("NOT_FOUND").alias("status"),
