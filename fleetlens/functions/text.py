@@ -54,26 +54,25 @@ _DURATION = (
 
 def duration_micros(text: Column) -> Column:
     """Microseconds of an ISO-8601 duration; null stays null, any other text that is not one is an error."""
-
-    def part(index: int) -> Column:
-        found = F.regexp_extract(text, _DURATION, index)
-        return F.when(found == "", F.lit("0")).otherwise(found)
-
-    whole = part(6).cast("bigint")
-    fraction = F.rpad(part(7), 6, "0").cast("bigint")
-    signed_fraction = F.when(F.startswith(part(6), F.lit("-")), -fraction).otherwise(fraction)
-    seconds = part(2).cast("bigint") * 86400 + part(4).cast("bigint") * 3600 + part(5).cast("bigint") * 60 + whole
-    micros = seconds * 1_000_000 + signed_fraction
-    given = [F.regexp_extract(text, _DURATION, i) != "" for i in (2, 4, 5, 6)]
-    # "P" alone and a T with nothing after it are not durations
-    valid = (
-        text.rlike(_DURATION)
-        & (given[0] | given[1] | given[2] | given[3])
-        & (F.lower(F.regexp_extract(text, _DURATION, 3)) != "t")
-    )
-    parsed = F.when(F.regexp_extract(text, _DURATION, 1) == "-", -micros).otherwise(micros)
+    # one pass of the pattern: sign, days, hours, minutes, seconds, fraction, time part
+    pieces = F.regexp_replace(text, _DURATION, "$1\x01$2\x01$4\x01$5\x01$6\x01$7\x01$3")
     failure = F.raise_error(F.concat(F.lit("not an ISO-8601 duration: "), text)).cast("bigint")
-    return F.when(text.isNull(), F.lit(None).cast("bigint")).when(valid, parsed).otherwise(failure)
+
+    def value(p: Column) -> Column:
+        def number(index: int) -> Column:
+            return F.when(p[index] == "", F.lit("0")).otherwise(p[index]).cast("bigint")
+
+        fraction = F.rpad(p[5], 6, "0").cast("bigint")
+        seconds = number(1) * 86400 + number(2) * 3600 + number(3) * 60 + number(4)
+        micros = seconds * 1_000_000 + F.when(F.startswith(p[4], F.lit("-")), -fraction).otherwise(fraction)
+        # "P" alone and a T with nothing after it are not durations
+        given = F.concat(p[1], p[2], p[3], p[4]) != ""
+        valid = (F.size(p) == 7) & given & (F.lower(p[6]) != "t")
+        return F.when(valid, F.when(p[0] == "-", -micros).otherwise(micros)).otherwise(failure)
+
+    # a text the pattern does not match comes back unchanged
+    matched = F.when(pieces != text, F.split(pieces, "\x01")).otherwise(F.array(text))
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(matched), value), F.lit(0)))
 
 
 def parse_duration(text: Column) -> Column:

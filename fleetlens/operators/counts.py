@@ -36,16 +36,15 @@ def slot_counts(facts: DataFrame) -> DataFrame:
     )
 
 
-def occupied(slots: DataFrame, keyed: DataFrame, key_columns: Sequence[str]) -> DataFrame:
-    """Counts per PU, scope and key; ``keyed`` gives each container its array ``keys`` of key structs.
+def occupied(
+    slots: DataFrame, keyed: DataFrame, key_columns: Sequence[str], on: Sequence[str] = ("container_id",)
+) -> DataFrame:
+    """Counts per PU, scope and key; ``keyed`` has a row per container and key.
 
-    Instances were reduced to slots first, so the join and the explode see one row
-    per (PU, partition, container). Each partition and the whole PU come out of the
-    same shuffle.
+    Instances were reduced to slots first, so the join sees one row per (PU, partition,
+    container). Each partition and the whole PU come out of the same shuffle.
     """
-    rows = slots.join(keyed, "container_id").select(
-        "pu", "partition_id", *ROLES, F.explode("keys").alias("_key")
-    ).select("pu", "partition_id", *ROLES, "_key.*")
+    rows = slots.join(keyed, list(on)).select("pu", "partition_id", *ROLES, *key_columns)
     columns = ["pu", *key_columns]
     scope = F.when(F.grouping("partition_id") == 1, F.lit(WHOLE)).otherwise(F.col("partition_id").cast("bigint"))
     summed = rows.groupingSets(
@@ -74,7 +73,7 @@ def placement_snapshot(
 
     ``partition_id`` is null on the rows of the whole PU; ``by_partition`` adds the rows of each partition.
     """
-    keyed = container.select("container_id", axis_keys(axes).alias("keys"))
+    keyed = container.select("container_id", F.explode(axis_keys(axes)).alias("_key")).select("container_id", "_key.*")
     held = occupied(slot_counts(facts), keyed, ["axis", "key"])
     whole = held.where(F.col("scope") == WHOLE).drop("scope")
     potential = potential_counts(pu, container, axes)

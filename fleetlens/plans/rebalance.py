@@ -98,15 +98,25 @@ class _Keys:
         """Number of eligible keys and first eligible key per PU and lane."""
         return self.owners.join(self.heads, "owner").select("pu", "lane", "n_keys", "first")
 
-    def flagged(self, held: DataFrame) -> DataFrame:
-        """``offered`` tells whether an occupied key is eligible too; other occupied keys never count as zero."""
+    def held(self, container: DataFrame, slots: DataFrame, groups: Sequence) -> DataFrame:
+        """Counts per PU, scope, lane and occupied key.
+
+        ``offered`` tells whether the key is eligible too; other occupied keys never count as
+        zero. It is settled per requirement set and container, so the large side is joined on
+        that pair and never on a zone name, which a third of all rows may share.
+        """
+        owned = slots.join(self.owners, "pu")
+        lane_keys = container.select("container_id", F.explode(_lane_keys(groups)).alias("_key")).select(
+            "container_id", "_key.*"
+        )
         offered = self.ordered.select("owner", "lane", "key", F.lit(True).alias("offered"))
-        return (
-            held.join(self.owners, "pu")
+        keyed = (
+            owned.select("owner", "container_id").distinct()
+            .join(lane_keys, "container_id")
             .join(offered, ["owner", "lane", "key"], "left")
             .withColumn("offered", F.coalesce("offered", F.lit(False)))
-            .drop("owner")
         )
+        return occupied(owned, keyed, ["lane", "key", "offered"], ["owner", "container_id"])
 
     def smallest_free(self, checks: DataFrame, taken: DataFrame) -> DataFrame:
         """Smallest eligible key without instances; ``taken`` holds the occupied keys of the checks."""
@@ -119,11 +129,6 @@ class _Keys:
         return free.groupBy(*_CHECK).agg(F.min("key").alias("free_key"))
 
 
-def _held(container: DataFrame, slots: DataFrame, groups: Sequence) -> DataFrame:
-    keyed = container.select("container_id", _lane_keys(groups).alias("keys"))
-    return occupied(slots, keyed, ["lane", "key"])
-
-
 def _first_failed(held: DataFrame, per_pu: DataFrame, lanes: int) -> DataFrame:
     """First failed check of each PU: (pu, scope, role, lane, n_keys).
 
@@ -193,7 +198,7 @@ def rebalance_checks(
 ) -> DataFrame:
     """Every check of the cascade with its bounds, their smallest keys and its verdict."""
     keys = _Keys(pu, container, groups)
-    held = written(keys.flagged(_held(container, slot_counts(facts), groups)))
+    held = written(keys.held(container, written(slot_counts(facts)), groups))
     nonzero = _nonzero(held)
     roles = F.explode(F.array(*[F.lit(i) for i in range(len(ROLES))]))
     # a PU has a fixed few roles and lanes, so this adds a fixed factor to its partitions;
@@ -225,7 +230,7 @@ def rebalance_step(
     all_slots = written(slot_counts(facts))
     slots = all_slots if pus is None else all_slots.join(pus, "pu", "left_semi")
     keys = _Keys(wanted, container, groups)
-    held = written(keys.flagged(_held(container, slots, groups)))
+    held = written(keys.held(container, slots, groups))
 
     # one small row per PU; written once because four joins below read it
     first = _first_failed(held, keys.per_pu(), len(groups) + 2)

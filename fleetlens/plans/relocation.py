@@ -13,24 +13,27 @@ from ..operators.placement import best_two, choose, container_load, eligible_con
 NO_TARGET = "no container meets the requirements"
 
 
+def _choices_per_pu(pu: DataFrame, choices: DataFrame) -> DataFrame:
+    return requirement(pu).select("pu", "required_zones").join(choices, "required_zones").drop("required_zones")
+
+
 def relocation_targets(
     pu: DataFrame, container: DataFrame, facts: DataFrame, same: str | None = None
 ) -> DataFrame:
     """Best other container for each instance; ``same`` names a container column the target must share.
 
-    The choice per requirement set is two rows, so instances only meet small lookup
-    tables: PU to requirement set, requirement set to choices, container to load.
+    Choices are made per requirement set and handed to the PUs first: there are so few
+    sets that joining instances on them would fill only a handful of tasks.
     ``origin_empty`` tells that nothing is left in the old container after the move.
     """
     loaded = container_load(container, facts)
     within = [same] if same else []
-    choices = best_two(eligible_containers(pu, loaded), within)
+    choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded), within))
     origin = loaded.select("container_id", "n_container", *within)
     target = choose(F.col("first_id"), F.col("second_id"), F.col("container_id"))
     return (
-        facts.join(requirement(pu).select("pu", "required_zones"), "pu")
-        .join(origin, "container_id")
-        .join(choices, ["required_zones", *within], "left")
+        facts.join(origin, "container_id")
+        .join(choices, ["pu", *within], "left")
         .select(
             "instance_id", "pu", "container_id", target.alias("target_id"),
             (F.col("n_container") - 1 == 0).alias("origin_empty"),
@@ -56,12 +59,11 @@ def host_drain(
     )
     loaded = container_load(container, facts)
     leaving = loaded.where(named).select("container_id", "host")
-    choices = best_two(eligible_containers(pu, loaded.where(P.negate(named))))
+    choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded.where(P.negate(named)))))
     return (
         facts.join(leaving, "container_id")
         .join(F.broadcast(guard), F.col("allowed"))  # one row
-        .join(requirement(pu).select("pu", "required_zones"), "pu")
-        .join(choices, "required_zones", "left")
+        .join(choices, "pu", "left")
         .select(
             "instance_id", "pu", "host", "container_id", F.col("first_id").alias("target_id"),
             F.col("is_stateful").alias("demote_first"),
