@@ -19,6 +19,11 @@ def _strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def moment(value: datetime) -> Column:
+    """A zone-free literal. A plain literal would be read in the machine's zone and shown in the session's."""
+    return F.lit(value.isoformat(" ")).cast("timestamp_ntz")
+
+
 def all_of(*conditions: Column) -> Column:
     """Conjunction; no condition at all is true."""
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -71,7 +76,7 @@ def uptime_between(
     start: Column, as_of: datetime, longer_than: timedelta | None = None, shorter_than: timedelta | None = None
 ) -> Column:
     """Strict on both sides. ``as_of`` is given, never read from the clock."""
-    uptime = F.lit(as_of).cast("timestamp_ntz") - start
+    uptime = moment(as_of) - start
     kept = F.lit(True) if longer_than is None else uptime > F.lit(longer_than)
     return kept if shorter_than is None else kept & (uptime < F.lit(shorter_than))
 

@@ -113,7 +113,7 @@ def jvm_descriptions(typed: DataFrame, as_of) -> DataFrame:
         "host", "pid", "component_type", component_rank(F.col("component_type")).alias("component_rank"),
         X.round_half_up(F.col("heap_init_mb")).alias("heap_init_mb"),
         X.round_half_up(F.col("heap_max_mb")).alias("heap_max_mb"),
-        X.uptime(F.lit(as_of).cast("timestamp_ntz"), F.col("start_ts")).alias("uptime"),
+        X.uptime(P.moment(as_of), F.col("start_ts")).alias("uptime"),
         X.jvm_description(F.col("vendor"), F.col("vm_name"), F.col("version")).alias("description"),
         *[c for c in ("env", "sysprops") if c in typed.columns],
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import text as X
 from .instances import labelled
 from .placement import zone_set
@@ -148,5 +149,5 @@ def dump_reports(container: DataFrame, instance: DataFrame, dump_types: list[str
     return container.join(pu_names(instance), "container_id", "left").select(
         F.array(*[F.lit(t) for t in dump_types]).alias("dumps_types"),
         "container_id", F.col("host").alias("host_name"), F.col("addr").alias("host_address"), "pid",
-        F.lit(start_time).cast("timestamp_ntz").alias("start_time"), F.col("pu").alias("pu_name"), "copies",
+        P.moment(start_time).alias("start_time"), F.col("pu").alias("pu_name"), "copies",
     )

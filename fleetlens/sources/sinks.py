@@ -30,9 +30,11 @@ def jvm_details(report: DataFrame) -> DataFrame:
 def write_jvm_details(report: DataFrame, path: str) -> None:
     """Folder per host, component type and pid with the JVM's text."""
     (
+        # the writer closes the text with its own line end
         jvm_details(report)
+        .withColumn("value", F.regexp_replace("value", r"\n\z", ""))
         .repartition("host", "component_type", "pid")
-        .write.partitionBy("host", "component_type", "pid").option("lineSep", "").text(path)
+        .write.partitionBy("host", "component_type", "pid").text(path)
     )
 
 

@@ -13,7 +13,7 @@ def spark():
     session = build_session(
         "tests", "local[4]",
         {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-         "spark.sql.autoBroadcastJoinThreshold": "1m"},
+         "spark.sql.autoBroadcastJoinThreshold": "1m", "spark.python.sql.dataFrameDebugging.enabled": "false"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
