@@ -75,10 +75,12 @@ def pu_name_in(pu: Column, include: Sequence[str] | None = None, exclude: Sequen
 def uptime_between(
     start: Column, as_of: datetime, longer_than: timedelta | None = None, shorter_than: timedelta | None = None
 ) -> Column:
-    """Strict on both sides. ``as_of`` is given, never read from the clock."""
-    uptime = moment(as_of) - start
-    kept = F.lit(True) if longer_than is None else uptime > F.lit(longer_than)
-    return kept if shorter_than is None else kept & (uptime < F.lit(shorter_than))
+    """Strict on both sides. ``as_of`` is given, never read from the clock.
+
+    Written as bounds on the start time, so that a scan can skip by its statistics.
+    """
+    kept = F.lit(True) if longer_than is None else start < moment(as_of - longer_than)
+    return kept if shorter_than is None else kept & (start > moment(as_of - shorter_than))
 
 
 def in_partition(partition_id: Column, wanted: int) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .placement import eligible_containers, requirement, zone_set
 
 AXES = ("ZONE", "MACHINE", "CONTAINER")
@@ -74,7 +75,9 @@ def placement_snapshot(
     ``partition_id`` is null on the rows of the whole PU; ``by_partition`` adds the rows of each partition.
     """
     keyed = container.select("container_id", F.explode(axis_keys(axes)).alias("_key")).select("container_id", "_key.*")
-    held = occupied(slot_counts(facts), keyed, ["axis", "key"])
+    slots = slot_counts(facts)
+    # partitions and the whole PU are read apart below; the slots are written so that instances are scanned once
+    held = occupied(written(slots) if by_partition else slots, keyed, ["axis", "key"])
     whole = held.where(F.col("scope") == WHOLE).drop("scope")
     potential = potential_counts(pu, container, axes)
     filled = potential.join(whole, ["pu", "axis", "key"], "full")

@@ -47,28 +47,18 @@ def spaces_of(instance: DataFrame) -> DataFrame:
 
 
 def partition_primaries(facts: DataFrame) -> DataFrame:
-    """Partitions that have a primary, with the smallest primary instance id."""
-    return (
-        facts.where("is_primary")
-        .groupBy("pu", "partition_id")
-        .agg(F.min("instance_id").alias("primary_instance_id"))
-    )
+    """Partitions that have a primary."""
+    return facts.where("is_primary").select("pu", "partition_id").distinct()
 
 
 def labelled(facts: DataFrame) -> DataFrame:
-    """Facts plus ``label``: the name, and for stateful instances partition and role."""
+    """Rows plus ``label``: the PU name, and for stateful instances partition and role."""
     # grouped, then joined back: a window over a hot partition would sit in one task
-    return (
-        facts.join(partition_primaries(facts), ["pu", "partition_id"], "left")
-        .withColumn(
-            "label",
-            X.instance_label(
-                F.col("pu"), F.col("partition_id"), F.col("is_stateful"), F.col("is_primary"),
-                F.col("primary_instance_id").isNotNull(),
-            ),
-        )
-        .drop("primary_instance_id")
+    primaries = partition_primaries(facts).withColumn("_has_primary", F.lit(True))
+    label = X.instance_label(
+        F.col("pu"), F.col("partition_id"), F.col("is_stateful"), F.col("is_primary"), F.col("_has_primary")
     )
+    return facts.join(primaries, ["pu", "partition_id"], "left").withColumn("label", label).drop("_has_primary")
 
 
 def backup_first(instances: DataFrame, order: str = "input_order") -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def zone_set(zones: Column | str) -> Column:
     """Canonical form, usable as a join key."""
@@ -60,6 +62,11 @@ def container_load(container: DataFrame, instance: DataFrame) -> DataFrame:
     return loaded.join(per_host, "host")
 
 
+def loaded_containers(container: DataFrame, instance: DataFrame) -> DataFrame:
+    """container_load written once: plans read it several times, and instances are to be scanned once for it."""
+    return written(container_load(container, instance))
+
+
 _BEST = ("n_container", "n_machine", "container_id")
 
 
@@ -75,7 +82,7 @@ def ranked_containers(eligible: DataFrame, k: int, within: Sequence[str] = ()) -
 
 def best_containers(pu: DataFrame, container: DataFrame, instance: DataFrame, k: int = 5) -> DataFrame:
     """Ranked containers each PU should use next."""
-    eligible = eligible_containers(pu, container_load(container, instance))
+    eligible = eligible_containers(pu, loaded_containers(container, instance))
     ranked = ranked_containers(eligible, k)
     return requirement(pu).join(ranked, "required_zones").select(
         "pu", "rank", "container_id", "host", "n_container", "n_machine"
@@ -98,7 +105,7 @@ def choose(first: Column, second: Column, current: Column) -> Column:
 def candidate_counts(pu: DataFrame, container: DataFrame, instance: DataFrame) -> DataFrame:
     """Containers each PU could start on: zones satisfied and, for an isolated PU, nothing running there."""
     per_set = (
-        eligible_containers(pu, container_load(container, instance))
+        eligible_containers(pu, loaded_containers(container, instance))
         .groupBy("required_zones")
         .agg(F.count("*").alias("n_all"), F.count_if(F.col("n_container") == 0).alias("n_empty"))
     )

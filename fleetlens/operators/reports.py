@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from ..session import written
 from .instances import labelled
 from .placement import zone_set
 from .processes import component_types, jvm_descriptions, process_counts
@@ -49,7 +50,12 @@ def pu_names(instance: DataFrame) -> DataFrame:
 
 def pu_labels(facts: DataFrame) -> DataFrame:
     """Described PU names per container, with multiplicity."""
-    return labelled(facts).groupBy("container_id", "label").agg(F.count("*").alias("copies"))
+    # equal instances are counted first, so labels are made and joined on few rows; written because
+    # the partitions' primaries are read from it as well
+    kinds = facts.groupBy("container_id", "pu", "partition_id", "is_stateful", "is_primary").agg(
+        F.count("*").alias("copies")
+    )
+    return labelled(written(kinds)).groupBy("container_id", "label").agg(F.sum("copies").alias("copies"))
 
 
 def containers_per_host(container: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def container_report(container: DataFrame, facts: DataFrame) -> DataFrame:
     An empty container gives one row with a null label. Sort by ``REPORT_ORDER`` for printing.
     """
     labels = pu_labels(facts)
-    counts = facts.groupBy("container_id").agg(F.count("*").alias("n_instances"))
+    counts = labels.groupBy("container_id").agg(F.sum("copies").alias("n_instances"))
     return (
         specific_zones(container)
         .join(counts, "container_id", "left")

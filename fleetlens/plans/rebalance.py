@@ -20,7 +20,7 @@ from ..functions import predicates as P
 from ..operators.balance import needs_rebalancing
 from ..operators.counts import ROLES, WHOLE, occupied, slot_counts
 from ..operators.ordering import with_ordinal
-from ..operators.placement import best_two, choose, container_load, eligible_containers, requirement, zone_set
+from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, requirement, zone_set
 from ..session import written
 from .relocation import NO_TARGET
 
@@ -276,7 +276,7 @@ def rebalance_step(
         ).alias("c"))
     )
 
-    loaded = container_load(container, all_slots)
+    loaded = loaded_containers(container, all_slots)
     eligible = eligible_containers(wanted, loaded)
     anywhere = best_two(eligible)
     on_host = best_two(eligible, ["host"]).select(

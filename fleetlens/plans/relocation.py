@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators.placement import best_two, choose, container_load, eligible_containers, requirement
+from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, requirement
 
 NO_TARGET = "no container meets the requirements"
 
@@ -26,7 +26,7 @@ def relocation_targets(
     sets that joining instances on them would fill only a handful of tasks.
     ``origin_empty`` tells that nothing is left in the old container after the move.
     """
-    loaded = container_load(container, facts)
+    loaded = loaded_containers(container, facts)
     within = [same] if same else []
     choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded), within))
     origin = loaded.select("container_id", "n_container", *within)
@@ -57,7 +57,7 @@ def host_drain(
             F.raise_error(F.lit("this would shut down every machine")).cast("boolean"),
         ).otherwise(F.lit(True)).alias("allowed")
     )
-    loaded = container_load(container, facts)
+    loaded = loaded_containers(container, facts)
     leaving = loaded.where(named).select("container_id", "host")
     choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded.where(P.negate(named)))))
     return (
