@@ -374,6 +374,10 @@ SELECT app, pu, 5 AS planned, running, CASE WHEN coalesce(done <= deadline, fals
 FROM st JOIN dl USING (app)"""
 _add("readiness_batch", _READY)
 _add("readiness_stream", _READY)
+_add("readiness_progress", """, run AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY app, pu ORDER BY ts, event_id) AS BIGINT) AS n
+    FROM f_ready)
+  SELECT app, pu, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+    arg_max(n, (ts, event_id)) AS running FROM run GROUP BY ALL""")
 
 
 def _imbalance(condition: str) -> str:

@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..operators import balance, containers, counts, instances, layers, placement, processes, reports
 from ..operators.containers import ContainerFilter
 from ..plans import config, operations, rebalance, relocation, schedule
-from ..session import shared_folder
+from ..session import application_folder
 from ..sources import files, inventory, sinks
 from ..streaming import readiness, windows
 from .fleet import Fleet
@@ -604,7 +604,7 @@ def _run(writer) -> int:
 
 
 def _scratch(f, name: str) -> str:
-    return f"{shared_folder(f.spark)}/fleetlens-{f.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(f.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 class _Streamed(Fleet):
@@ -632,6 +632,11 @@ def readiness_batch(f):
     return _verdicts(readiness.readiness_batch(f.readiness, _planned(f), TIMEOUT))
 
 
+@query()
+def readiness_progress(f):
+    return readiness.progress(f.readiness, "1 day")
+
+
 @query()
 def readiness_stream(f):
     folder = _scratch(f, "readiness")

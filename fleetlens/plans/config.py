@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.layers import LAYERS
+
+
+def config_layers(pu: DataFrame, original: DataFrame, shared: DataFrame, descriptors: DataFrame) -> DataFrame:
+    """The five layers of every PU as one long table, ready for operators.layers.effective_config.
+
+    ``pu``: pu, directory. ``original``: pu, key, value. ``shared``: see read_shared_properties.
+    ``descriptors``: see descriptor_layers, with an optional ``is_secret`` per entry.
+    """
+    if "is_secret" not in descriptors.columns:
+        descriptors = descriptors.withColumn("is_secret", F.lit(False))
+    text = F.lit("STRING").alias("value_type")
+    secret_name = F.when(F.col("is_secret"), "descriptor_secrets").otherwise("descriptor_config")
+    rows = (
+        original.select(F.col("pu").alias("entity"), F.lit("original").alias("layer_name"), "key", "value", text,
+                        F.lit(False).alias("is_secret"))
+        .unionByName(shared.join(pu, "directory").select(
+            F.col("pu").alias("entity"), "layer_name", "key", "value", text, "is_secret"))
+        .unionByName(descriptors.select("entity", secret_name.alias("layer_name"), "key", "value", "value_type", "is_secret"))
+    )
+    order = F.array(*[F.lit(name) for name in LAYERS])
+    return rows.withColumn("layer", F.array_position(order, F.col("layer_name")))
 
 
 def overlaid_settings(base: DataFrame, descriptors: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,19 +39,31 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="fleetlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_folder(spark)}/fleetlens-{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder; no result may be in use any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like a checkpoint and survives lost executors. Against a checkpoint it
     keeps column pruning, and its exact file size tells the planner what may be broadcast.
-    Tables lie under one folder per application, to be removed with the application.
+    ``clear_written`` removes the tables of this application.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fleetlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,7 +20,9 @@ def _progress(events: DataFrame, planned: DataFrame, before: DataFrame) -> DataF
     so far. A busy PU's events are summed over many tasks (see running_sum); the state is one
     row per PU.
     """
-    sums = running_sum(events, _PU, ["ts", "event_id"], "delta", "sum")
+    # only what is needed, because the ranges are written out
+    needed = events.select(*_PU, "ts", "event_id", "delta")
+    sums = running_sum(needed, _PU, ["ts", "event_id"], "delta", "sum")
     carried = before.select(*_PU, F.col("running").alias("carried"))
     counted = (
         sums.join(planned, _PU)
@@ -61,6 +63,17 @@ def readiness_batch(events: DataFrame, planned: DataFrame, timeout: timedelta) -
     return verdicts(_progress(events, planned, empty), planned, timeout)
 
 
+def progress(events: DataFrame, every: str = "5 seconds") -> DataFrame:
+    """Instances running at the end of each interval that saw a change."""
+    needed = events.select(*_PU, "ts", "event_id", "delta")
+    sums = running_sum(needed, _PU, ["ts", "event_id"], "delta", "n")
+    return (
+        sums.groupBy(*_PU, F.window("ts", every).alias("w"))
+        .agg(F.max_by("n", F.struct("ts", "event_id")).alias("running"))
+        .select(*_PU, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "running")
+    )
+
+
 class ReadinessState:
     """State versions of a readiness stream, one folder per micro-batch.
 

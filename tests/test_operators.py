@@ -201,3 +201,15 @@ def test_sinks(spark, tmp_path):
         path = tmp_path / f"snap{zeros}"
         sinks.write_snapshot(counts, str(path), zeros)
         assert sum(len(f.read_text().splitlines()) for f in path.glob("*.txt")) == n
+
+
+def test_written_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from fleetlens.session import application_folder, clear_written, written
+
+    assert written(spark.range(3)).count() == 3
+    folder = Path(application_folder(spark).removeprefix("file:"))
+    assert folder.is_dir()
+    clear_written(spark)
+    assert not folder.exists()

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators.layers import LAYERS, effective_config
-from fleetlens.plans.config import descriptor_of, overlaid_settings
+from fleetlens.operators.layers import LAYERS, effective_config, shown_config
+from fleetlens.plans.config import config_layers, descriptor_of, overlaid_settings
 from fleetlens.sources import files as S
 
 
@@ -131,3 +131,19 @@ def test_process_files(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<process><vm/></process>")
     got = {r.file_name: (r.environment, r.jvm_args) for r in S.read_process_files(spark, str(tmp_path), "${OPTIONS}").collect()}
     assert got == {"a.xml": ("${OPTIONS} -Xmx1g  -Dzones=A,B", "-Xmx1g -Dzones=A,B"), "b.xml": ("", "")}
+
+
+def test_layers_of_a_deployment(spark):
+    pu = spark.createDataFrame([("a", "d1"), ("b", "d2")], "pu string, directory string")
+    original = spark.createDataFrame([("a", "k", "0"), ("a", "only", "o"), ("b", "k", "b")], "pu string, key string, value string")
+    shared = spark.createDataFrame(
+        [("d1", "shared_config", "k", "1", False), ("d1", "shared_secrets", "pw", "s", True)],
+        "directory string, layer_name string, key string, value string, is_secret boolean")
+    descriptors = spark.createDataFrame(
+        [("a", "k", "0", "STRING", False), ("a", "pw", "t", "STRING", True), ("b", "k", "7", "BIGINT", False)],
+        "entity string, key string, value string, value_type string, is_secret boolean")
+    layers = config_layers(pu, original, shared, descriptors)
+    got = {(r.entity, r.key): r.value for r in effective_config(layers).collect()}
+    # the descriptor repeats the original value of k, so the shared one stays
+    assert got == {("a", "k"): "1", ("a", "only"): "o", ("a", "pw"): "t", ("b", "k"): "7"}
+    assert {(r.entity, r.key): r.value for r in shown_config(layers).collect()}[("a", "pw")] == "****"
