@@ -260,7 +260,7 @@ _add("dump_reports", f"""SELECT 'heap,thread' AS dumps_types, container_id, host
   (SELECT container_id, pu, count(*) AS copies FROM f_instance GROUP BY 1, 2) USING (container_id)""")
 
 _add("container_load", "SELECT container_id, host, n_container, n_machine FROM f_load")
-_add("best_containers", """SELECT pu, "rank", container_id, host, n_container, n_machine FROM (
+_add("best_containers", """SELECT pu, CAST("rank" AS INTEGER) AS "rank", container_id, host, n_container, n_machine FROM (
   SELECT e.pu, l.*, row_number() OVER (PARTITION BY e.pu ORDER BY n_container, n_machine, container_id) AS "rank"
   FROM f_elig e JOIN f_load l USING (container_id)) WHERE "rank" <= 5""")
 _add("relocation_target", """, t AS (SELECT e.pu, l.region, l.container_id, row_number() OVER (PARTITION BY e.pu, l.region

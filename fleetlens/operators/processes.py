@@ -31,7 +31,7 @@ def component_types(jvm: DataFrame, container: DataFrame, manager: DataFrame, ag
 
 
 def component_rank(component_type):
-    return F.array_position(F.array(*[F.lit(c) for c in COMPONENT_TYPES]), component_type)
+    return F.array_position(F.array(*[F.lit(c) for c in COMPONENT_TYPES]), component_type).cast("int")
 
 
 def containers_of(processes: DataFrame, container: DataFrame, agent: DataFrame) -> DataFrame:

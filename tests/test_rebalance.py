@@ -78,7 +78,8 @@ def test_scenarios(spark, name):
 GROUPS = [["Z0", "Z1"], ["Z2", "Z3", "Z9"], ["X0", "X1"]]
 
 
-def random_fleet(seed):
+def random_fleet(seed, hot=False):
+    """``hot`` puts a third of all instances into one PU and one container."""
     rng = random.Random(seed)
     hosts = [f"h{n}" for n in range(rng.randint(1, 4))]
     zones = ["Z0", "Z1", "Z2", "Z3", "BIG"]
@@ -91,12 +92,15 @@ def random_fleet(seed):
         for n in range(rng.randint(0, 10)):
             role = rng.choice([None, "P", "B"])
             instances.append(inst(f"{pu}-{n:02}", pu, rng.randrange(rng.choice([1, 3])), rng.choice(spread), role))
+    if hot:
+        instances += [inst(f"p0-x{n:03}", "p0", n % 3, "c00", rng.choice([None, "P", "B"])) for n in range(len(instances) // 2)]
     return containers, instances, pus
 
 
-@pytest.mark.parametrize("seed, groups", [(0, []), (1, GROUPS)], ids=["no groups", "groups"])
-def test_step_and_checks_match_brute_force(spark, seed, groups):
-    containers, instances, pus = random_fleet(seed)
+@pytest.mark.parametrize(
+    "seed, groups, hot", [(0, [], False), (1, GROUPS, False), (2, GROUPS, True)], ids=["no groups", "groups", "hot"])
+def test_step_and_checks_match_brute_force(spark, seed, groups, hot):
+    containers, instances, pus = random_fleet(seed, hot)
     pu, container, facts = fleet(spark, containers, instances, pus)
     wanted = [m for p, req in pus.items() if (m := brute.step(p, req, containers, instances, groups))]
     names = list(wanted[0])
