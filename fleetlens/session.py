@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +27,12 @@ def build_session(app: str = "fleetlens", master: str | None = None, conf: dict
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session may fall back to a temporary folder; on a cluster an
-    unset folder is an error, because a machine-local path would lose data.
+    Where it is unset, a folder of the warehouse, which a cluster shares too.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="fleetlens-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/fleetlens-shared"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
