@@ -41,7 +41,7 @@ from ..session import written
 from .common import id_remainder, in_arrow, in_groups, mixed, words_of
 
 WEIGHT, SMOOTHING = 0.4, 0.1
-BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, HOT = 1_250_000, 1 << 21, 32, 1024
+BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, HOT = 500_000, 1 << 21, 32, 1024
 END, START = b"\n", b"\t"  # never words
 STEPS, LOWEST, MISSING = 65534, -24.0, 65535
 SUCCESSOR_BITS = 40
