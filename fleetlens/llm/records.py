@@ -14,12 +14,15 @@ verifies every checksum; a wrong one is an error.
 Null and empty texts give the end id alone. Null ids come first. Rows that share an id follow each
 other, by text. An empty table gives no rows. Extra columns do not matter. Words are encoded once
 per worker and remembered up to a bound: the tokenizer drops white space and never joins across it.
+A word of letters, with or without closing punctuation, is split as the tokenizer splits it and given
+to the library's BPE model; every other word takes the library's whole path.
 """
 
 from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
@@ -33,7 +36,7 @@ from ..session import application_folder
 from .common import in_arrow
 
 END_ID, RECORDS_PER_FILE = 2, 4096
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -55,17 +58,56 @@ def tokenizer(vocabulary: str):
     return Tokenizer.from_file(vocabulary)
 
 
+#: Bytes as the printable characters that a byte-level vocabulary uses: printable ones as they are, the others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_CLOSING = ".,;:!?"
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(vocabulary: str) -> WordEncoder:
+    """The worker's encoder; it outlives a task, so that words are not encoded again by each."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 class WordEncoder:
     """Token ids of texts, through a bounded memory of encoded words."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = tokenizer(vocabulary)
+        self.model = self.tokenizer.model
+        self.closing: dict[str, list[int]] = {"": []}
+        # only for a tokenizer whose split of plain words this class knows: letters, then punctuation
+        probe = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("word.")] if self.tokenizer.pre_tokenizer else []
+        self.plain = probe == ["word", "."] and self.tokenizer.normalizer is not None and (
+            self.tokenizer.normalizer.normalize_str("Wo\n rd") == "wo rd")
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int] | None:
+        """Ids of a word of letters and closing punctuation, None for others."""
+        body = word.rstrip(_CLOSING)
+        if not body.isalpha() or not (body.isascii() or ("\u03a3" not in body and unicodedata.is_normalized("NFC", body))):
+            return None
+        small = body.lower()
+        if not small.isalpha():
+            return None
+        ids = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(_CHARACTERS))]
+        tail = word[len(body):]
+        if tail not in self.closing:
+            if len(self.closing) > 10_000:
+                self.closing = {"": []}
+            self.closing[tail] = self._whole([tail])[0]
+        return ids + self.closing[tail]
+
     def _learn(self, words: list[str]) -> None:
         fresh = [w for w in dict.fromkeys(words) if w not in self.place]
         if not fresh:
@@ -73,7 +115,10 @@ class WordEncoder:
         if len(self.place) + len(fresh) > REMEMBERED:
             self.forget()
             fresh = list(dict.fromkeys(words))
-        got = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+        got = [self._word(w) if self.plain else None for w in fresh]
+        rest = [i for i, g in enumerate(got) if g is None]
+        for i, ids in zip(rest, self._whole([fresh[i] for i in rest]), strict=True):
+            got[i] = ids
         sizes = np.array([len(x) for x in got], np.int64)
         flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
@@ -81,9 +126,13 @@ class WordEncoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
 
-    def encode(self, text: str | None) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ") if text else []
-        self._learn(words)
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; words are learned for many texts at once."""
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        self._learn([w for words in split for w in words])
+        return [self._known(words) for words in split]
+
+    def _known(self, words: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -117,13 +166,13 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, en
     """Write the frames of all documents below ``folder``/data."""
 
     def run(batches):
-        encoder = WordEncoder(vocabulary)
+        words = encoder(vocabulary)
         for batch in batches:
-            frames = [
-                frame(i, np.append(encoder.encode(t), np.uint32(end_id)))
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                ids = words.encode_all(part.column(1).to_pylist())
+                frames = [frame(i, np.append(x, np.uint32(end_id))) for i, x in zip(part.column(0).to_pylist(), ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
