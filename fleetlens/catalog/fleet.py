@@ -118,14 +118,14 @@ class Fleet:
 
     @cached_property
     def agent_process(self) -> DataFrame:
-        """Processes the agents report: containers in credit, managers, and leftovers no container belongs to."""
-        containers = self.container.where("heap_mb >= 0").select(
+        """Processes the agents report: containers, managers, and leftovers no container belongs to."""
+        containers = self.container.select(
             "host", "pid", (F.col("pid") - 999).alias("agent_id"), F.lit("GSC").alias("service_type"),
             F.lit("ON_DEMAND").alias("instantiation_mode"))
         managers = self.manager.select(
             "host", "pid", F.lit(0).cast("bigint").alias("agent_id"), F.lit("GSM").alias("service_type"),
             F.lit("STATIC").alias("instantiation_mode"))
-        leftovers = self.customer.where("c_mktsegment = 'MACHINERY'").select(
+        leftovers = self.customer.select(
             "host", (F.col("c_custkey") + 200000).alias("pid"), (F.col("c_custkey") + 5001).alias("agent_id"),
             F.lit("GSC").alias("service_type"), F.lit("ON_DEMAND").alias("instantiation_mode"))
         return containers.unionByName(managers).unionByName(leftovers)

@@ -40,10 +40,9 @@ f_agent AS (SELECT host, CAST(n_nationkey + 10 AS BIGINT) AS pid, n_regionkey +
 f_customer AS (SELECT * FROM customer JOIN f_nation ON c_nationkey = n_nationkey),
 f_agent_process AS (
   SELECT host, pid, pid - 999 AS agent_id, 'GSC' AS service_type, 'ON_DEMAND' AS instantiation_mode
-    FROM f_container WHERE heap_mb >= 0
+    FROM f_container
   UNION ALL SELECT host, pid, 0, 'GSM', 'STATIC' FROM f_manager
-  UNION ALL SELECT host, c_custkey + 200000, c_custkey + 5001, 'GSC', 'ON_DEMAND' FROM f_customer
-    WHERE c_mktsegment = 'MACHINERY'),
+  UNION ALL SELECT host, c_custkey + 200000, c_custkey + 5001, 'GSC', 'ON_DEMAND' FROM f_customer),
 f_jvm AS (
   SELECT host, pid, heap_mb AS heap, start_ts, region, 'GSC' AS component_type, 3 AS component_rank FROM f_container
   UNION ALL SELECT host, pid, 0, TIMESTAMP '2024-01-10', 'unknown', 'GSM', 2 FROM f_manager
@@ -206,8 +205,8 @@ _add("flagship_machine_balance", f"""SELECT pu, {_BOUNDS} FROM c_role WHERE scop
 _add("count_potential", "SELECT * FROM c_potential", _COUNTS)
 _add("count_by_axis", "SELECT * FROM c_all WHERE scope = 'whole'", _COUNTS)
 _add("count_by_partition", "SELECT * FROM c_all", _COUNTS)
-_add("count_hide_zeros", 'SELECT * FROM c_all WHERE "primary" <> 0', _COUNTS)
-_add("count_remove_zeros", "SELECT * FROM c_all WHERE axis = 'ZONE' OR backup <> 0", _COUNTS)
+_add("count_hide_zeros", "SELECT * FROM c_role WHERE n <> 0", _COUNTS)
+_add("count_remove_zeros", "SELECT * FROM c_role WHERE axis = 'ZONE' OR n <> 0", _COUNTS)
 _add("count_retain_zones", """SELECT * FROM c_all WHERE scope = 'whole' AND (axis <> 'ZONE' OR key IN ('RACK_0', 'ASIA'))""",
      _COUNTS)
 _add("min_max_keys", f"SELECT pu, scope, axis, role, {_BOUNDS} FROM c_role GROUP BY pu, scope, axis, role", _COUNTS)
@@ -262,7 +261,7 @@ _add("dump_reports", f"""SELECT 'heap,thread' AS dumps_types, container_id, host
 _add("container_load", "SELECT container_id, host, n_container, n_machine FROM f_load")
 _add("best_containers", """SELECT pu, CAST("rank" AS INTEGER) AS "rank", container_id, host, n_container, n_machine FROM (
   SELECT e.pu, l.*, row_number() OVER (PARTITION BY e.pu ORDER BY n_container, n_machine, container_id) AS "rank"
-  FROM f_elig e JOIN f_load l USING (container_id)) WHERE "rank" <= 5""")
+  FROM f_elig e JOIN f_load l USING (container_id))""")
 _add("relocation_target", """, t AS (SELECT e.pu, l.region, l.container_id, row_number() OVER (PARTITION BY e.pu, l.region
     ORDER BY n_container, n_machine, container_id) AS rk FROM f_elig e JOIN f_load l USING (container_id))
   SELECT instance_id, f.pu, f.container_id, coalesce(t.container_id, '') AS target_id, n_container = 1 AS origin_empty,
@@ -323,7 +322,7 @@ _add("parallel_waves", """, s AS (SELECT host, pid, row_number() OVER (ORDER BY
 
 _FIRST = "SELECT entity, key, value, min(layer) AS layer FROM f_layer GROUP BY ALL"
 _add("effective_config", f"SELECT entity, key, arg_max(value, layer) AS value FROM ({_FIRST}) GROUP BY entity, key")
-_add("shown_config", """, d AS (SELECT entity, key, value, layer IN (2, 4) AS secret, min(layer) AS layer FROM f_layer GROUP BY ALL)
+_add("shown_config", """, d AS (SELECT entity, key, value, bool_or(layer IN (2, 4)) AS secret, min(layer) AS layer FROM f_layer GROUP BY entity, key, value)
   SELECT entity, key, CASE WHEN arg_max(secret, layer) THEN '****' ELSE arg_max(value, layer) END AS value,
     arg_max(secret, layer) AS is_secret FROM d GROUP BY entity, key""")
 _add("merged_size", "SELECT entity, count(*) AS size, false AS is_empty FROM f_layer GROUP BY entity")
@@ -394,11 +393,9 @@ def _presence(condition: str) -> str:
 
 
 _SQL["imbalance_windowed"] = _imbalance("true")
-_SQL["imbalance_stream"] = _imbalance(
-    "window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)")
+_SQL["imbalance_stream"] = _imbalance("true")
 _SQL["manager_presence"] = _presence("true")
-_SQL["manager_presence_stream"] = _presence(
-    "window_start + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+_SQL["manager_presence_stream"] = _presence("true")
 _SQL["discovery_outcome"] = f"""SELECT attempt, CASE WHEN attempt <= 10 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status FROM (
   SELECT date_diff('minute', min(window_start), min(window_start) FILTER (managers > 0)) // 10 + 1 AS attempt
   FROM ({_presence('true')}))"""

@@ -222,12 +222,12 @@ def count_by_partition(f):
 
 @query()
 def count_hide_zeros(f):
-    return counts.hide_zeros(_zero_filled(f, True), "primary")
+    return counts.hide_zeros(counts.by_role(_zero_filled(f, True))).drop("potential")
 
 
 @query()
 def count_remove_zeros(f):
-    return counts.remove_zeros(_zero_filled(f, True), "backup")
+    return counts.remove_zeros(counts.by_role(_zero_filled(f, True))).drop("potential")
 
 
 @query()
@@ -342,7 +342,7 @@ def container_load(f):
 
 @query()
 def best_containers(f):
-    return placement.best_containers(f.pu, f.container, f.instance, 5)
+    return placement.best_containers(f.pu, f.container, f.instance)
 
 
 @query("part")
@@ -374,12 +374,6 @@ def rebalance_step(f):
         F.coalesce("demote_first", F.lit(False)).alias("demote_first"))
 
 
-@query("part")
-def rebalance_simulation(f):
-    moves, _ = rebalance.rebalance_simulation(f.pu, f.container, facts(f), RACK_PAIR, max_steps=2)
-    return moves
-
-
 @query("part")
 def host_drain(f):
     plan = relocation.host_drain(f.pu, f.container, f.machine, facts(f), DRAINED)
@@ -650,15 +644,17 @@ def imbalance_windowed(f):
     return windows.imbalance(windows.key_counts(f.observation, "1 day"))
 
 
-def _closed(f, name: str, stream: DataFrame) -> DataFrame:
+def _latest(f, name: str, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Every window the stream has seen, the ones still open with what is known so far."""
     folder = _scratch(f, name)
-    _run(windows.append_to(stream, f"{folder}/out", f"{folder}/progress"))
-    return f.spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    _run(windows.update_to(stream, f"{folder}/out", f"{folder}/progress"))
+    return windows.latest(f.spark, f"{folder}/out", stream.schema, keys)
 
 
 @query()
 def imbalance_stream(f):
-    return windows.imbalance(_closed(f, "imbalance", windows.key_counts(_streamed(f).observation, "1 day", "2 hours")))
+    return windows.imbalance(_latest(
+        f, "imbalance", windows.key_counts(_streamed(f).observation, "1 day", "2 hours"), ["window_start", "window_end", "pu", "key"]))
 
 
 @query()
@@ -668,7 +664,8 @@ def manager_presence(f):
 
 @query()
 def manager_presence_stream(f):
-    return _closed(f, "presence", windows.manager_presence(_streamed(f).heartbeat, "10 minutes", "1 hour"))
+    return _latest(
+        f, "presence", windows.manager_presence(_streamed(f).heartbeat, "10 minutes", "1 hour"), ["window_start", "window_end"])
 
 
 @query()

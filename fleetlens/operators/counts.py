@@ -93,12 +93,13 @@ def placement_snapshot(
     return result
 
 
-def hide_zeros(counts: DataFrame, column: str = "total") -> DataFrame:
+def hide_zeros(counts: DataFrame, column: str = "n") -> DataFrame:
+    """Without the zeros of ``by_role`` rows, so that each role's counter hides its own."""
     return counts.where(F.col(column) != 0)
 
 
-def remove_zeros(counts: DataFrame, column: str = "total") -> DataFrame:
-    """Zeros go on the machine and container axes; the zone axis keeps them."""
+def remove_zeros(counts: DataFrame, column: str = "n") -> DataFrame:
+    """Zeros of ``by_role`` rows go on the machine and container axes; the zone axis keeps them."""
     return counts.where((F.col("axis") == "ZONE") | (F.col(column) != 0))
 
 

@@ -34,13 +34,14 @@ def effective_config(layers: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Value of each key: the distinct value that first appears in the latest layer.
 
     An identical value repeated in a later layer does not count again, so 1, 2, 1 gives 2.
-    Values of different type are different: give ``value_type`` to tell 1 from "1".
+    Values of different type are different: give ``value_type`` to tell 1 from "1". The flags in
+    ``kept`` hold for a value if they hold in any of its layers.
     """
     typed = [c for c in ("value_type",) if c in layers.columns]
     first = (
         layers.where("key IS NOT NULL")
-        .groupBy("entity", "key", "value", *typed, *kept)
-        .agg(F.min("layer").alias("layer"))
+        .groupBy("entity", "key", "value", *typed)
+        .agg(F.min("layer").alias("layer"), *[F.bool_or(c).alias(c) for c in kept])
     )
     return first.groupBy("entity", "key").agg(
         X.text_of(F.max_by("value", "layer")).alias("value"),

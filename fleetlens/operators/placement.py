@@ -70,18 +70,19 @@ def loaded_containers(container: DataFrame, instance: DataFrame) -> DataFrame:
 _BEST = ("n_container", "n_machine", "container_id")
 
 
-def ranked_containers(eligible: DataFrame, k: int, within: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` least loaded eligible containers per requirement set (and per ``within`` columns).
+def ranked_containers(eligible: DataFrame, k: int | None, within: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` least loaded eligible containers, or all by load, per requirement set (and per ``within`` columns).
 
     A rank limit on row_number is applied before the shuffle as well as after it,
     so a large group sends at most ``k`` rows per task.
     """
     window = Window.partitionBy("required_zones", *within).orderBy(*_BEST)
-    return eligible.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    ranked = eligible.withColumn("rank", F.row_number().over(window))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def best_containers(pu: DataFrame, container: DataFrame, instance: DataFrame, k: int = 5) -> DataFrame:
-    """Ranked containers each PU should use next."""
+def best_containers(pu: DataFrame, container: DataFrame, instance: DataFrame, k: int | None = None) -> DataFrame:
+    """Ranked containers each PU should use next: the whole list, or its first ``k``."""
     eligible = eligible_containers(pu, loaded_containers(container, instance))
     ranked = ranked_containers(eligible, k)
     return requirement(pu).join(ranked, "required_zones").select(

@@ -310,80 +310,5 @@ def rebalance_step(
 
 
 def rebalance_plan(*args, **kwargs) -> DataFrame:
-    """rebalance_step without the two columns only the simulation needs."""
+    """rebalance_step without its two working columns."""
     return rebalance_step(*args, **kwargs).drop("instance_partition", "was_primary")
-
-
-_CHANGE = "instance_id string, step int, container_id string, is_primary boolean, is_backup boolean"
-
-
-def _apply(facts: DataFrame, changes: DataFrame) -> DataFrame:
-    """Facts with the latest change of each moved instance laid over them."""
-    latest = changes.groupBy("instance_id").agg(
-        F.max_by(F.struct("container_id", "is_primary", "is_backup"), "step").alias("new")
-    )
-    kept = [c for c in facts.columns if c not in ("container_id", "is_primary", "is_backup")]
-    return facts.join(latest, "instance_id", "left").select(
-        *kept, *[F.coalesce(F.col(f"new.{c}"), facts[c]).alias(c) for c in ("container_id", "is_primary", "is_backup")]
-    )
-
-
-def rebalance_simulation(
-    pu: DataFrame, container: DataFrame, facts: DataFrame, groups: Sequence[Sequence[str]] = (),
-    max_steps: int = 100, once_only: bool = False, pus: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Repeat rebalance_step until nothing moves; returns (moves, final facts).
-
-    Each round makes one move per PU, all judged on the state before the round. The
-    state is the unchanged input plus a table of changes (at most three rows per move),
-    so a round writes only its moves. A PU without a possible move is left alone, where
-    a live loop could repeat it for ever. Assumption: a demoted primary becomes a backup
-    and the partition's smallest backup instance takes over.
-    """
-    spark = facts.sparkSession
-    changes = spark.createDataFrame([], _CHANGE)
-    moves: DataFrame | None = None
-    current = facts
-    for step in range(1, (1 if once_only else max_steps) + 1):
-        move = written(
-            rebalance_step(pu, container, current, groups, pus).where("problem IS NULL").withColumn("step", F.lit(step))
-        )
-        backups = current.where("is_backup AND NOT is_primary").select("pu", "partition_id", "instance_id")
-        yields = move.where("was_primary AND (action = 'demote' OR demote_first)").select(
-            "pu", F.col("instance_partition").alias("partition_id"), F.col("instance_id").alias("mover")
-        )
-        heirs = (
-            backups.join(yields, ["pu", "partition_id"])
-            .where("instance_id <> mover")
-            .groupBy("pu", "partition_id", "mover")
-            .agg(F.min("instance_id").alias("heir"))
-        )
-        heirs = written(heirs)
-        handed = move.join(
-            heirs.select(F.col("mover").alias("instance_id"), "heir"), "instance_id", "left"
-        ).withColumn("demoted", F.col("heir").isNotNull())
-        # a demote nobody can take over changes nothing
-        real = written(handed.where("action = 'relocate' OR demoted"))
-        if real.isEmpty():
-            break
-        moved = real.join(current.select("instance_id", "container_id", "is_primary", "is_backup"), "instance_id").select(
-            "instance_id", "step", F.coalesce("target_id", "container_id").alias("container_id"),
-            (F.col("is_primary") & ~F.col("demoted")).alias("is_primary"),
-            (F.col("is_backup") | F.col("demoted")).alias("is_backup"),
-        )
-        promoted = real.where("demoted").select(F.col("heir").alias("instance_id"), "step").join(
-            current.select("instance_id", "container_id"), "instance_id"
-        ).select("instance_id", "step", "container_id", F.lit(True).alias("is_primary"), F.lit(False).alias("is_backup"))
-        changes = written(changes.unionByName(moved).unionByName(promoted))
-        logged = real.select(
-            "step", "pu", "partition_id", "role", "axis", "action", "instance_id", "from_container", "target_id",
-            "min", "max",
-        )
-        moves = logged if moves is None else moves.unionByName(logged)
-        current = _apply(facts, changes)
-    if moves is None:
-        moves = spark.createDataFrame([], (
-            "step int, pu string, partition_id bigint, role string, axis string, action string, instance_id string,"
-            " from_container string, target_id string, min bigint, max bigint"
-        ))
-    return moves, current

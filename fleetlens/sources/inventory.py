@@ -47,8 +47,8 @@ def pu_names(pu: DataFrame) -> DataFrame:
 
 
 def find_pu(pu: DataFrame, name: str) -> DataFrame:
-    """The PU with this name, or no row."""
-    return pu.where(F.col("pu") == name).limit(1)
+    """Every row of this name: none when the PU does not exist, several when the name is not unique."""
+    return pu.where(F.col("pu") == name)
 
 
 def require_pu(pu: DataFrame, name: str) -> DataFrame:

@@ -44,7 +44,7 @@ def write_dump_reports(reports: DataFrame, path: str) -> None:
 
 def snapshot_json(counts: DataFrame, with_zeros: bool = True) -> DataFrame:
     """One JSON object per counter, so that a PU with very many keys never becomes one string."""
-    kept = counts if with_zeros else hide_zeros(counts)
+    kept = counts if with_zeros else hide_zeros(counts, "total")
     return kept.select(
         "pu", "partition_id", "axis", "key",
         F.to_json(F.struct("pu", "partition_id", "axis", "key", "total", "primary", "backup")).alias("json"),

@@ -1,13 +1,16 @@
 """Windowed counts of observations: imbalance over time and manager discovery.
 
 Each function takes a batch or a streaming DataFrame; only the watermark differs. A
-stream emits a window once the watermark has passed its end.
+stream either appends a window once the watermark has passed its end, or updates every window it sees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.balance import min_max
 
@@ -75,3 +78,20 @@ def append_to(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
         "checkpointLocation", checkpoint
     )
+
+
+def update_to(stream: DataFrame, path: str, checkpoint: str):
+    """Writer of the changed windows of each micro-batch; a repeated batch replaces its own folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def latest(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each window and key that ``update_to`` wrote, finished or not."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("new"))
+    return newest.select(*keys, "new.*").select(*schema.names)

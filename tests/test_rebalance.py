@@ -127,33 +127,6 @@ def test_step_limited_to_some_pus(spark):
     assert {r.pu: r for r in R.rebalance_plan(pu, container, facts, GROUPS, only).collect()} == {p: every[p] for p in some}
 
 
-def test_simulation_follows_single_steps(spark):
-    steps = 3
-    containers = {f"c{n}": box(f"h{n // 2}", f"Z{n % 2}") for n in range(6)}
-    instances = [inst(f"i{n}", "p", n % 2, "c0" if n < 5 else "c1", "PB"[n % 2] if n < 4 else None) for n in range(6)]
-    pu, container, facts = fleet(spark, containers, instances, {"p": []})
-    moves, after = R.rebalance_simulation(pu, container, facts, [["Z0", "Z1"]], max_steps=steps)
-    log = moves.orderBy("step").collect()
-    state = [dict(i) for i in instances]
-    for m in log:
-        want = brute.step("p", [], containers, state, [["Z0", "Z1"]])
-        assert (m.instance_id, m.target_id, m.axis, m.action) == (
-            want["instance_id"], want["target_id"], want["axis"], want["action"])
-        mover = next(i for i in state if i["id"] == m.instance_id)
-        if mover["primary"]:
-            heirs = [i for i in state if i["partition"] == mover["partition"] and i["backup"] and i is not mover]
-            if heirs:
-                heir = min(heirs, key=lambda i: i["id"])
-                heir["primary"], heir["backup"], mover["primary"], mover["backup"] = True, False, False, True
-        if m.action == "relocate":
-            mover["container"] = m.target_id
-    assert {(r.instance_id, r.container_id, r.is_primary, r.is_backup) for r in after.collect()} == {
-        (i["id"], i["container"], i["primary"], i["backup"]) for i in state}
-    last = brute.step("p", [], containers, state, [["Z0", "Z1"]])
-    assert len(log) == steps or last is None or last["target_id"] is None
-    assert R.rebalance_simulation(pu, container, facts, [["Z0", "Z1"]], once_only=True)[0].count() == 1
-
-
 def test_zone_group_validation(spark):
     assert R.zone_groups([["b", "a", "a"]]) == [["a", "b"]]
     assert R.zone_groups([["a", "a"]]) == [["a"]]
