@@ -18,8 +18,8 @@ the whole corpus are used, a task holds one block or one bucket, and both number
 
 The levels are written to a file and memory-mapped by the task, which unlinks the file at once. A
 context with more than 1 / ``HOT`` of all tokens is dealt by context and word over all buckets; each
-counts its part, and the blocks add the parts up. At most ``HOT`` such contexts exist; only their
-hashes go through the driver.
+counts its part, and the parts are added up. At most ``HOT`` such contexts exist; only their hashes
+and counts go through the driver.
 
 Null and empty texts are the end token alone. A null id counts as training. Rows are documents;
 repeated rows are scored alike. Without training rows N is 0 and every token is unknown. Extra
@@ -295,15 +295,17 @@ def _answered(hot: np.ndarray):
             back.append(total[np.searchsorted(every, c)].astype(np.int64).tobytes())
         hot_here = np.isin(every, hot)
         counted = int(np.sum((total > 0) & ~hot_here & (every != np.uint64(start))))
-        seen = every[(total > 0) & hot_here & (every != np.uint64(start))].view(np.int64).tolist()
+        seen = (total > 0) & hot_here
+        seen, seen_n = every[seen].view(np.int64).tolist(), total[seen].tolist()
         one = np.arange(len(codes)) == 0
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "codes": codes, "totals": back,
-                             "kinds": np.where(one, counted, 0), "hot_seen": [seen if x else [] for x in one]})
+                             "kinds": np.where(one, counted, 0), "hot_seen": [seen if x else [] for x in one],
+                             "hot_n": [seen_n if x else [] for x in one]})
 
     return run
 
 
-def _summed(hot: np.ndarray, buckets: int, tokens: int, kinds: int):
+def _summed(hot: np.ndarray, hot_totals: np.ndarray, buckets: int, tokens: int, kinds: int, training_docs: int):
     """Scores of the documents of each block from the buckets' answers."""
 
     def run(batches):
@@ -316,6 +318,10 @@ def _summed(hot: np.ndarray, buckets: int, tokens: int, kinds: int):
                 for i, x in answers.items():
                     _, _, contexts = block.part(i)
                     counts[contexts] += np.frombuffer(x["totals"], np.int64)
+                # parts of a spread context may lie in buckets that this block never asked
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, block.words), len(hot) - 1)
+                    counts = np.where(hot[at] == block.words, hot_totals[at], counts)
                 for i, x in answers.items():
                     own, first, contexts = block.part(i)
                     mine = np.frombuffer(x["totals"], np.int64) / np.maximum(counts[contexts], 1)
@@ -323,7 +329,7 @@ def _summed(hot: np.ndarray, buckets: int, tokens: int, kinds: int):
                     part = np.repeat(mine, np.diff(np.append(first, own.stop - own.start)))
                     share[own] = np.where(codes == MISSING, 0.0, part * 10 ** restored(codes))
                 # the end of a text has no successor; it ends every training document, as the start begins it
-                counts[1] = counts[0] if 0 in block.before else 0
+                counts[1] = training_docs
                 single = (counts + SMOOTHING) / (tokens + SMOOTHING * (kinds + 1))
                 by_pair = np.empty(len(block.order))
                 by_pair[block.order] = share
@@ -352,14 +358,18 @@ def scored(docs: DataFrame) -> DataFrame:
     buckets = max(LEAST_BUCKETS, -(-(size.n or 0) // BUCKET_TOKENS))
     often = blocks.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("h")).groupBy("h.hot").agg(F.sum("h.hot_n").alias("n"))
     hot = np.array([r.hot for r in often.where(F.col("n") * HOT >= (size.n or 0)).select("hot").collect()], np.int64).view(np.uint64)
+    hot.sort()
     body = ["block", "flags", "lengths", "tokens", "words"]
     sent = in_arrow(blocks.select(*body), _sent(hot, buckets),
                     "bucket long, block long, contexts binary, sizes binary, successors binary, counts binary")
     answers = written(in_groups(sent, ["bucket"], _answered(hot),
-                                "block long, bucket long, codes binary, totals binary, kinds long, hot_seen array<long>"))
+                                "block long, bucket long, codes binary, totals binary, kinds long, hot_seen array<long>, hot_n array<long>"))
     kinds = answers.agg(F.sum("kinds").alias("k")).first().k or 0
-    kinds += answers.select(F.explode("hot_seen")).distinct().count() + (1 if size.docs else 0)
+    parts = answers.select(F.explode(F.arrays_zip("hot_seen", "hot_n")).alias("h")).groupBy("h.hot_seen").agg(F.sum("h.hot_n").alias("n"))
+    totals = {np.uint64(r.hot_seen): r.n for r in parts.collect()}  # at most HOT rows
+    hot_totals = np.array([totals.get(h, 0) for h in hot], np.int64)
+    kinds += sum(h != np.uint64(xxhash.xxh3_64_intdigest(START) >> 2) for h in totals) + (1 if size.docs else 0)
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes", "totals")).alias("answers"))
     rows = blocks.select(*body, "ids").join(by_block, "block").select(*body, "ids", "answers")
-    return in_arrow(rows, _summed(hot, buckets, size.n_train or 0, kinds),
+    return in_arrow(rows, _summed(hot, hot_totals, buckets, size.n_train or 0, int(kinds), size.docs or 0),
                     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
