@@ -348,6 +348,15 @@ _SQL["descriptor_read"] = """SELECT 'PU_' || p_partkey AS pu,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS name,
   CASE WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size % 2 = 0 THEN p_size + 100 ELSE -1 END AS partitions,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type || '/' || p_size END AS max_per_zone FROM part"""
+_SQL["descriptor_types"] = """SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'wrong types: $.topology.instances is STRING'
+    WHEN 1 THEN 'wrong types: $.topology is BIGINT' WHEN 2 THEN 'wrong types: $ is ARRAY<BIGINT>'
+    WHEN 3 THEN 'wrong types: $.sla.zones is STRING' ELSE '' END AS problem,
+  CASE WHEN p_size % 7 = 6 THEN CAST(p_size AS VARCHAR) ELSE '' END AS name,
+  CASE WHEN p_size % 7 = 4 THEN p_size ELSE -1 END AS instances,
+  CASE WHEN p_size % 7 = 5 THEN p_size ELSE -1 END AS max_per_vm FROM part"""
+_SQL["descriptor_round_trip"] = """SELECT 'PU_' || p_partkey AS pu, p_name AS name,
+  CASE WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN p_size + 100 ELSE -1 END AS partitions, p_type AS zones, p_size AS max_per_vm,
+  'brand=' || p_brand AS context FROM part WHERE p_size % 4 <> 0"""
 _SQL["descriptor_context"] = """SELECT 'PU_' || p_partkey AS entity, 'brand' AS key, p_brand AS value, 'STRING' AS value_type
   FROM part WHERE p_size % 4 <> 0"""
 _add("deployed_settings", """, d AS (SELECT *, 'PU_' || p_partkey AS pu, p_size % 4 <> 0 AS found,

@@ -550,6 +550,37 @@ def descriptor_read(f):
         F.coalesce(d["sla"]["maxInstancesPerZone"], F.lit("")).alias("max_per_zone"))
 
 
+@query()
+def descriptor_types(f):
+    """Texts whose fields hold other types: three are refused, three are read all the same."""
+    size, case = F.col("p_size"), F.col("p_size") % 7
+    json = F.when(case == 0, F.concat(F.lit('{"topology":{"instances":"'), "p_type", F.lit('"}}'))).when(
+        case == 1, F.concat(F.lit('{"topology":'), size, F.lit("}"))).when(
+        case == 2, F.concat(F.lit("["), size, F.lit("]"))).when(
+        case == 3, F.concat(F.lit('{"sla":{"zones":"'), "p_type", F.lit('"}}'))).when(
+        case == 4, F.concat(F.lit('{"topology":{"instances":"'), size, F.lit('"}}'))).when(
+        case == 5, F.concat(F.lit('{"sla":{"maxInstancesPerVM":'), size, F.lit(".5}}"))).otherwise(
+        F.concat(F.lit('{"name":'), size, F.lit("}")))
+    parsed = files.parse_descriptors(f.table("part").select("p_partkey", json.alias("text")), strict=False)
+    d = F.col("descriptor")
+    return parsed.select(
+        "p_partkey", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce(d["name"], F.lit("")).alias("name"),
+        F.coalesce(d["topology"]["instances"], F.lit(-1)).alias("instances"),
+        F.coalesce(d["sla"]["maxInstancesPerVM"], F.lit(-1)).alias("max_per_vm"))
+
+
+@query()
+def descriptor_round_trip(f):
+    """Descriptors written with their context properties and read back."""
+    parsed = files.parse_descriptors(_descriptor_files(f), strict=False).where("descriptor IS NOT NULL")
+    texts = parsed.select("pu", files.descriptor_json(F.col("descriptor"), F.col("context")).alias("text"))
+    d = F.col("descriptor")
+    return files.parse_descriptors(texts).select(
+        "pu", d["name"].alias("name"), F.coalesce(d["topology"]["partitions"], F.lit(-1)).alias("partitions"),
+        F.array_join(d["sla"]["zones"], ",").alias("zones"), d["sla"]["maxInstancesPerVM"].alias("max_per_vm"),
+        F.array_join(F.transform("context", lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("context"))
+
+
 @query()
 def descriptor_context(f):
     return files.descriptor_layers(files.parse_descriptors(_descriptor_files(f), strict=False))

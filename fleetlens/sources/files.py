@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-DESCRIPTOR_SCHEMA = (
-    "name string, resource string,"
-    " topology struct<schema:string, instances:int, partitions:int, backupsPerPartition:int>,"
-    " sla struct<requiresIsolation:boolean, zones:array<string>, maxInstancesPerVM:int,"
-    " maxInstancesPerMachine:int, maxInstancesPerZone:string>"
-)
-# fixed values: field names a descriptor may use, per level
+# fixed values: field names a descriptor may use, per level, and what each one holds
 DESCRIPTOR_FIELDS = {
-    "$": ("name", "resource", "topology", "sla", "contextProperties"),
-    "$.topology": ("schema", "instances", "partitions", "backupsPerPartition"),
-    "$.sla": ("requiresIsolation", "zones", "maxInstancesPerVM", "maxInstancesPerMachine", "maxInstancesPerZone"),
+    "$": {"name": "string", "resource": "string", "topology": "object", "sla": "object", "contextProperties": "object"},
+    "$.topology": {"schema": "string", "instances": "int", "partitions": "int", "backupsPerPartition": "int"},
+    "$.sla": {"requiresIsolation": "boolean", "zones": "array<string>", "maxInstancesPerVM": "int",
+              "maxInstancesPerMachine": "int", "maxInstancesPerZone": "string"},
 }
 # fixed values: properties files looked for in a folder, and the layer each one feeds
 SHARED_FILES = {"shared-public.properties": "shared_config", "shared-secrets.properties": "shared_secrets"}
@@ -42,7 +39,7 @@ def read_texts(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 def unknown_fields(text: Column) -> Column:
     """Field paths a descriptor must not have."""
 
-    def extra_at(path: str, known: tuple[str, ...]) -> Column:
+    def extra_at(path: str, known: Iterable[str]) -> Column:
         keys = F.json_object_keys(text if path == "$" else F.get_json_object(text, path))
         extra = F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in known]))
         return F.transform(extra, lambda k: F.concat(F.lit(path + "."), k))
@@ -50,17 +47,74 @@ def unknown_fields(text: Column) -> Column:
     return F.concat(*[extra_at(path, known) for path, known in DESCRIPTOR_FIELDS.items()])
 
 
+def _scalar(kind: Column) -> Column:
+    return ~kind.rlike("^(OBJECT|ARRAY)")
+
+
+def _fits(value: Column, kind: Column, wanted: str) -> Column:
+    """Whether a JSON value can be read as ``wanted``; ``kind`` is its own type.
+
+    Numbers may be text, fractions are cut to whole numbers, empty text counts as no number, and any scalar is text.
+    """
+    text = F.try_variant_get(value, "$", "string")
+    if wanted == "object":
+        return kind.startswith("OBJECT")
+    if wanted == "array<string>":
+        items = F.try_variant_get(value, "$", "array<variant>")
+        return kind.startswith("ARRAY") & F.forall(items, lambda x: x.isNull() | _scalar(F.schema_of_variant(x)))
+    if wanted == "int":
+        number = F.try_variant_get(value, "$", "int").isNotNull() | ((kind == "STRING") & (F.trim(text) == ""))
+        return _scalar(kind) & (kind != "BOOLEAN") & number
+    if wanted == "boolean":
+        return kind.isin("BOOLEAN", "BIGINT") | ((kind == "STRING") & F.lower(F.trim(text)).isin("true", "false", ""))
+    return _scalar(kind)
+
+
+def wrong_types(whole: Column) -> Column:
+    """Path and type of each descriptor field that holds something else than it should; null is always allowed."""
+
+    def problem(path: str, wanted: str) -> Column:
+        value = F.try_variant_get(whole, path, "variant")
+        kind = F.schema_of_variant(value)
+        # a whole text that is null is no descriptor either
+        bad = ~_fits(value, kind, wanted) & (F.lit(path == "$") | (kind != "VOID"))
+        return F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(path + " is "), kind))
+
+    fields = {"$": "object"}
+    for level, known in DESCRIPTOR_FIELDS.items():
+        fields.update({f"{level}.{name}": wanted for name, wanted in known.items()})
+    return F.array_compact(F.array(*[problem(*field) for field in fields.items()]))
+
+
+def _typed_descriptor(whole: Column) -> Column:
+    def part(level: str) -> Column:
+        fields = []
+        for name, wanted in DESCRIPTOR_FIELDS[level].items():
+            path = f"{level}.{name}"
+            if path in DESCRIPTOR_FIELDS:
+                kind = F.schema_of_variant(F.try_variant_get(whole, path, "variant"))
+                fields.append(F.when(kind.startswith("OBJECT"), part(path)).alias(name))
+            elif wanted != "object":
+                fields.append(F.try_variant_get(whole, path, wanted).alias(name))
+        return F.struct(*fields)
+
+    return part("$")
+
+
 def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
-    """Add ``descriptor`` and ``context``; ``strict`` fails on bad JSON and unknown fields, else ``problem`` names them.
+    """Add ``descriptor`` and ``context``; ``strict`` fails on bad JSON, wrong types and unknown fields, else ``problem`` names them.
 
     ``context`` keeps each property's type, because 1 and "1" are different values.
     """
     json = F.col(text)
     whole = F.try_parse_json(json)
-    extra = unknown_fields(json)
-    problem = F.when(json.isNull(), F.lit(None)).when(whole.isNull(), F.lit("not valid JSON")).when(
-        F.size(extra) > 0, F.concat(F.lit("unknown fields: "), F.array_join(extra, ", "))
-    )
+    wrong, extra = wrong_types(whole), unknown_fields(json)
+
+    def listed(title: str, paths: Column) -> Column:
+        return F.when(F.size(paths) > 0, F.concat(F.lit(title), F.array_join(paths, ", ")))
+
+    found = F.concat_ws("; ", listed("wrong types: ", wrong), listed("unknown fields: ", extra))
+    problem = F.when(json.isNull(), F.lit(None)).when(whole.isNull(), F.lit("not valid JSON")).when(found != "", found)
     if strict:
         message = F.concat(problem, F.lit(" in "), json)
         problem = F.when(problem.isNotNull(), F.raise_error(message).cast("string"))
@@ -71,7 +125,7 @@ def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True)
         F.schema_of_variant(e["value"]).alias("value_type"),
     ))
     return files.withColumn("problem", problem).withColumn(
-        "descriptor", F.when(F.col("problem").isNull() & json.isNotNull(), F.from_json(json, DESCRIPTOR_SCHEMA))
+        "descriptor", F.when(F.col("problem").isNull() & json.isNotNull(), _typed_descriptor(whole))
     ).withColumn("context", F.when(F.col("descriptor").isNotNull(), context))
 
 
@@ -93,8 +147,17 @@ def descriptor_layers(descriptors: DataFrame) -> DataFrame:
     return descriptors.select(F.col("pu").alias("entity"), F.explode("context").alias("_e")).select("entity", "_e.*")
 
 
-def descriptor_json(descriptor: Column) -> Column:
-    """Indented JSON without null fields, closed by CR LF."""
+def descriptor_json(descriptor: Column, context: Column | None = None) -> Column:
+    """Indented JSON without null fields, closed by CR LF; ``context`` (key, value, value_type) is written with its types."""
+    if context is not None:
+        def typed(e: Column) -> Column:
+            quoted = F.to_json(F.array(e["value"]))
+            plain = F.concat(F.lit("["), F.coalesce(e["value"], F.lit("null")), F.lit("]"))
+            item = F.when(e["value_type"] == "STRING", quoted).otherwise(plain)
+            return F.struct(e["key"], F.variant_get(F.parse_json(item), "$[0]", "variant"))
+
+        properties = F.map_from_entries(F.transform(context, typed))
+        descriptor = F.when(descriptor.isNotNull(), descriptor.withField("contextProperties", properties))
     return F.concat(F.to_json(descriptor, {"pretty": "true", "ignoreNullFields": "true"}), F.lit("\r\n"))
 
 

@@ -53,9 +53,35 @@ def test_bad_descriptors(spark, folder):
 
 def test_descriptor_round_trip(spark, folder):
     d = S.read_descriptors(spark, str(folder))
-    text = d.where("pu = 'core'").select(S.descriptor_json(F.col("descriptor")).alias("t")).first().t
-    expected = {k: v for k, v in CORE.items() if k != "contextProperties"}
-    assert json.loads(text) == expected and text.endswith("}\r\n") and "\n  " in text
+    text = d.where("pu = 'core'").select(S.descriptor_json(F.col("descriptor"), F.col("context")).alias("t")).first().t
+    assert json.loads(text) == CORE and text.endswith("}\r\n") and "\n  " in text
+    plain = d.where("pu = 'mirror'").select(S.descriptor_json(F.col("descriptor"), F.col("context")).alias("t")).first().t
+    assert json.loads(plain) == MIRROR
+
+
+@pytest.mark.parametrize("text, problem", [
+    ({"topology": {"instances": "two"}}, "wrong types: $.topology.instances is STRING"),
+    ({"topology": 5}, "wrong types: $.topology is BIGINT"),
+    ([1], "wrong types: $ is ARRAY<BIGINT>"),
+    (None, "wrong types: $ is VOID"),
+    ({"sla": {"zones": "A", "maxInstancesPerVM": True}}, "wrong types: $.sla.zones is STRING, $.sla.maxInstancesPerVM is BOOLEAN"),
+    ({"sla": {"zones": [["A"]]}}, "wrong types: $.sla.zones is ARRAY<ARRAY<STRING>>"),
+    ({"topology": {"instances": 3000000000}, "x": 1}, "wrong types: $.topology.instances is BIGINT; unknown fields: $.x"),
+])
+def test_mistyped_descriptors(spark, text, problem):
+    df = spark.createDataFrame([(json.dumps(text),)], "text string")
+    row = S.parse_descriptors(df, strict=False).first()
+    assert row.problem == problem and row.descriptor is None and row.context is None
+    with pytest.raises(Exception):
+        S.parse_descriptors(df).collect()
+
+
+def test_coerced_descriptors(spark):
+    text = {"name": 7, "topology": {"instances": "4", "partitions": None, "backupsPerPartition": ""},
+            "sla": {"requiresIsolation": "true", "zones": ["A", 1, None], "maxInstancesPerVM": 1.5}}
+    d = S.parse_descriptors(spark.createDataFrame([(json.dumps(text),)], "text string")).first().descriptor
+    assert d.name == "7" and tuple(d.topology) == (None, 4, None, None)
+    assert tuple(d.sla) == (True, ["A", "1", None], 1, None, None)
 
 
 BASE = ("pu string, cluster_schema string, instances int, backups int, requires_isolation boolean, max_per_vm int,"
