@@ -41,7 +41,7 @@ from ..session import written
 from .common import id_remainder, in_arrow, in_groups, mixed, words_of
 
 WEIGHT, SMOOTHING = 0.4, 0.1
-BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, HOT = 500_000, 1 << 21, 32, 1024
+BLOCK_TOKENS, BUCKET_TOKENS, LEAST_BUCKETS, HOT = 500_000, 1 << 20, 32, 1024
 END, START = b"\n", b"\t"  # never words
 STEPS, LOWEST, MISSING = 65534, -24.0, 65535
 SUCCESSOR_BITS = 40
@@ -280,6 +280,7 @@ def _answered(hot: np.ndarray):
         number = np.concatenate([c[u] for c, u in zip(counts, used, strict=True)])
         order = np.lexsort((word, owner))
         owner, word, number = owner[order], word[order], number[order]
+        del at, counts, used, order
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])
         first = np.nonzero(new)[0]
@@ -289,6 +290,7 @@ def _answered(hot: np.ndarray):
         logs = np.log10(WEIGHT * number / np.maximum(total[owner], 1))
         kept, begin = np.unique(owner, return_index=True)
         trie = Trie.build(every[kept], np.append(begin, len(owner)), word, logs).mapped()
+        del owner, word, number, logs, new, first
         codes, back = [], []
         for c, n, s in zip(contexts, sizes, successors, strict=True):
             codes.append(trie.lookup(c, np.repeat(np.arange(len(c)), n), s).tobytes())
