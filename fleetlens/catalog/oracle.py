@@ -232,6 +232,9 @@ _add("container_report", """SELECT host, common_zones, n_containers, c.container
     coalesce(label, '') AS label, coalesce(copies, 0) AS copies
   FROM f_container c JOIN z_common USING (host) LEFT JOIN
     (SELECT container_id, label, count(*) AS copies FROM l_label GROUP BY 1, 2) USING (container_id)""", _COMMON, _LABELS)
+_add("restart_selection", f"""SELECT container_id, count(DISTINCT label) AS labels, count(*) AS copies
+  FROM l_label JOIN f_container USING (container_id) WHERE list_contains(zones, 'LARGE_HEAP')
+  AND {_AS_OF} - start_ts > INTERVAL 28 DAY GROUP BY container_id""", _LABELS)
 _add("containers_per_host", "SELECT host, count(*) AS n_containers FROM f_container GROUP BY host")
 _add("agent_report", """SELECT a.host, required_managers, coalesce(processes, 0) AS processes, coalesce(p.pid, -1) AS pid,
     coalesce(agent_id, -1) AS agent_id, coalesce(service_type, '') AS service_type,
@@ -306,6 +309,7 @@ _add("bad_service_actions", """SELECT b.host, b.pid, '' AS container_id, coalesc
   FROM bad b LEFT JOIN f_agent_process p ON p.host = b.host AND p.pid = b.pid""", _BAD)
 _add("process_containers", """SELECT p.host, p.pid, agent_id, coalesce(container_id, '') AS container_id
   FROM f_agent_process p LEFT JOIN f_container c ON c.host = p.host AND c.pid = p.pid""")
+_add("scan_agents", "SELECT host, pid, required_managers FROM f_agent")
 _add("kill_requests", """SELECT host, agent_id, host AS agent_host, '' AS problem FROM f_agent_process
   UNION ALL SELECT addr, agent_id, host, '' FROM f_agent_process JOIN f_nation USING (host)
   UNION ALL SELECT r_name, 1, '', 'no agent on this host' FROM region""")
@@ -348,6 +352,8 @@ _SQL["descriptor_read"] = """SELECT 'PU_' || p_partkey AS pu,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS name,
   CASE WHEN p_size % 4 <> 0 AND p_size % 3 <> 0 AND p_size % 2 = 0 THEN p_size + 100 ELSE -1 END AS partitions,
   CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type || '/' || p_size END AS max_per_zone FROM part"""
+_SQL["descriptor_of_pu"] = """SELECT 'PU_' || p_partkey AS pu, CASE WHEN p_size % 3 = 1 OR p_size % 4 = 0 THEN '' ELSE p_name END AS name,
+  CASE WHEN p_size % 3 = 1 THEN 'no descriptor file' WHEN p_size % 4 = 0 THEN 'unknown fields: $.surprise' ELSE '' END AS problem FROM part"""
 _SQL["descriptor_types"] = """SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN 'wrong types: $.topology.instances is STRING'
     WHEN 1 THEN 'wrong types: $.topology is BIGINT' WHEN 2 THEN 'wrong types: $ is ARRAY<BIGINT>'
     WHEN 3 THEN 'wrong types: $.sla.zones is STRING' ELSE '' END AS problem,

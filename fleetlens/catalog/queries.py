@@ -70,6 +70,11 @@ def scan_machines(f):
     return inventory.listing(inventory.machines_with_agent(f.machine, f.agent.select("host", "pid")), "machine")
 
 
+@query()
+def scan_agents(f):
+    return inventory.listing(f.agent.select("host", "pid", F.col("required_global_instances")["GSM"].alias("required_managers")), "agent")
+
+
 @query()
 def scan_managers(f):
     return inventory.listing(f.manager, "manager")
@@ -284,6 +289,14 @@ def container_report(f):
     return report.withColumns({"label": F.coalesce("label", F.lit("")), "copies": F.coalesce("copies", F.lit(0))})
 
 
+@query()
+def restart_selection(f):
+    """The report a restart shows for the containers it selects."""
+    options = ContainerFilter(include_zones=["LARGE_HEAP"], longer_than=timedelta(days=28), as_of=AS_OF)
+    report = operations.restart_selection(f.container, facts(f), "each-non-empty", options)["selected"]
+    return report.groupBy("container_id").agg(F.count("label").alias("labels"), F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"))
+
+
 @query()
 def containers_per_host(f):
     return reports.containers_per_host(f.container).orderBy("host")
@@ -550,6 +563,15 @@ def descriptor_read(f):
         F.coalesce(d["sla"]["maxInstancesPerZone"], F.lit("")).alias("max_per_zone"))
 
 
+@query("part")
+def descriptor_of_pu(f):
+    """Every PU with its descriptor; a third of the parts has no file."""
+    found = files.parse_descriptors(_descriptor_files(f), strict=False).join(
+        f.table("part").where("p_size % 3 <> 1").select(F.concat(F.lit("PU_"), "p_partkey").alias("pu")), "pu", "left_semi")
+    return files.descriptors_of(f.pu.select("pu"), found.select("pu", "descriptor", "context", "problem")).select(
+        "pu", F.coalesce("descriptor.name", F.lit("")).alias("name"), F.coalesce("problem", F.lit("")).alias("problem"))
+
+
 @query()
 def descriptor_types(f):
     """Texts whose fields hold other types: three are refused, three are read all the same."""

@@ -8,6 +8,7 @@ from fleetlens.plans.config import config_layers, descriptor_of, overlaid_settin
 from fleetlens.sources import files as S
 
 
+# fixed values: the field names of a descriptor file
 CORE = {
     "name": "core", "resource": "core.jar",
     "topology": {"schema": "partitioned", "partitions": 2, "backupsPerPartition": 1},
