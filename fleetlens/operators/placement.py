@@ -26,8 +26,8 @@ def requirement(pu: DataFrame) -> DataFrame:
     return pu.withColumn("required_zones", zone_set("required_zones"))
 
 
-def eligible_containers(pu: DataFrame, container: DataFrame) -> DataFrame:
-    """``required_zones`` plus the container columns, for each requirement set and container that satisfies it."""
+def _matched_sets(pu: DataFrame, located: DataFrame) -> DataFrame:
+    """(required_zones, zones): requirement sets and the container zone sets that satisfy them."""
     no_zone = F.array(F.lit(None).cast("string"))
     wanted = (
         requirement(pu).select("required_zones").distinct()
@@ -35,17 +35,21 @@ def eligible_containers(pu: DataFrame, container: DataFrame) -> DataFrame:
         .select("required_zones", F.explode(F.when(F.size("required_zones") == 0, no_zone).otherwise(
             F.col("required_zones"))).alias("token"))
     )
-    located = container.withColumn("zones", zone_set("zones"))
     offered = located.select("zones").distinct().select(
         F.col("zones").alias("offered"), F.explode(F.concat("zones", no_zone)).alias("offered_token")
     )
-    # zone sets, not containers, are matched; containers follow by their zone set
-    matched = (
+    return (
         wanted.join(offered, F.col("token").eqNullSafe(F.col("offered_token")))
         .select("required_zones", F.col("offered").alias("zones"))
         .distinct()
     )
-    return matched.join(located, "zones")
+
+
+def eligible_containers(pu: DataFrame, container: DataFrame) -> DataFrame:
+    """``required_zones`` plus the container columns, for each requirement set and container that satisfies it."""
+    located = container.withColumn("zones", zone_set("zones"))
+    # zone sets, not containers, are matched; containers follow by their zone set
+    return _matched_sets(pu, located).join(located, "zones")
 
 
 def container_load(container: DataFrame, instance: DataFrame) -> DataFrame:
@@ -105,11 +109,13 @@ def choose(first: Column, second: Column, current: Column) -> Column:
 
 def candidate_counts(pu: DataFrame, container: DataFrame, instance: DataFrame) -> DataFrame:
     """Containers each PU could start on: zones satisfied and, for an isolated PU, nothing running there."""
-    per_set = (
-        eligible_containers(pu, loaded_containers(container, instance))
-        .groupBy("required_zones")
-        .agg(F.count("*").alias("n_all"), F.count_if(F.col("n_container") == 0).alias("n_empty"))
-    )
+    located = container.withColumn("zones", zone_set("zones"))
+    used = instance.select("container_id").distinct().withColumn("_used", F.lit(True))
+    # containers are counted per zone set before the sets are matched
+    sizes = located.join(used, "container_id", "left").groupBy("zones").agg(
+        F.count("*").alias("n_all"), F.count_if(F.col("_used").isNull()).alias("n_empty"))
+    per_set = _matched_sets(pu, located).join(sizes, "zones").groupBy("required_zones").agg(
+        F.sum("n_all").alias("n_all"), F.sum("n_empty").alias("n_empty"))
     isolated = F.coalesce("requires_isolation", F.lit(False))
     counted = F.when(isolated, F.col("n_empty")).otherwise(F.col("n_all"))
     return requirement(pu).join(per_set, "required_zones", "left").select(
