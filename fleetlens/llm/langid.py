@@ -13,7 +13,7 @@ go to the first language by code point. ``score`` is the winner's posterior at t
 highest seen in calibration plus ``SLACK`` standard deviations over the root of its length.
 
 A null text and one without a letter are ``und``, score 0 and rejected. Repeated rows get equal
-results. With nothing to learn from, every text is ``und``. Extra columns do not matter.
+results; where rows share an id and a language, the least of their texts is learned. With nothing to learn from, every text is ``und``. Extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..session import written
 from .common import id_remainder, in_arrow, ship
 
 ORDER, SAMPLE, TEMPER, SLACK = 4, 1000, 0.2, 4.0
+SLICES = 1 << 12
 UNKNOWN = "und"
 CHARACTERS = 1 << 16
 PIECE = 1 << 20
@@ -154,14 +155,24 @@ def fitted(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> CharacterModel:
 
 
 def _sample(docs: DataFrame, size: int) -> DataFrame:
-    """At most ``size`` documents of each language: doc_id, text, lang and whether the row only calibrates."""
+    """At most ``size`` documents of each language: text, lang and whether the row only calibrates."""
     ids = F.col("doc_id").cast("long")
     known = docs.where("lang is not null and text is not null").where(id_remainder("doc_id", 4) != 2)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (known.select(ids.alias("_id"), "lang").withColumn("_place", F.row_number().over(order))
-              .where(F.col("_place") <= size).select("_id", "_place"))
-    return written(known.select(ids.alias("_id"), "text", "lang").join(chosen.distinct(), "_id")
-                   .select("text", "lang", (F.col("_place") % 5 == 0).alias("checks")))
+    hashed = known.select(ids.alias("_id"), "lang").withColumn("_hash", F.xxhash64("_id")).withColumn(
+        "_slice", F.shiftright("_hash", 64 - (SLICES.bit_length() - 1)))
+    # only slices that begin before the sample is full go on, so ranking a language sees little more than the sample
+    counts = hashed.distinct().groupBy("lang", "_slice").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(
+        Window.partitionBy("lang").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row per language and at most ``size`` ids of each, written so that Spark knows their size when it joins them
+    ends = written(counts.withColumn("_before", before).where(F.col("_before") < size)
+                   .groupBy("lang").agg(F.max("_slice").alias("_end")))
+    order = Window.partitionBy("lang").orderBy("_hash", "_id")
+    chosen = written(hashed.join(ends, "lang").where("_slice <= _end").distinct()
+                     .withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= size).select("lang", "_id", "_place"))
+    return written(known.select(ids.alias("_id"), "text", "lang").join(chosen, ["lang", "_id"])
+                   .groupBy("lang", "_id", (F.col("_place") % 5 == 0).alias("checks")).agg(F.min("text").alias("text"))
+                   .select("text", "lang", "checks"))
 
 
 def _counted(sample: DataFrame) -> DataFrame:
