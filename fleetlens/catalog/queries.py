@@ -203,11 +203,15 @@ def _zero_filled(f, by_partition=False, **kw):
     return snapshot.select("pu", scope_name(), "axis", "key", "potential", "total", "primary", "backup")
 
 
+def _bounds(f, groups=(), **kw):
+    return rebalance.balance_bounds(f.pu, f.container, facts(f), groups, **kw).select(
+        "pu", scope_name(), "axis", "role", "min", "max", "min_key", "max_key", "needs_rebalancing")
+
+
 @query()
 def flagship_machine_balance(f):
     """Least and most loaded machine of every PU, and whether the spread needs a move."""
-    snapshot = counts.placement_snapshot(f.pu, f.container, facts(f), axes=["MACHINE"])
-    return balance.min_max(snapshot, ["pu"], n="total")
+    return _bounds(f, axes=["MACHINE"], roles=["total"]).drop("scope", "axis", "role")
 
 
 @query()
@@ -227,7 +231,8 @@ def count_by_partition(f):
 
 @query()
 def count_hide_zeros(f):
-    return counts.hide_zeros(counts.by_role(_zero_filled(f, True))).drop("potential")
+    held = counts.held_counts(f.container, facts(f), True)
+    return counts.hide_zeros(counts.by_role(held.withColumn("partition_id", scope_name()))).withColumnRenamed("partition_id", "scope")
 
 
 @query()
@@ -242,7 +247,7 @@ def count_retain_zones(f):
 
 @query()
 def min_max_keys(f):
-    return balance.min_max(counts.by_role(_zero_filled(f, True)), ["pu", "scope", "axis", "role"])
+    return _bounds(f, [None], by_partition=True)
 
 
 @query()
@@ -252,12 +257,12 @@ def min_max_ties(f):
 
 @query()
 def zone_group_balance(f):
-    return balance.zone_group_balance(counts.by_role(_zero_filled(f, True)), RACKS[0], ["pu", "scope", "role"])
+    return _bounds(f, RACKS[:1], axes=(), by_partition=True).drop("axis")
 
 
 @query()
 def snapshot_json(f):
-    snapshot = counts.placement_snapshot(f.pu, f.container, facts(f), True)
+    snapshot = counts.held_counts(f.container, facts(f), True)
     return sinks.snapshot_json(snapshot, with_zeros=False).select("json")
 
 

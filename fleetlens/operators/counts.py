@@ -67,6 +67,16 @@ def potential_counts(pu: DataFrame, container: DataFrame, axes: Sequence[str] =
     )
 
 
+def held_counts(
+    container: DataFrame, facts: DataFrame, by_partition: bool = False, axes: Sequence[str] = AXES
+) -> DataFrame:
+    """``placement_snapshot`` without its zero rows and ``potential``: the keys that hold instances, no others."""
+    keyed = container.select("container_id", F.explode(axis_keys(axes)).alias("_key")).select("container_id", "_key.*")
+    held = occupied(slot_counts(facts), keyed, ["axis", "key"])
+    held = held if by_partition else held.where(F.col("scope") == WHOLE)
+    return held.select("pu", F.when(F.col("scope") != WHOLE, F.col("scope")).alias("partition_id"), "axis", "key", *ROLES)
+
+
 def placement_snapshot(
     pu: DataFrame, container: DataFrame, facts: DataFrame, by_partition: bool = False, axes: Sequence[str] = AXES
 ) -> DataFrame:
@@ -111,9 +121,10 @@ def retain_zones(counts: DataFrame, zones: Sequence[str]) -> DataFrame:
 def by_role(counts: DataFrame) -> DataFrame:
     """One row per role: columns ``role`` and ``n`` in place of the three count columns.
 
-    A key that is not eligible appears only in the roles that occupy it.
+    A key that is not eligible appears only in the roles that occupy it; where ``potential``
+    is not known (``held_counts``), every key does.
     """
     pairs = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).cast("bigint").alias("n")) for r in ROLES])
     kept = [c for c in counts.columns if c not in ROLES]
     rows = counts.select(*kept, F.explode(pairs).alias("_pair")).select(*kept, "_pair.*")
-    return rows.where("potential > 0 OR n > 0")
+    return rows.where("potential > 0 OR n > 0" if "potential" in kept else "n > 0")

@@ -1,4 +1,4 @@
-"""Balance checks, the next move of every PU and a bounded simulation of moves.
+"""Balance checks and the next move of every PU.
 
 A check is (PU, scope, role, lane). Scope is a partition or the whole PU. Lanes are
 the zone groups in order, then machine, then container. A check compares the
@@ -27,6 +27,7 @@ from .relocation import NO_TARGET
 NO_CANDIDATE = "no candidate instance"
 _ACTIONS = ("relocate", "demote", "relocate")  # per role, in cascade order
 _CHECK = ["pu", "scope", "role", "lane"]
+_SINGLE = ("MACHINE", "CONTAINER")  # lanes after the zone groups
 
 
 def zone_groups(groups: Sequence[Sequence[str]]) -> list[list[str]]:
@@ -43,17 +44,23 @@ def validated_zone_group(zones: Column) -> Column:
     return F.when(F.size(zones) < 2, short).otherwise(zone_set(zones))
 
 
-def _lane_keys(groups: Sequence[Sequence[str]]) -> Column:
-    """Array of (lane, key) of a container row; the lane number is its place in the cascade."""
+def _lane_keys(groups: Sequence[Sequence[str] | None], axes: Sequence[str] = _SINGLE) -> Column:
+    """Array of (lane, key) of a container row; the lane number is its place in the cascade.
 
-    def zone_lane(lane: int, group: Sequence[str]) -> Column:
-        inside = F.array_intersect(zone_set("zones"), F.array(*[F.lit(z) for z in group]).cast("array<string>"))
+    A group of None holds every zone; ``axes`` are the lanes wanted besides the groups.
+    """
+
+    def zone_lane(lane: int, group: Sequence[str] | None) -> Column:
+        inside = zone_set("zones")
+        if group is not None:
+            inside = F.array_intersect(inside, F.array(*[F.lit(z) for z in group]).cast("array<string>"))
         return F.transform(inside, lambda z: F.struct(F.lit(lane).alias("lane"), z.alias("key")))
 
     parts = [zone_lane(lane, group) for lane, group in enumerate(groups)]
-    for lane, column in enumerate(("host", "container_id"), len(groups)):
-        key = F.col(column).cast("string").alias("key")
-        parts.append(F.array(F.struct(F.lit(lane).alias("lane"), key)))
+    for lane, (axis, column) in enumerate(zip(_SINGLE, ("host", "container_id"), strict=True), len(groups)):
+        if axis in axes:
+            key = F.col(column).cast("string").alias("key")
+            parts.append(F.array(F.struct(F.lit(lane).alias("lane"), key)))
     return F.concat(*parts)
 
 
@@ -77,12 +84,13 @@ def _nonzero(held: DataFrame) -> DataFrame:
 class _Keys:
     """Ordered eligible keys per requirement set and lane; PUs with the same requirements share a list."""
 
-    def __init__(self, pu: DataFrame, container: DataFrame, groups: Sequence) -> None:
+    def __init__(self, pu: DataFrame, container: DataFrame, groups: Sequence, axes: Sequence[str] = _SINGLE) -> None:
+        self.lane_keys = _lane_keys(groups, axes)
         owner = F.array_join("required_zones", "\x01").alias("owner")
         self.owners = requirement(pu).select("pu", owner)
         eligible = (
             eligible_containers(pu, container)
-            .select(owner, F.explode(_lane_keys(groups)).alias("_key"))
+            .select(owner, F.explode(self.lane_keys).alias("_key"))
             .select("owner", "_key.lane", "_key.key")
             .distinct()
         )
@@ -98,15 +106,16 @@ class _Keys:
         """Number of eligible keys and first eligible key per PU and lane."""
         return self.owners.join(self.heads, "owner").select("pu", "lane", "n_keys", "first")
 
-    def held(self, container: DataFrame, slots: DataFrame, groups: Sequence) -> DataFrame:
+    def held(self, container: DataFrame, slots: DataFrame) -> DataFrame:
         """Counts per PU, scope, lane and occupied key.
 
         ``offered`` tells whether the key is eligible too; other occupied keys never count as
         zero. It is settled per requirement set and container, so the large side is joined on
-        that pair and never on a zone name, which a third of all rows may share.
+        that pair and never on a zone name, which a third of all rows may share. A PU without a
+        row of its own is eligible nowhere.
         """
-        owned = slots.join(self.owners, "pu")
-        lane_keys = container.select("container_id", F.explode(_lane_keys(groups)).alias("_key")).select(
+        owned = slots.join(self.owners, "pu", "left").withColumn("owner", F.coalesce("owner", F.lit("\x02")))
+        lane_keys = container.select("container_id", F.explode(self.lane_keys).alias("_key")).select(
             "container_id", "_key.*"
         )
         offered = self.ordered.select("owner", "lane", "key", F.lit(True).alias("offered"))
@@ -198,12 +207,32 @@ def rebalance_checks(
 ) -> DataFrame:
     """Every check of the cascade with its bounds, their smallest keys and its verdict."""
     keys = _Keys(pu, container, groups)
-    held = written(keys.held(container, written(slot_counts(facts)), groups))
-    nonzero = _nonzero(held)
-    roles = F.explode(F.array(*[F.lit(i) for i in range(len(ROLES))]))
+    held = written(keys.held(container, written(slot_counts(facts))))
+    return _bounded(keys, held, held.select("pu", "scope"), ROLES, groups)
+
+
+def balance_bounds(
+    pu: DataFrame, container: DataFrame, facts: DataFrame, groups: Sequence[Sequence[str] | None] = (),
+    axes: Sequence[str] = _SINGLE, by_partition: bool = False, roles: Sequence[str] = ROLES,
+) -> DataFrame:
+    """Bounds of the counters of the given zone groups and axes, also of PUs without instances.
+
+    The same rows as ``min_max`` over zero-filled counts, from occupied keys alone. A group of None
+    holds every zone. Without ``by_partition`` only the whole PU is measured.
+    """
+    keys = _Keys(pu, container, groups, axes)
+    held = keys.held(container, written(slot_counts(facts)))
+    held = written(held if by_partition else held.where(F.col("scope") == WHOLE))
+    scopes = held.select("pu", "scope").union(pu.select("pu", F.lit(WHOLE)))
+    return _bounded(keys, held, scopes, roles, groups)
+
+
+def _bounded(keys: _Keys, held: DataFrame, scopes: DataFrame, wanted: Sequence[str], groups: Sequence) -> DataFrame:
+    nonzero = _nonzero(held).where(F.col("role").isin([ROLES.index(r) for r in wanted]))
+    roles = F.explode(F.array(*[F.lit(ROLES.index(r)) for r in wanted]))
     # a PU has a fixed few roles and lanes, so this adds a fixed factor to its partitions;
     # occupied checks without any eligible key come in from the other side
-    every = held.select("pu", "scope").distinct().withColumn("role", roles).join(keys.per_pu(), "pu")
+    every = scopes.distinct().withColumn("role", roles).join(keys.per_pu(), "pu")
     stats = every.join(_occupied_stats(nonzero), _CHECK, "full").fillna(0, ["n_taken", "n_keys"])
     full = _with_min_key(_minimum(stats), nonzero, keys)
     high = F.coalesce("max", F.lit(0))
@@ -230,7 +259,7 @@ def rebalance_step(
     all_slots = written(slot_counts(facts))
     slots = all_slots if pus is None else all_slots.join(pus, "pu", "left_semi")
     keys = _Keys(wanted, container, groups)
-    held = written(keys.held(container, slots, groups))
+    held = written(keys.held(container, slots))
 
     # one small row per PU; written once because four joins below read it
     first = _first_failed(held, keys.per_pu(), len(groups) + 2)
