@@ -285,11 +285,18 @@ _add("rebalance_step", f"""SELECT s.pu, {_CHECK_NAMES.replace('role + 1', 's.rol
     coalesce(c.is_stateful AND s.role <> 1, false) AS demote_first
   FROM s_first s LEFT JOIN s_candidate c ON c.pu = s.pu LEFT JOIN s_target t ON t.pu = s.pu""",
      _checks([["RACK_0", "RACK_1"]]), _STEP, level="part")
-_add("host_drain", f""", t AS (SELECT e.pu, arg_min(l.container_id, (n_container, n_machine, l.container_id)) AS target_id
-    FROM f_elig e JOIN f_load l USING (container_id) WHERE NOT (l.{_DRAINED.replace(' addr', ' l.addr')}) GROUP BY e.pu)
-  SELECT instance_id, f.pu, host, f.container_id, coalesce(target_id, '') AS target_id, is_stateful AS demote_first,
+_add("host_drain", f""", m AS (SELECT f.*, host, required_zones AS rz, row_number() OVER (PARTITION BY required_zones
+    ORDER BY instance_id, f.container_id) AS i FROM f_facts f JOIN f_container c USING (container_id) JOIN f_pu USING (pu) WHERE {_DRAINED}),
+  size AS (SELECT rz, count(*) AS movers FROM m GROUP BY rz),
+  t AS (SELECT rz, movers, l.container_id, n_container, n_machine FROM size JOIN f_load l
+    ON (len(rz) = 0 OR list_has_any(rz, zones)) WHERE NOT (l.{_DRAINED.replace(' addr', ' l.addr')})),
+  up AS (SELECT rz, max(n_container) + any_value(movers) // count(*) + 2 AS highest FROM t GROUP BY rz),
+  p AS (SELECT * FROM (SELECT *, unnest(range(n_container, highest)) AS level FROM t JOIN up USING (rz))
+    QUALIFY row_number() OVER (PARTITION BY rz ORDER BY level, n_machine, container_id) <= movers),
+  r AS (SELECT rz, container_id AS target_id, row_number() OVER (PARTITION BY rz ORDER BY n_machine, container_id, level) AS i FROM p)
+  SELECT instance_id, pu, host, container_id, coalesce(target_id, '') AS target_id, is_stateful AS demote_first,
     CASE WHEN target_id IS NULL THEN 'no container meets the requirements' ELSE '' END AS problem
-  FROM f_facts f JOIN f_container c USING (container_id) LEFT JOIN t ON t.pu = f.pu WHERE {_DRAINED}""", level="part")
+  FROM m LEFT JOIN r USING (rz, i)""", level="part")
 _add("drain_status", f"""SELECT host, remaining, remaining = 0 AS agent_may_stop, remaining > 0 AS next_round FROM (
   SELECT n.host, count(instance_id) AS remaining FROM f_nation n LEFT JOIN f_container c ON c.host = n.host
   LEFT JOIN f_facts f ON f.container_id = c.container_id WHERE n.{_DRAINED.replace(' addr', ' n.addr')} GROUP BY n.host)""")

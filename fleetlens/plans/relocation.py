@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..operators.ordering import ordinal_within, running_sum
 from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, requirement
+from ..session import written
 
 NO_TARGET = "no container meets the requirements"
+BLOCK = 64  # places that movers look up together
 
 
 def _choices_per_pu(pu: DataFrame, choices: DataFrame) -> DataFrame:
@@ -22,8 +25,9 @@ def relocation_targets(
 ) -> DataFrame:
     """Best other container for each instance; ``same`` names a container column the target must share.
 
-    Choices are made per requirement set and handed to the PUs first: there are so few
-    sets that joining instances on them would fill only a handful of tasks.
+    Each row answers for its instance alone, on the loads as they are; ``host_drain`` spreads
+    movers that go together. Choices are made per requirement set and handed to the PUs first:
+    there are so few sets that joining instances on them would fill only a handful of tasks.
     ``origin_empty`` tells that nothing is left in the old container after the move.
     """
     loaded = loaded_containers(container, facts)
@@ -42,13 +46,42 @@ def relocation_targets(
     )
 
 
+def _owner() -> Column:
+    return F.array_join("required_zones", "\x01").alias("owner")
+
+
+def _filled(eligible: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(owner, container_id, from, to): the places of each container when all movers of an owner are spread.
+
+    Containers are filled from the least loaded up to a common level; what is then left over goes
+    one each to the first containers by (n_machine, container_id). ``sizes`` has (owner, movers).
+    """
+    upwards = Window.partitionBy("owner").orderBy("n_container").rowsBetween(Window.unboundedPreceding, 0)
+    # the window sees distinct loads, not containers
+    steps = eligible.groupBy("owner", "n_container").agg(F.count("*").alias("n")).select(
+        "owner", "n_container", F.sum("n").over(upwards).alias("below"),
+        F.sum(F.col("n") * F.col("n_container")).over(upwards).alias("held"))
+    need = F.col("below") * F.col("n_container") - F.col("held")
+    top = steps.join(sizes, "owner").where(need <= F.col("movers")).groupBy("owner").agg(
+        F.max(F.struct("n_container", "below", (F.col("movers") - need).alias("rest"))).alias("top"))
+    levels = top.select("owner", F.col("top.n_container").alias("highest"), F.expr("top.n_container + top.rest div top.below").alias("level"),
+                        F.expr("top.rest % top.below").alias("extra"))
+    order = ["n_machine", "container_id"]
+    used = ordinal_within(eligible.join(levels, "owner").where("n_container <= highest"), ["owner"], order, "place")
+    room = F.col("level") - F.col("n_container") + (F.col("place") < F.col("extra")).cast("long")
+    ends = running_sum(used.withColumn("room", room).where("room > 0"), ["owner"], order, "room", "to")
+    return ends.select("owner", "container_id", (F.col("to") - F.col("room")).alias("from"), "to")
+
+
 def host_drain(
     pu: DataFrame, container: DataFrame, machine: DataFrame, facts: DataFrame, hosts: Sequence[str]
 ) -> DataFrame:
     """Instances on the given hosts (names or addresses) with targets on the other machines.
 
-    Naming every machine is an error. The error is part of the plan, so it is raised
-    by the job that runs it and nothing is collected here.
+    The movers of PUs with equal zone requirements are spread so that the containers they go to end
+    up equally full, give or take one; every requirement set starts from the loads before the drain.
+    Naming every machine is an error. The error is part of the plan, so it is raised by the
+    first job that reads the leaving containers and nothing is collected here.
     """
     named = P.on_machines(F.col("host"), F.col("addr"), hosts)
     guard = machine.agg(F.count("*").alias("machines"), F.count_if(named).alias("matching")).select(
@@ -58,16 +91,24 @@ def host_drain(
         ).otherwise(F.lit(True)).alias("allowed")
     )
     loaded = loaded_containers(container, facts)
-    leaving = loaded.where(named).select("container_id", "host")
-    choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded.where(P.negate(named)))))
+    leaving = loaded.where(named).select("container_id", "host").join(F.broadcast(guard), F.col("allowed"))  # one row
+    owners = requirement(pu).select("pu", _owner())
+    # a PU without a row of its own has no targets
+    movers = facts.join(leaving.drop("allowed"), "container_id").join(owners, "pu", "left").select(
+        "instance_id", "pu", "host", "container_id", "is_stateful", F.coalesce("owner", F.lit("\x02")).alias("owner"))
+    movers = written(ordinal_within(movers, ["owner"], ["instance_id", "container_id"], "place"))
+    eligible = written(eligible_containers(pu, loaded.where(P.negate(named))).select(
+        _owner(), "container_id", "n_container", "n_machine"))
+    places = _filled(eligible, movers.groupBy("owner").agg(F.count("*").alias("movers"))).select(
+        F.col("owner").alias("_owner"), F.col("container_id").alias("target_id"), "from", "to",
+        F.explode(F.sequence(F.expr(f"`from` div {BLOCK}"), F.expr(f"(`to` - 1) div {BLOCK}"))).alias("block"))
+    place = F.col("place")
     return (
-        facts.join(leaving, "container_id")
-        .join(F.broadcast(guard), F.col("allowed"))  # one row
-        .join(choices, "pu", "left")
+        movers.join(places, (F.col("owner") == F.col("_owner")) & (F.expr(f"place div {BLOCK}") == F.col("block"))
+                    & (place >= F.col("from")) & (place < F.col("to")), "left")
         .select(
-            "instance_id", "pu", "host", "container_id", F.col("first_id").alias("target_id"),
-            F.col("is_stateful").alias("demote_first"),
-            F.when(F.col("first_id").isNull(), F.lit(NO_TARGET)).alias("problem"),
+            "instance_id", "pu", "host", "container_id", "target_id", F.col("is_stateful").alias("demote_first"),
+            F.when(F.col("target_id").isNull(), F.lit(NO_TARGET)).alias("problem"),
         )
     )
 

@@ -136,6 +136,22 @@ def test_host_drain(spark):
     assert relocation.drain_status(machine, container, facts.where("container_id <> 'c1'"), ["h1"], 1).first().agent_may_stop
 
 
+def test_drain_fills_evenly(spark):
+    container = spark.createDataFrame([("from", "h0", "10.0", ["A"], 1), *[(f"c{n}", f"h{n}", f"10.{n}", ["A"], 1) for n in (0, 2, 5)]],
+                                      "container_id string, host string, addr string, zones array<string>, pid bigint")
+    container = container.withColumn("host", F.when(F.col("container_id") == "from", "old").otherwise(F.col("host")))
+    pu = spark.createDataFrame([("a", 9, ["A"], False), ("none", 9, ["Z"], False)],
+                               "pu string, planned int, required_zones array<string>, requires_isolation boolean")
+    held = ["from"] * 7 + ["c2"] * 2 + ["c5"] * 5
+    facts = spark.createDataFrame([(f"i{k:02}", "none" if k == 3 else "a", 0, c, False, False, False) for k, c in enumerate(held)], FACTS)
+    machine = container.select("host", "addr").distinct()
+    plan = relocation.host_drain(pu, container, machine, facts, ["old"]).collect()
+    assert sorted(r.instance_id for r in plan) == [f"i{k:02}" for k in range(7)]
+    assert sorted(r.target_id or r.problem for r in plan) == ["c0"] * 4 + ["c2"] * 2 + [relocation.NO_TARGET]
+    assert {r.instance_id for r in plan if r.problem} == {"i03"}
+    assert relocation.host_drain(pu, container, machine, facts.limit(0), ["old"]).count() == 0
+
+
 def test_restart_selection_and_scopes(spark):
     pu, container, facts, machine = small_fleet(spark)
     ids = {s: {r.container_id for r in C.select_containers(container, facts, s).collect()} for s in C.SCOPES}
