@@ -94,7 +94,7 @@ def parse_zone_limits(text: Column) -> Column:
     def entry(item: Column) -> Column:
         return F.struct(
             F.trim(F.get(parts(item), F.lit(0))).alias("key"),
-            F.trim(F.get(parts(item), F.lit(1))).cast("int").alias("value"),
+            F.trim(F.get(parts(item), F.lit(1))).try_cast("int").alias("value"),
         )
 
     items = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), ",+$", ""), ",")
@@ -104,8 +104,10 @@ def parse_zone_limits(text: Column) -> Column:
         entries,
         lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda later: later["key"] == e["key"]),
     )
+    # a count that is no number is an error whatever the session's cast mode
+    unread = F.exists(entries, lambda e: e["value"].isNull())
     failure = F.raise_error(F.concat(F.lit("invalid zone limits: "), text)).cast("map<string,int>")
-    return F.when(bad, failure).otherwise(F.map_from_entries(last))
+    return F.when(bad | unread, failure).otherwise(F.map_from_entries(last))
 
 
 def format_zone_limits(limits: Column, count_first: bool = False) -> Column:

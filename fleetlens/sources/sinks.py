@@ -28,14 +28,10 @@ def jvm_details(report: DataFrame) -> DataFrame:
 
 
 def write_jvm_details(report: DataFrame, path: str) -> None:
-    """Folder per host, component type and pid with the JVM's text."""
-    (
-        # the writer closes the text with its own line end
-        jvm_details(report)
-        .withColumn("value", F.regexp_replace("value", r"\n\z", ""))
-        .repartition("host", "component_type", "pid")
-        .write.partitionBy("host", "component_type", "pid").text(path)
-    )
+    """A JSON row per JVM (host, component type, pid, text), in that order over the files of the folder."""
+    # the text goes without its last line end; rows instead of a folder per JVM keep the number of files bounded
+    rows = jvm_details(report).withColumn("value", F.regexp_replace("value", r"\n\z", ""))
+    rows.orderBy("host", "component_type", "pid", "value").write.json(path)
 
 
 def write_dump_reports(reports: DataFrame, path: str) -> None:

@@ -18,9 +18,15 @@ def test_zone_limits(spark):
 
 
 @pytest.mark.parametrize("bad", ["A/1/2", "/", "A/x"])
-def test_bad_zone_limits(spark, bad):
-    with pytest.raises(Exception):
-        values(spark, [bad], X.parse_zone_limits)
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_bad_zone_limits(spark, bad, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="invalid zone limits"):
+            values(spark, [bad], X.parse_zone_limits)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 def test_format_zone_limits(spark):

@@ -204,10 +204,10 @@ def test_sinks(spark, tmp_path):
         "host string, pid bigint, component_type string, component_rank int, heap_init_mb bigint, heap_max_mb bigint,"
         " uptime interval day to second, description string, env map<string,string>, sysprops map<string,string>")
     sinks.write_jvm_details(report, str(tmp_path / "jvm"))
-    files = list((tmp_path / "jvm").glob("host=h1/component_type=GSC/pid=7/*.txt"))
-    assert len(files) == 1 and files[0].read_text() == (
+    rows = [json.loads(x) for f in (tmp_path / "jvm").glob("*.json") for x in f.read_text().splitlines()]
+    assert rows == [{"host": "h1", "component_type": "GSC", "pid": 7, "value": (
         "GSC :     7 : running on h1 for PT49H0.5S         : Heap [    1 MB,     2 MB] : v : n : 1\n"
-        "JVM Environment Variables : \nA : 1\nB : 2\nJVM System Properties : \n")
+        "JVM Environment Variables : \nA : 1\nB : 2\nJVM System Properties : ")}]
     sinks.write_dump_reports(reports.dump_reports(container, facts, ["heap"], AS_OF), str(tmp_path / "dump"))
     lines = [json.loads(x) for f in (tmp_path / "dump").glob("*.json") for x in f.read_text().splitlines()]
     assert len(lines) == 5 and "pu_name" not in next(x for x in lines if x["container_id"] == "c2")
