@@ -394,6 +394,14 @@ SELECT app, pu, 5 AS planned, running, CASE WHEN coalesce(done <= deadline, fals
   CASE WHEN coalesce(done <= deadline, false) THEN strftime(done, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS done_ts
 FROM st JOIN dl USING (app)"""
 _add("readiness_batch", _READY)
+_add("application_outcome", """, run AS (SELECT *, sum(delta) OVER (PARTITION BY app, pu ORDER BY ts, event_id) AS n FROM f_ready),
+  dl AS (SELECT app, min(ts) + INTERVAL 2 DAY AS deadline FROM f_ready GROUP BY app),
+  st AS (SELECT app, pu, min(ts) FILTER (n >= 5) AS done, row_number() OVER (PARTITION BY app ORDER BY pu DESC) - 1 AS place
+    FROM run GROUP BY app, pu),
+  x AS (SELECT *, coalesce(done <= deadline, false) AS fine FROM st JOIN dl USING (app))
+SELECT app, CASE WHEN bool_and(fine) THEN 'DEPLOYED' ELSE 'TIMED_OUT' END AS status, count(*) AS declared,
+  coalesce(min(place) FILTER (NOT fine), count(*)) AS deployed, coalesce(arg_min(pu, place) FILTER (NOT fine), '') AS failed_pu,
+  CASE WHEN bool_and(fine) THEN strftime(max(done), '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS done_ts FROM x GROUP BY app""")
 _add("readiness_stream", _READY)
 _add("readiness_progress", """, run AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY app, pu ORDER BY ts, event_id) AS BIGINT) AS n
     FROM f_ready)

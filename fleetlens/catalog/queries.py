@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -684,6 +684,18 @@ def readiness_batch(f):
     return _verdicts(readiness.readiness_batch(f.readiness, _planned(f), TIMEOUT))
 
 
+@query()
+def application_outcome(f):
+    """Verdict of every application; its PUs are awaited from the last name to the first."""
+    planned = _planned(f)
+    declared = planned.select("app", "pu", F.row_number().over(
+        Window.partitionBy("app").orderBy(F.col("pu").desc())).alias("place")).selectExpr("app", "pu", "place - 1 AS ordinal")
+    judged = readiness.readiness_batch(f.readiness, planned, TIMEOUT)
+    return readiness.outcomes(judged, declared).withColumns({
+        "failed_pu": F.coalesce("failed_pu", F.lit("")),
+        "done_ts": F.coalesce(F.date_format("done_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(""))})
+
+
 @query()
 def readiness_progress(f):
     return readiness.progress(f.readiness, "1 day")

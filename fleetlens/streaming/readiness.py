@@ -63,6 +63,23 @@ def readiness_batch(events: DataFrame, planned: DataFrame, timeout: timedelta) -
     return verdicts(_progress(events, planned, empty), planned, timeout)
 
 
+def outcomes(judged: DataFrame, declared: DataFrame) -> DataFrame:
+    """One row per application: PUs are awaited in declared order and the first late one fails the whole.
+
+    ``judged``: rows of ``verdicts``; ``declared``: app, pu, ordinal (from 0 without gaps). A declared
+    PU without a verdict is late; PUs that are not declared are not awaited.
+    """
+    late = ~F.coalesce(F.col("status") == "DONE", F.lit(False))
+    per_app = declared.join(judged.select(*_PU, "status", "done_ts"), _PU, "left").groupBy("app").agg(
+        F.count("*").alias("declared"), F.max("done_ts").alias("last"),
+        F.min(F.when(late, F.struct("ordinal", "pu"))).alias("failed"))
+    failed = F.col("failed").isNotNull()
+    return per_app.select(
+        "app", F.when(failed, "TIMED_OUT").otherwise("DEPLOYED").alias("status"), "declared",
+        F.coalesce("failed.ordinal", "declared").cast("bigint").alias("deployed"), F.col("failed.pu").alias("failed_pu"),
+        F.when(~failed, F.col("last")).alias("done_ts"))
+
+
 def progress(events: DataFrame, every: str = "5 seconds") -> DataFrame:
     """Instances running at the end of each interval that saw a change."""
     needed = events.select(*_PU, "ts", "event_id", "delta")

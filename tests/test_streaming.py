@@ -26,6 +26,17 @@ def test_readiness_of_three_pus(spark):
     assert got == {"stateful": "DONE", "stateless": "DONE", "mirror": "TIMED_OUT"}
 
 
+def test_application_fails_at_its_first_late_pu(spark):
+    judged = spark.createDataFrame(
+        [("a", "x", "DONE", at(3)), ("a", "y", "DONE", at(2)), ("b", "x", "DONE", at(1)), ("b", "y", "TIMED_OUT", None),
+         ("b", "z", "TIMED_OUT", None), ("b", "undeclared", "TIMED_OUT", None)], "app string, pu string, status string, done_ts timestamp_ntz")
+    declared = spark.createDataFrame(
+        [("a", "y", 0), ("a", "x", 1), ("b", "x", 0), ("b", "z", 1), ("b", "y", 2), ("c", "q", 0)], "app string, pu string, ordinal int")
+    got = {r.app: (r.status, r.declared, r.deployed, r.failed_pu, r.done_ts) for r in R.outcomes(judged, declared).collect()}
+    assert got == {"a": ("DEPLOYED", 2, 2, None, at(3)), "b": ("TIMED_OUT", 3, 1, "z", None), "c": ("TIMED_OUT", 1, 0, "q", None)}
+    assert R.outcomes(judged, declared.limit(0)).count() == 0
+
+
 def write_parts(df, folder, parts):
     """Time-ordered files, so that a stream sees several batches."""
     ordered = df.orderBy("ts", "event_id").collect() if "event_id" in df.columns else df.orderBy("ts").collect()
