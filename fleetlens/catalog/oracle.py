@@ -254,6 +254,11 @@ j_line AS (SELECT *, component_type || ' : ' || lpad(CAST(pid AS VARCHAR), CAST(
 """
 _add("jvm_report", """SELECT component_type, component_rank, host, pid, heap_init_mb, heap_max_mb,
   hours * 3600 AS uptime_seconds, description, line FROM j_line""", _JVM)
+_add("full_report", """SELECT 'managers' AS section, host, -1 AS pid, '' AS text FROM f_manager
+  UNION ALL SELECT 'agents', a.host, coalesce(p.pid, -1), coalesce(service_type, '') FROM f_agent a LEFT JOIN f_agent_process p USING (host)
+  UNION ALL SELECT 'jvms', host, pid, line FROM j_line
+  UNION ALL SELECT 'containers', host, pid, coalesce(label || ' x ' || copies, '') FROM f_container LEFT JOIN
+    (SELECT container_id, label, count(*) AS copies FROM l_label GROUP BY 1, 2) USING (container_id)""", _JVM, _LABELS)
 _add("jvm_details", """SELECT host, component_type, pid, line || chr(10) || 'JVM Environment Variables : ' || chr(10)
   || 'REGION : ' || region || chr(10) || 'JVM System Properties : ' || chr(10) || 'host : ' || host || chr(10)
   || 'pid : ' || pid || chr(10) AS value FROM j_line""", _JVM)

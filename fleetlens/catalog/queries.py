@@ -338,6 +338,23 @@ def jvm_report(f):
         seconds("uptime").alias("uptime_seconds"), "description", "line")
 
 
+@query()
+def full_report(f):
+    """The four reports one below the other: section, host, pid and text of each line."""
+    parts = reports.full_report(f, facts(f), AS_OF)
+    parts["jvms"] = reports.jvm_line(parts["jvms"])
+    none, empty = F.lit(-1).cast("bigint"), F.lit("")
+    texts = {
+        "managers": (none, empty),
+        "agents": (F.coalesce("pid", none), F.coalesce("service_type", empty)),
+        "jvms": (F.col("pid"), F.col("line")),
+        "containers": (F.col("pid"), F.coalesce(F.concat("label", F.lit(" x "), F.col("copies").cast("string")), empty)),
+    }
+    lines = [parts[name].select(F.lit(name).alias("section"), "host", pid.cast("bigint").alias("pid"), text.alias("text"))
+             for name, (pid, text) in texts.items()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2]).unionByName(lines[3])
+
+
 @query()
 def jvm_details(f):
     return sinks.jvm_details(reports.jvm_report(f.jvm, f.container, f.manager, f.agent, AS_OF))

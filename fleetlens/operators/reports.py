@@ -143,7 +143,7 @@ def full_report(fleet, facts: DataFrame, as_of) -> dict[str, DataFrame]:
     """The four reports in print order; ``fleet`` has the inventory tables as attributes."""
     return {
         "managers": manager_report(fleet.manager),
-        "agents": agent_report(fleet.agent, fleet.agent_process).orderBy("host", "pid"),
+        "agents": agent_report(fleet.agent.drop("pid"), fleet.agent_process).orderBy("host", "pid"),
         "jvms": jvm_report(fleet.jvm, fleet.container, fleet.manager, fleet.agent, as_of).orderBy(*JVM_ORDER),
         "containers": container_report(fleet.container, facts).orderBy(*REPORT_ORDER),
     }

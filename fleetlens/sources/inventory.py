@@ -64,10 +64,6 @@ def flatten_processes(agent: DataFrame) -> DataFrame:
     return agent.select("host", F.explode("processes").alias("_p")).select("host", "_p.*")
 
 
-def containers_with_host(container: DataFrame, machine: DataFrame) -> DataFrame:
-    return container.join(machine, "host")
-
-
 def machines_with_agent(machine: DataFrame, agent: DataFrame) -> DataFrame:
     """Machines with their agent; null agent columns where none runs."""
     return machine.join(agent, "host", "left")
