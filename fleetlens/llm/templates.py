@@ -22,6 +22,8 @@ from ..session import written
 
 WINDOW, LITERALS, LEAST = 8, 5, 2
 NUMBER, NAME, UNIT = "\uE001", "\uE002", "\uE003"
+#: Around a value: unit, name and number follow the first three, whichever it is.
+_MARKS = ("\uE001", "\uE002", "\uE003", "\uE004")
 _NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*"
 _NAME = r"(?<=[^.!?\s] )\p{Lu}\p{Ll}+"
 UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "inches", "inch", "kg", "g", "mg", "pounds", "pound",
@@ -30,19 +32,22 @@ UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "foot", "inches", "inch
 _UNIT = r"(?<=\p{N} ?)(?:" + "|".join(UNITS) + r"|[%$€£°])(?!\p{L})"
 
 
+def pieces(text: Column) -> Column:
+    """Words of a text, lower-cased, and its values, each behind the marks of its kind; one pass finds all kinds."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "".join(_MARKS), " " * len(_MARKS))
+    marked = F.regexp_replace(plain, f"({_UNIT})|({_NAME})|({_NUMBER})", " {}$1{}$2{}$3{} ".format(*_MARKS))
+    return F.regexp_extract_all(F.lower(marked), F.lit("{0}[^{3}]*{3}|[\\p{{L}}\\p{{N}}]+".format(*_MARKS)), F.lit(0))
+
+
 def template_tokens(text: Column) -> Column:
     """Lower-cased words and placeholders of a text."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\uE001-\uE003]", " ")
-    shape = F.regexp_replace(plain, _UNIT, f" {UNIT} ")
-    shape = F.regexp_replace(shape, _NAME, f" {NAME} ")
-    shape = F.regexp_replace(shape, _NUMBER, f" {NUMBER} ")
-    return F.array_remove(F.split(F.lower(shape), "[^\\p{L}\\p{N}\uE001-\uE003]+"), "")
+    return F.transform(pieces(text), _token)
 
 
-def slot_values(text: Column) -> Column:
-    """What the placeholders stand for, in order, lower-cased."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[\uE001-\uE003]", " ")
-    return F.transform(F.regexp_extract_all(plain, F.lit(f"({_UNIT}|{_NAME}|{_NUMBER})"), F.lit(1)), F.lower)
+def _token(piece: Column) -> Column:
+    unit, name, number, _ = _MARKS
+    return (F.when(piece.startswith(unit + name + number), NUMBER).when(piece.startswith(unit + name), NAME)
+            .when(piece.startswith(unit), UNIT).otherwise(piece))
 
 
 def _is_slot(token: Column) -> Column:
@@ -72,8 +77,9 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, literals: int = LI
 
 def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, value of every placeholder."""
-    places = F.filter(F.transform("tokens", lambda x, i: F.when(_is_slot(x), i)), lambda i: i.isNotNull())
-    pairs = rows.select(*keys, F.explode(F.arrays_zip(places.alias("pos"), F.col("values").alias("value"))).alias("s"))
+    placed = F.transform("pieces", lambda x, i: F.when(x.startswith(_MARKS[0]), F.struct(
+        i.alias("pos"), F.translate(x, "".join(_MARKS), "").alias("value"))))
+    pairs = rows.select(*keys, F.explode(F.filter(placed, lambda s: s.isNotNull())).alias("s"))
     return pairs.select(*keys, F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
 
 
@@ -89,9 +95,9 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
     runs = written(runs.where(F.size("covered") >= F.least(F.lit(least), F.col("windows"))))
     wanted = runs.select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.select(ids.alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    detail = [template_tokens(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values")]
-    there = _slots(texts.select("doc_id", *detail), ["doc_id"]).withColumnsRenamed({"doc_id": "_id", "pos": "_pos", "value": "there"})
-    here = _slots(items.select(F.col("item_id").cast("long").alias("_item"), F.xxhash64("text").alias("_wording"), *detail),
+    detail = pieces(F.col("text")).alias("pieces")
+    there = _slots(texts.select("doc_id", detail), ["doc_id"]).withColumnsRenamed({"doc_id": "_id", "pos": "_pos", "value": "there"})
+    here = _slots(items.select(F.col("item_id").cast("long").alias("_item"), F.xxhash64("text").alias("_wording"), detail),
                   ["_item", "_wording"]).withColumnRenamed("value", "here")
     inside = F.exists("covered", lambda p: (F.col("pos") >= p) & (F.col("pos") < p + window))
     filled = (

@@ -225,6 +225,23 @@ def test_contamination(spark):
     assert not templates.leaks(docs_of(spark, texts), items.limit(0)).count()
 
 
+def test_values_stand_at_their_places(spark):
+    texts = ["grew 5% Growth now", "in 5 minutes John ran", "the Foo12 ran", "a 5 km2 field", "\uE001 \uE004x 1.5km \uE003"]
+    rows = docs_of(spark, texts).select("doc_id", templates.pieces(F.col("text")).alias("pieces"))
+    got = {(r.doc_id, r.pos): r.value for r in templates._slots(rows, ["doc_id"]).collect()}
+    assert got == {(0, 1): "5", (0, 2): "%", (0, 3): "growth", (1, 1): "5", (1, 2): "minutes", (1, 3): "john", (2, 1): "foo",
+                   (3, 1): "5", (3, 2): "km", (4, 1): "1.5", (4, 2): "km"}
+    tokens = docs_of(spark, texts).select("doc_id", F.posexplode(templates.template_tokens(F.col("text"))).alias("pos", "token"))
+    assert {(r.doc_id, r.pos) for r in tokens.collect() if r.token in (templates.NUMBER, templates.NAME, templates.UNIT)} == set(got)
+
+
+def test_verbatim_copy_behind_odd_spots(spark):
+    passage = "Tom buys 12 apples and 12 pears while Anna picks 7 plums near the old mill before lunch"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    texts = [f"{head} and we saw that {passage}" for head in ("In 5 minutes John ran", "They grew 5% Growth now", "the Foo12 ran", "a 5 km2 field")]
+    assert [r.item_ids for r in templates.contamination(docs_of(spark, texts), items).orderBy("doc_id").collect()] == [[1]] * 4
+
+
 def test_contamination_by_force(spark, documents):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     grams = lambda t: {tuple(w[i:i + 9]) for w in [t.lower().split()] for i in range(len(w) - 8)}
