@@ -8,6 +8,11 @@ equal values in the item are equal in the document and different ones different.
 contaminated by an item if a consistent alignment has ``LEAST`` windows, or all the item has.
 An item or document shorter than a window is one window of all its tokens.
 
+Beside the templates, the windows of plain lower-cased words of every item are looked up, all words for
+an item shorter than a window, so copies word for word are found however many numbers or names they
+hold and whatever their case; ``LITERALS`` restricts only templates. An item that has an alignment with
+inconsistent values in a document counts there only by another, consistent alignment.
+
 Native: regular expressions, array functions and joins only. Null and empty texts have no windows.
 Rows that share a doc_id (or a null id) are one document, rows that share an item_id one item with
 several wordings. Empty tables contaminate nothing. Extra columns do not matter.
@@ -83,6 +88,31 @@ def _slots(rows: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.select(*keys, F.col("s.pos").alias("pos"), F.col("s.value").alias("value"))
 
 
+def literal_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """doc_id, item_id, wording, n: alignments on ``least`` windows of plain words, or on all that the item has."""
+    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}]+"), "").alias("tokens")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("wording"), words).distinct()
+    bench = written(_with_windows(rows, window).where(F.size("tokens") > 0).select(
+        "item_id", "wording", F.least(F.size("tokens"), F.lit(window)).alias("width"), F.size("windows").alias("windows"),
+        F.posexplode("windows").alias("item_pos", "hash")))
+    widths = sorted(r.width for r in bench.select("width").distinct().collect())  # at most ``window`` numbers
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words).select(
+        "doc_id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+    size = F.size("hashes")
+    none = F.array().cast("array<struct<width:int,pos:int,hash:bigint>>")
+
+    def runs(width: int) -> Column:
+        more = [] if width == window else [F.lit(width)]  # as in _with_windows
+        return F.when(size >= width, F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.struct(
+            F.lit(width).alias("width"), (i - 1).alias("pos"), F.xxhash64(F.slice("hashes", i, width), *more).alias("hash")))
+        ).otherwise(none)
+
+    found = hashed.select("doc_id", F.explode_outer(F.concat(none, *map(runs, widths))).alias("w")).select("doc_id", "w.*")
+    return found.join(bench, ["width", "hash"]).groupBy(
+        "doc_id", "item_id", "wording", "windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
+        F.count_distinct("item_pos").alias("n")).where(F.col("n") >= F.least(F.lit(least), F.col("windows")))
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = LEAST, literals: int = LITERALS) -> DataFrame:
     """doc_id, item_id, windows: each document and item that it is contaminated by."""
     ids = F.col("doc_id").cast("long")
@@ -107,11 +137,13 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
         .agg(F.count_distinct("here").alias("n_here"), F.count_distinct("there").alias("n_there"),
              F.count_distinct("here", "there").alias("n_both"))
     )
-    odd = filled.where("n_both > n_here or n_both > n_there").select(
-        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "wording", "shift")])
+    odd = written(filled.where("n_both > n_here or n_both > n_there").select(
+        *[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "wording", "shift")]))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "wording", "shift")]
-    good = runs.join(odd, same[0] & same[1] & same[2] & same[3], "left_anti")
-    return good.groupBy("doc_id", "item_id").agg(F.max(F.size("covered")).cast("long").alias("windows"))
+    good = runs.join(odd, same[0] & same[1] & same[2] & same[3], "left_anti").select("doc_id", "item_id", F.size("covered").alias("n"))
+    words = literal_runs(docs, items, window, least).join(odd, same[0] & same[1] & same[2], "left_anti")
+    return good.unionByName(words.select("doc_id", "item_id", "n")).groupBy("doc_id", "item_id").agg(
+        F.max("n").cast("long").alias("windows"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

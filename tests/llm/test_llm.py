@@ -242,6 +242,18 @@ def test_verbatim_copy_behind_odd_spots(spark):
     assert [r.item_ids for r in templates.contamination(docs_of(spark, texts), items).orderBy("doc_id").collect()] == [[1]] * 4
 
 
+def test_copies_without_listed_templates(spark):
+    passage = "Every morning Clara and Ruth walk past the quiet harbour with Otto before the market opens"
+    items = spark.createDataFrame([
+        (1, "12 15 18 21 24 27 30 33 36 39"), (2, "Paul Mary John Anna Peter Clara Ruth Otto Emil Ida"), (3, passage),
+        (4, "who wrote this old play?")], "item_id long, text string")
+    texts = ["so 12 15 18 21 24 27 30 33 36 39 it is", "so Paul Mary John Anna Peter Clara Ruth Otto Emil Ida ran", passage.title(),
+             passage.upper(), "x " + passage.lower(), "I asked: who wrote this old play? Nobody knew.", "12 15 18 21 24 27 30 34",
+             "who wrote this play", "", None]
+    rows = templates.contamination(docs_of(spark, texts), items).orderBy("doc_id").collect()
+    assert [r.item_ids for r in rows] == [[1], [2], [3], [3], [3], [4], [], [], [], []]
+
+
 def test_contamination_by_force(spark, documents):
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     grams = lambda t: {tuple(w[i:i + 9]) for w in [t.lower().split()] for i in range(len(w) - 8)}
