@@ -7,7 +7,11 @@ capacity between block and terminal; neighbours in page order, and neighbours be
 joined by smoothness edges that weigh more the nearer they are in the tree. The minimum cut, found
 by augmenting paths, leaves the content on the source's side.
 
-Scripts, styles, templates, comments and the head are not text. Character references are decoded,
+Class, id and role words count whole. An element that holds most of the unlinked text is the page's wrapper
+and gets no outside penalty, nor do body, html, main and article for their words.
+
+Scripts, styles, templates, frames, drawings, formula sources, comments and the head are not text; formulas, fallbacks of
+objects and noscript are, and the cut judges them. Character references are decoded,
 white space inside a block becomes one space, blocks are joined by one space. Null and empty html
 give an empty text. Broken markup is read like a browser would: stray end tags are skipped, open
 elements end with their parent, an unfinished tag at the end is dropped. Repeated rows give equal
@@ -27,15 +31,17 @@ from pyspark.sql import functions as F
 from .common import in_arrow
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|math|object|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|svg|head|title|annotation-xml|annotation)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*\Z",
     re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_TOKENS = re.compile(r"\S+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike"
-                   " strong sub sup time tt u var wbr".split())
+                   " strong sub sup time tt u var wbr math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom"
+                   " mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements that are never main text, and those that hold it.
 OUTSIDE = frozenset("nav header footer aside form button select textarea menu dialog fieldset input option".split())
 INSIDE = frozenset(("article", "main"))
@@ -53,30 +59,62 @@ SMOOTH, SIBLING = 0.9, 0.6
 
 
 class _Node:
-    __slots__ = ("depth", "parent", "score", "tag")
+    __slots__ = ("depth", "inner", "outside", "own", "parent", "plain", "score", "tag", "within")
 
-    def __init__(self, tag: str, parent: _Node | None, score: float):
-        self.tag, self.parent, self.score = tag, parent, score
+    def __init__(self, tag: str, parent: _Node | None, own: float = 0.0, outside: float = 0.0):
+        self.tag, self.parent, self.own, self.outside = tag, parent, own, outside
         self.depth = parent.depth + 1 if parent else 0
+        self.within = tag in INSIDE or parent is not None and parent.within
+        # characters of unlinked text below, and of those inside an article or main element
+        self.plain = self.inner = 0
+        self.score = 0.0
 
 
-def _element_score(tag: str, attributes: str) -> float:
-    score = WEIGHTS["inside"] if tag in INSIDE else WEIGHTS["outside"] if tag in OUTSIDE else 0.0
+def _element_score(tag: str, attributes: str) -> tuple[float, float]:
+    """Log-odds of an element, and the part that it loses where it turns out to be the page's wrapper."""
+    score, outside = WEIGHTS["inside"] if tag in INSIDE else 0.0, WEIGHTS["outside"] if tag in OUTSIDE else 0.0
     if attributes and "=" in attributes:
         for _, a, b, c in _ATTRIBUTE.findall(attributes):
-            words = _WORDS.findall((a or b or c).lower())
-            if not OUTSIDE_WORDS.isdisjoint(words):
-                score += WEIGHTS["outside_word"]
-            elif not INSIDE_WORDS.isdisjoint(words) and tag not in ("body", "html"):
+            off = inner = False
+            for token in _TOKENS.findall((a or b or c).lower()):
+                words = _WORDS.findall(token)
+                # a word of several parts is outside when all are; one that is so in part tells nothing
+                off = off or bool(words) and OUTSIDE_WORDS.issuperset(words)
+                inner = inner or OUTSIDE_WORDS.isdisjoint(words) and not INSIDE_WORDS.isdisjoint(words)
+            if tag in ("body", "html"):
+                continue
+            if off and tag not in INSIDE:
+                outside += WEIGHTS["outside_word"]
+            elif inner:
                 score += WEIGHTS["inside_word"]
     if attributes and "h" in attributes and _HIDDEN.search(attributes):
         score += WEIGHTS["outside"]
-    return score
+    return score, outside
+
+
+def _give_scores(nodes: list[_Node], blocks: list[tuple[str, _Node, float]]) -> None:
+    """Scores of all elements, parents first; what holds most of the unlinked text gets no outside penalty.
+
+    Where the page has article or main elements, it has to hold most of their text as well.
+    """
+    for text, node, linked in blocks:
+        node.plain += len(text) - linked
+        node.inner += (len(text) - linked) * node.within
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.plain += node.plain
+            node.parent.inner += node.inner
+    page = nodes[0]
+    for node in nodes[1:]:
+        wraps = 2 * node.plain > page.plain and 2 * node.inner >= page.inner
+        own, above = node.own + (0.0 if wraps else node.outside), node.parent.score
+        node.score = min(above, 0.0) + own if own < 0 or above < 0 else above + own
 
 
 def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
     """(text, innermost block element, characters of link text) of each text block in page order."""
-    root = _Node("", None, 0.0)
+    root = _Node("", None)
+    nodes = [root]
     top, links, texts, linked, out = root, 0, [], 0, []
     at = 0
 
@@ -135,15 +173,15 @@ def blocks_of(page: str) -> list[tuple[str, _Node, float]]:
                     node = node.parent
         if tag in VOID or piece.group(4).endswith("/"):
             continue
-        parent_score = top.score
-        own = _element_score(tag, piece.group(4))
-        top = _Node(tag, top, min(parent_score, 0.0) + own if own < 0 or parent_score < 0 else parent_score + own)
+        top = _Node(tag, top, *_element_score(tag, piece.group(4)))
+        nodes.append(top)
         links += tag == "a"
     if at < len(page):
         texts.append(page[at:])
         if links:
             linked += len(page[at:].strip())
     end_block()
+    _give_scores(nodes, out)
     return out
 
 

@@ -121,6 +121,25 @@ def test_main_text(spark):
     assert [r.n_chars for r in mincut.extracted(pages).orderBy("page_id").collect()][1:] == [0, 0, 0]
 
 
+def test_main_text_in_odd_wrappers():
+    said = "The harbour was quiet on that morning, and nobody had seen the boats leave before the sun was up."
+    body = f"<h1>Boats</h1><p>{said}</p><p>{said}</p>"
+    want = f"Boats {said} {said}"
+    menu = "<nav><a href=x>Menu</a></nav><div class='cookie-banner'>We use cookies.</div>"
+    for page in (f"<body class='has-header-image has-sidebar'>{menu}<article>{body}</article></body>",
+                 f"<body class='sidebar'>{menu}<article class='post comments-open'>{body}</article></body>",
+                 f"<body>{menu}<div id='content' class='with-sidebar'>{body}</div></body>",
+                 f"<body>{menu}<div id='search'>{body}</div></body>", f"<body>{menu}<main class='social'>{body}</main></body>",
+                 f"<body><form>{menu}<div>{body}</div></form></body>"):
+        got = mincut.main_text(page)[0]
+        assert got.endswith(f"{said} {said}") and "cookies" not in got and "Menu" not in got, page
+    assert mincut.main_text(f"<article>{body}</article><div id=comments>{body * 3}</div>")[0] == want
+    formula = "<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math>"
+    assert mincut.main_text(f"<article><p>{said} So {formula} holds.</p></article>")[0] == f"{said} So x=2 holds."
+    for tag in ("noscript", "object"):
+        assert mincut.main_text(f"<article><{tag}><p>{said}</p></{tag}></article>")[0] == said
+
+
 def test_minimum_cut_by_force():
     draw = random.Random(5)
     for _ in range(60):
