@@ -181,6 +181,16 @@ class Fleet:
             "ts", F.concat(F.lit("pu_"), (F.col("user_id") % 25).cast("string")).alias("pu"),
             F.col("event_type").alias("key"))
 
+    @cached_property
+    def sighting(self) -> DataFrame:
+        """Instances seen on their container on the day their row was shipped."""
+        rows = self.table("lineitem").select(
+            "l_partkey", "l_suppkey", F.col("l_shipdate").cast("timestamp_ntz").alias("ts"))
+        key = F.col("l_suppkey") + F.when(F.col("l_suppkey") % 10 == 3, 1).otherwise(0)
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("pu"))
+        named = rows.join(part, "l_partkey") if self.pu_level == "brand" else rows.withColumn("pu", F.concat(F.lit("PU_"), F.col("l_partkey")))
+        return named.select("ts", "pu", F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0")).alias("container_id"))
+
     @cached_property
     def heartbeat(self) -> DataFrame:
         return self.table("events").select("ts", (F.col("event_type") == "signup").alias("is_manager"))

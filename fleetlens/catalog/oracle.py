@@ -429,6 +429,17 @@ def _presence(condition: str) -> str:
 
 _SQL["imbalance_windowed"] = _imbalance("true")
 _SQL["imbalance_stream"] = _imbalance("true")
+_PLACED = """
+, seen AS (SELECT time_bucket(INTERVAL 90 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS ws, p_brand AS pu,
+    printf('Supplier#%09d', ckey) AS container_id FROM f_row JOIN part ON l_partkey = p_partkey),
+  held AS (SELECT ws, pu, axis, key, count(*) AS n FROM seen JOIN f_key USING (container_id) GROUP BY ALL),
+  free AS (SELECT DISTINCT pu, axis, key FROM f_elig JOIN f_key USING (container_id)),
+  mixed AS (SELECT * FROM held UNION ALL SELECT ws, pu, axis, key, 0 FROM (SELECT DISTINCT ws, pu, axis FROM held) JOIN free USING (pu, axis)),
+  counted AS (SELECT ws, pu, axis, key, max(n) AS n FROM mixed GROUP BY ALL)
+SELECT ws AS window_start, ws + INTERVAL 90 DAY AS window_end, pu, axis, min(n) AS "min", max(n) AS "max",
+  max(n) > min(n) + 1 AS needs_rebalancing FROM counted GROUP BY ws, pu, axis"""
+_add("placement_windowed", _PLACED)
+_add("placement_stream", _PLACED)
 _SQL["manager_presence"] = _presence("true")
 _SQL["manager_presence_stream"] = _presence("true")
 _SQL["discovery_outcome"] = f"""SELECT attempt, CASE WHEN attempt <= 10 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status FROM (

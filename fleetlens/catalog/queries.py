@@ -16,7 +16,7 @@ from ..operators.containers import ContainerFilter
 from ..plans import config, operations, rebalance, relocation, schedule
 from ..session import application_folder
 from ..sources import files, inventory, sinks
-from ..streaming import readiness, windows
+from ..streaming import readiness, source, windows
 from .fleet import Fleet
 
 AS_OF = datetime(2024, 2, 1)
@@ -660,27 +660,18 @@ def descriptor_of_settings(f):
 
 # --- streams and their batch twins --------------------------------------------------
 
-def _event_stream(f) -> DataFrame:
-    schema = f.table("events").schema
-    return f.spark.readStream.schema(schema).parquet(f"{f.folder}/event[s].parquet")
-
-
-def _run(writer) -> int:
-    """Drain what is there; returns the last batch id (-1 when there was none)."""
-    stream = writer.trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return stream.lastProgress["batchId"] if stream.lastProgress else -1
-
-
 def _scratch(f, name: str) -> str:
     return f"{application_folder(f.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 class _Streamed(Fleet):
-    """The same fleet with events read as a stream."""
+    """The same fleet with its timed tables read as streams."""
 
     def table(self, name: str) -> DataFrame:
-        return _event_stream(Fleet(self.spark, self.folder)) if name == "events" else super().table(name)
+        rows = super().table(name)
+        # a pattern, because a stream source takes a file for a folder
+        return (self.spark.readStream.schema(rows.schema).parquet(f"{self.folder}/{name[:-1]}[{name[-1]}].parquet")
+                if name in ("events", "lineitem") else rows)
 
 
 def _streamed(f) -> Fleet:
@@ -720,10 +711,10 @@ def readiness_progress(f):
 
 @query()
 def readiness_stream(f):
-    folder = _scratch(f, "readiness")
-    state = readiness.ReadinessState(f"{folder}/state", _planned(f))
-    last = _run(readiness.readiness_stream(_streamed(f).readiness, state, f"{folder}/progress"))
-    return _verdicts(state.latest(last, TIMEOUT))
+    planned = _planned(f)
+    rows = source.drained(
+        _streamed(f).readiness, lambda events: readiness.readiness_stream(events, planned, TIMEOUT), _scratch(f, "readiness"))
+    return _verdicts(rows.where("closing"))
 
 
 @query()
@@ -731,17 +722,22 @@ def imbalance_windowed(f):
     return windows.imbalance(windows.key_counts(f.observation, "1 day"))
 
 
-def _latest(f, name: str, stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Every window the stream has seen, the ones still open with what is known so far."""
-    folder = _scratch(f, name)
-    _run(windows.update_to(stream, f"{folder}/out", f"{folder}/progress"))
-    return windows.latest(f.spark, f"{folder}/out", stream.schema, keys)
+@query()
+def imbalance_stream(f):
+    return source.drained(
+        _streamed(f).observation, lambda rows: windows.window_imbalance(rows, "1 day", "2 hours"), _scratch(f, "imbalance"))
 
 
 @query()
-def imbalance_stream(f):
-    return windows.imbalance(_latest(
-        f, "imbalance", windows.key_counts(_streamed(f).observation, "1 day", "2 hours"), ["window_start", "window_end", "pu", "key"]))
+def placement_windowed(f):
+    return windows.placement_imbalance(f.sighting, f.pu, f.container, "90 days")
+
+
+@query()
+def placement_stream(f):
+    return source.drained(
+        _streamed(f).sighting, lambda rows: windows.placement_imbalance(rows, f.pu, f.container, "90 days", "30 days"),
+        _scratch(f, "placement"))
 
 
 @query()
@@ -751,8 +747,8 @@ def manager_presence(f):
 
 @query()
 def manager_presence_stream(f):
-    return _latest(
-        f, "presence", windows.manager_presence(_streamed(f).heartbeat, "10 minutes", "1 hour"), ["window_start", "window_end"])
+    return source.drained(
+        _streamed(f).heartbeat, lambda rows: windows.manager_presence(rows, "10 minutes", "1 hour"), _scratch(f, "presence"))
 
 
 @query()

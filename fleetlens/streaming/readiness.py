@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sum
+from .source import END, micros, zone_free
 
 _PU = ["app", "pu"]
 _STATE = "app string, pu string, running bigint, done_ts timestamp_ntz, app_first_ts timestamp_ntz"
@@ -91,31 +92,107 @@ def progress(events: DataFrame, every: str = "5 seconds") -> DataFrame:
     )
 
 
-class ReadinessState:
-    """State versions of a readiness stream, one folder per micro-batch.
+_VERDICTS = "app string, pu string, planned bigint, running bigint, done bigint, status string, closing boolean"
 
-    A batch reads the version before it and writes its own, so running it again after a
-    failure gives the same result.
-    """
-
-    def __init__(self, folder: str, planned: DataFrame) -> None:
-        self.folder = folder
-        self.planned = planned
-
-    def _version(self, batch_id: int) -> DataFrame:
-        spark = self.planned.sparkSession
-        if batch_id < 0:
-            return spark.createDataFrame([], _STATE)
-        return spark.read.schema(_STATE).parquet(f"{self.folder}/version={batch_id}")
-
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        after = _progress(batch, self.planned, self._version(batch_id - 1))
-        after.write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
 
-    def latest(self, batch_id: int, timeout: timedelta) -> DataFrame:
-        return verdicts(self._version(batch_id), self.planned, timeout)
+def _processor(timeout: timedelta, every: timedelta):
+    """Keyed state of an application: what each PU should and does run, and the application's first event.
 
-
-def readiness_stream(events: DataFrame, state: ReadinessState, checkpoint: str):
-    """Writer of the stream; choose a trigger and start it. Files are expected in event order."""
-    return events.writeStream.foreachBatch(state.update).option("checkpointLocation", checkpoint)
+    Defined inside a function, so that it travels to the workers by value.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    step, allowed = every // timedelta(microseconds=1), timeout // timedelta(microseconds=1)
+    end_ms = int(END.timestamp() * 1000)
+    names = [c.split()[0] for c in _VERDICTS.split(", ")]
+
+    class Readiness(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.pus = handle.getMapState("pus", "pu string", "planned bigint, running bigint, done bigint")
+            self.first = handle.getValueState("first", "micros bigint")
+
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for pu, planned in zip(initialState["pu"], initialState["planned"], strict=True):
+                self.pus.updateValue((pu,), (int(planned), 0, None))
+            self.handle.registerTimer(end_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            state = dict(self._state())
+            buckets = sorted((b for frame in rows for b in frame.itertuples() if b.pu in state), key=lambda b: (b.at[0], b.pu))
+            if not buckets:
+                return
+            if not self.first.exists():
+                # buckets arrive in the order of time, so no later one holds an earlier event
+                self.first.update((int(buckets[0].at[0]),))
+                deadline = int(buckets[0].at[0]) + allowed
+                # the bucket of the deadline has been counted when its end has passed
+                self.handle.registerTimer((deadline // step + 1) * step // 1000)
+            deadline, reached = self.first.get()[0] + allowed, []
+            for b in buckets:
+                planned, running, done = state[b.pu]
+                sums = running + np.cumsum(b.delta)
+                if done is None and (sums >= planned).any():
+                    done = int(b.at[int((sums >= planned).argmax())])
+                    if done <= deadline:
+                        reached.append(b.pu)
+                state[b.pu] = planned, int(sums[-1]), done
+            for pu in {b.pu for b in buckets}:
+                self.pus.updateValue((pu,), state[pu])
+            if reached:
+                yield self._rows(key, {pu: state[pu] for pu in reached}, deadline, closing=False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            started, state = self.first.exists(), dict(self._state())
+            deadline = self.first.get()[0] + allowed if started else -1
+            late = {pu: v for pu, v in state.items() if v[2] is None or v[2] > deadline}
+            ended = expiredTimerInfo.getExpiryTimeInMs() == end_ms
+            if late and not (ended and started):
+                yield self._rows(key, late, deadline, closing=False)
+            if ended:
+                yield self._rows(key, state, deadline, closing=True)
+
+        def close(self) -> None:
+            pass
+
+        def _state(self):
+            return ((k[0], tuple(v)) for k, v in self.pus.iterator())
+
+        def _rows(self, key, state, deadline, closing):
+            rows = []
+            for pu, (planned, running, done) in sorted(state.items()):
+                fine = done is not None and done <= deadline
+                rows.append((key[0], pu, planned, running, done if fine else None, "DONE" if fine else "TIMED_OUT", closing))
+            frame = pd.DataFrame(rows, columns=names)
+            return frame.astype({"done": "Int64"})
+
+    return Readiness()
+
+
+def readiness_stream(
+    events: DataFrame, planned: DataFrame, timeout: timedelta, every: timedelta = timedelta(minutes=10),
+    delay: timedelta = timedelta(hours=2),
+) -> DataFrame:
+    """Verdicts of a stream of events, which may come late by ``delay`` and in any order.
+
+    Events are first gathered in one row per PU and ``every``, so a busy PU is spread over many tasks and the state
+    of an application sees a row per PU and interval. Such a row is passed on when the watermark has passed its end;
+    so the rows of an application come in the order of time. Its state holds a row per planned PU: a PU that reaches its
+    plan by the deadline gives a DONE row at once, a timer behind the deadline gives TIMED_OUT rows for the others, those
+    without any event among them. When the input ends (``source.mark_end``), each planned PU gives one row
+    with ``closing`` set: its verdict and the instances it runs at last, the rows of ``readiness_batch``.
+    An application without events times out then. Events without an app or PU, and of PUs not planned, are ignored.
+    """
+    minutes = f"{every // timedelta(milliseconds=1)} milliseconds"
+    rows = events.select(*_PU, F.timestamp_micros(micros(F.col("ts"))).alias("instant"), micros(F.col("ts")).alias("at"),
+                         "event_id", F.col("delta").cast("bigint").alias("delta"))
+    gathered = rows.withWatermark("instant", f"{delay // timedelta(milliseconds=1)} milliseconds").groupBy(
+        F.window("instant", minutes).alias("w"), *_PU).agg(F.array_sort(F.collect_list(F.struct("at", "event_id", "delta"))).alias("events"))
+    buckets = gathered.select(
+        *_PU, F.col("events.at").alias("at"), F.col("events.delta").alias("delta"))
+    first = planned.select(*_PU, F.col("planned").cast("bigint").alias("planned")).where("app is not null and pu is not null")
+    judged = buckets.groupBy("app").transformWithStateInPandas(
+        _processor(timeout, every), _VERDICTS, "Append", "EventTime", initialState=first.groupBy("app"))
+    return judged.select(*_PU, "planned", "running", zone_free(F.timestamp_micros("done")).alias("done_ts"), "status", "closing")

@@ -1,46 +1,42 @@
 """Windowed counts of observations: imbalance over time and manager discovery.
 
-Each function takes a batch or a streaming DataFrame; only the watermark differs. A
-stream either appends a window once the watermark has passed its end, or updates every window it sees.
+Each function takes a batch or a streaming DataFrame; only the watermark differs. A stream appends a window
+once the watermark has passed its end. Where bounds follow counts, both are aggregations of one streaming query, and the
+second one gets a window's counts when the first one has finished them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.balance import min_max
+from ..operators.balance import min_max, needs_rebalancing
+from ..operators.counts import AXES, axis_keys
+from ..operators.placement import eligible_containers, requirement
+from .source import append_to, micros, zone_free  # noqa: F401  append_to is the usual sink of these streams
 
 # fixed value: probes made before manager discovery gives up
 DISCOVERY_ATTEMPTS = 10
 
 
-def _micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp, whatever the session time zone is."""
-    since = ts - F.lit("1970-01-01").cast("timestamp_ntz")
-    day, hour, minute, second = (F.extract(F.lit(u), since) for u in ("DAY", "HOUR", "MINUTE", "SECOND"))
-    whole = day.cast("bigint") * 86400 + hour * 3600 + minute * 60
-    return (whole * 1_000_000 + second * 1_000_000).cast("bigint")
+def _per_window(df: DataFrame, window: str, delay: str | None, keys: Sequence[str], *measures: Column) -> DataFrame:
+    """Measures per window ``w`` and keys. A watermark needs an instant, so zone-free input is read as UTC there."""
+    if delay is not None:
+        df = df.withColumn("ts", F.timestamp_micros(micros(F.col("ts")))).withWatermark("ts", delay)
+    return df.groupBy(F.window("ts", window).alias("w"), *keys).agg(*measures)
 
 
-def _zone_free(instant: Column) -> Column:
-    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+def _bounded(df: DataFrame, delay: str | None) -> DataFrame:
+    """``w`` as zone-free window_start and window_end."""
+    free = (lambda c: c) if delay is None else zone_free
+    kept = [c for c in df.columns if c != "w"]
+    return df.select(free(F.col("w.start")).alias("window_start"), free(F.col("w.end")).alias("window_end"), *kept)
 
 
 def _windowed(df: DataFrame, window: str, delay: str | None, keys: list[str], *measures: Column) -> DataFrame:
-    """Measures per window and keys. A watermark needs an instant, so zone-free input is read as UTC there."""
-    if delay is None:
-        start, end = F.col("w.start"), F.col("w.end")
-    else:
-        df = df.withColumn("ts", F.timestamp_micros(_micros(F.col("ts")))).withWatermark("ts", delay)
-        start, end = _zone_free(F.col("w.start")), _zone_free(F.col("w.end"))
-    counted = df.groupBy(F.window("ts", window).alias("w"), *keys).agg(*measures)
-    kept = [c for c in counted.columns if c != "w"]
-    return counted.select(start.alias("window_start"), end.alias("window_end"), *kept)
+    return _bounded(_per_window(df, window, delay, keys, *measures), delay)
 
 
 def key_counts(observations: DataFrame, window: str, delay: str | None = None) -> DataFrame:
@@ -53,6 +49,41 @@ def imbalance(counts: DataFrame) -> DataFrame:
     return min_max(counts, ["window_start", "window_end", "pu"])
 
 
+def window_imbalance(observations: DataFrame, window: str, delay: str | None = None) -> DataFrame:
+    """``imbalance`` of ``key_counts``; on a stream both aggregations run in the same query."""
+    counts = _per_window(observations, window, delay, ["pu", "key"], F.count("*").alias("n"))
+    return _bounded(min_max(counts, ["w", "pu"]), delay)
+
+
+def placement_imbalance(
+    sightings: DataFrame, pu: DataFrame, container: DataFrame, window: str, delay: str | None = None, axes: Sequence[str] = AXES
+) -> DataFrame:
+    """Bounds of the placement counters per window, PU and axis, from sightings (ts, pu, container_id) of instances.
+
+    A counter holds the keys that its PU may use and those it was seen on: where fewer of the eligible keys were seen
+    than there are, the minimum is zero, so no zero rows are made. Eligible keys are listed per requirement set,
+    not per PU. Containers and PUs are tables; only counts per key and window are state.
+    """
+    keys = F.explode(axis_keys(axes)).alias("_key")
+    # sightings are counted per container first, so that they meet its keys once a window and not once a row
+    seen = _per_window(sightings, window, delay, ["pu", "container_id"], F.count("*").alias("n"))
+    keyed = container.select("container_id", keys).select("container_id", "_key.*")
+    allowed = eligible_containers(pu, container).select("required_zones", keys).select("required_zones", "_key.*").distinct()
+    sizes = allowed.groupBy("required_zones", "axis").agg(F.count("*").alias("eligible"))
+    sets = requirement(pu).select("pu", "required_zones")
+    counts = seen.join(keyed, "container_id").groupBy("w", "pu", "axis", "key").agg(F.sum("n").alias("n"))
+    judged = (
+        counts.join(sets, "pu")
+        .join(allowed.withColumn("_allowed", F.lit(1)), ["required_zones", "axis", "key"], "left")
+        .join(sizes, ["required_zones", "axis"], "left")
+    )
+    bounds = judged.groupBy("w", "pu", "axis").agg(
+        F.min("n").alias("_min"), F.max("n").alias("max"), F.count("_allowed").alias("_held"),
+        F.max(F.coalesce("eligible", F.lit(0))).alias("eligible"))
+    low = F.when(F.col("_held") < F.col("eligible"), 0).otherwise(F.col("_min")).cast("bigint")
+    return _bounded(bounds.select("w", "pu", "axis", low.alias("min"), "max", needs_rebalancing(low, F.col("max")).alias("needs_rebalancing")), delay)
+
+
 def manager_presence(heartbeats: DataFrame, window: str, delay: str | None = None) -> DataFrame:
     """Probes (ts, is_manager) per window; ``alert`` marks a window in which no manager answered."""
     measures = (F.count("*").alias("probes"), F.count_if("is_manager").alias("managers"))
@@ -64,34 +95,10 @@ def discovery_outcome(presence: DataFrame, attempts: int = DISCOVERY_ATTEMPTS) -
     ends = presence.agg(
         F.min("window_start").alias("first"),
         F.min(F.when(F.col("managers") > 0, F.col("window_start"))).alias("seen"),
-        F.min(_micros(F.col("window_end")) - _micros(F.col("window_start"))).alias("width"),
+        F.min(micros(F.col("window_end")) - micros(F.col("window_start"))).alias("width"),
     )
-    attempt = ((_micros(F.col("seen")) - _micros(F.col("first"))) / F.col("width") + 1).cast("bigint")
+    attempt = ((micros(F.col("seen")) - micros(F.col("first"))) / F.col("width") + 1).cast("bigint")
     return ends.select(
         attempt.alias("attempt"),
         F.when(attempt <= attempts, "FOUND").otherwise("NOT_FOUND").alias("status"),
     )
-
-
-def append_to(stream: DataFrame, path: str, checkpoint: str):
-    """Writer that appends finished windows to a Parquet folder."""
-    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", checkpoint
-    )
-
-
-def update_to(stream: DataFrame, path: str, checkpoint: str):
-    """Writer of the changed windows of each micro-batch; a repeated batch replaces its own folder."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def latest(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
-    """The newest row of each window and key that ``update_to`` wrote, finished or not."""
-    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).parquet(path)
-    rest = [c for c in schema.names if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("new"))
-    return newest.select(*keys, "new.*").select(*schema.names)

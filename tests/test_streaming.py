@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import predicates as P
 from fleetlens.streaming import readiness as R
+from fleetlens.streaming import source
 from fleetlens.streaming import windows as W
 
 START = datetime(2024, 1, 1)
@@ -53,26 +54,71 @@ def readings(spark):
         F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, -1).otherwise(1).alias("delta"))
 
 
-def test_readiness_stream_over_several_batches(spark, tmp_path):
+def test_readiness_stream_of_late_and_unordered_files(spark, tmp_path):
     events = readings(spark)
-    write_parts(events, str(tmp_path / "in"), 3)
-    planned = events.select("app", "pu").distinct().withColumn(
-        "planned", F.when(F.col("pu") < "pu3", 10).otherwise(39))
-    state = R.ReadinessState(str(tmp_path / "state"), planned)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = R.readiness_stream(stream, state, str(tmp_path / "progress")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"]
-    assert last >= 2
-    timeout = timedelta(hours=30)
-    got = sorted(map(tuple, state.latest(last, timeout).collect()), key=repr)
+    # files in order of arrival: up to ten hours late and shuffled inside
+    arrival = events.withColumn("late", F.col("ts") + F.make_dt_interval(mins=F.pmod(F.hash("event_id"), F.lit(600))))
+    ordered = [r[:-1] for r in arrival.orderBy("late").collect()]
+    for n in range(0, 400, 80):
+        spark.createDataFrame(ordered[n:n + 80], events.schema).orderBy(F.rand(n)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    planned = events.select("app", "pu").distinct().withColumn("planned", F.when(F.col("pu") < "pu3", 10).otherwise(39))
+    # a PU without events, in an application with and without others; events of a PU that is not planned
+    planned = planned.where("pu <> 'pu5'").union(spark.createDataFrame([("app0", "silent", 1), ("app9", "silent", 1)], planned.schema))
+    timeout, delay = timedelta(hours=30), timedelta(hours=11)
     want = sorted(map(tuple, R.readiness_batch(events, planned, timeout).collect()), key=repr)
-    assert got == want and {"DONE", "TIMED_OUT"} == {r[5] for r in got}
-    # a repeated batch replaces its own version
-    before = sorted(map(tuple, state.latest(0, timeout).collect()), key=repr)
-    first = spark.read.parquet(str(tmp_path / "in")).orderBy("ts").limit(134)
-    state.update(first, 0)
-    assert sorted(map(tuple, state.latest(0, timeout).collect()), key=repr) == before
+    assert {"DONE", "TIMED_OUT"} == {r[5] for r in want} and len(want) == 7
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            rows = source.drained(
+                stream, lambda df: R.readiness_stream(df, planned, timeout, timedelta(minutes=40), delay), str(tmp_path / zone.replace("/", "")))
+            columns = ["app", "pu", "planned", "running", "done_ts", "status"]
+            assert sorted(map(tuple, rows.where("closing").select(*columns).collect()), key=repr) == want
+            early = sorted(map(tuple, rows.where("not closing").select("app", "pu", "done_ts", "status").collect()), key=repr)
+            assert early == sorted(((r[0], r[1], r[4], r[5]) for r in want), key=repr)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_readiness_stream_takes_verdicts_in_time(spark, tmp_path):
+    """A verdict comes with the file that moves the watermark past it, not with the end; a restart goes on from the state."""
+    base = str(tmp_path)
+    planned = spark.createDataFrame([("a", "x", 2), ("a", "y", 1)], "app string, pu string, planned int")
+    schema = spark.createDataFrame([], EVENTS).schema
+
+    def drain(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        out = R.readiness_stream(stream, planned, timedelta(minutes=5), timedelta(minutes=1), timedelta(seconds=0))
+        with source.keyed_state(spark):
+            source.append_to(out, f"{base}/out", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.pu, r.running, r.status) for r in spark.read.parquet(f"{base}/out").collect())
+
+    assert drain(("a", "x", at(0), 1, 1)) == []
+    assert drain(("a", "x", at(30), 2, 1), ("a", "y", at(200), 3, 0)) == [("x", 2, "DONE")]
+    assert drain(("a", "z", at(900), 4, 1)) == [("x", 2, "DONE"), ("y", 0, "TIMED_OUT")]
+    # too late: behind the watermark, so it changes nothing
+    assert drain(("a", "y", at(10), 5, 1)) == [("x", 2, "DONE"), ("y", 0, "TIMED_OUT")]
+
+
+def test_placement_bounds(spark, tmp_path):
+    pus = spark.createDataFrame([("p", ["z1"]), ("q", [])], "pu string, required_zones array<string>")
+    container = spark.createDataFrame([("c1", "h1", ["z1"]), ("c2", "h1", ["z1"]), ("c3", "h2", ["z2"])],
+                                      "container_id string, host string, zones array<string>")
+    rows = spark.createDataFrame(
+        [(at(0), "p", "c1"), (at(1), "p", "c1"), (at(2), "p", "c2"), (at(90), "p", "c3"), (at(91), "q", "c3"), (at(92), "none", "c1")],
+        "ts timestamp_ntz, pu string, container_id string")
+    got = {(r.window_start, r.pu, r.axis): (r.min, r.max, r.needs_rebalancing)
+           for r in W.placement_imbalance(rows, pus, container, "1 minute").collect()}
+    assert got == {
+        (at(0), "p", "ZONE"): (3, 3, False), (at(0), "p", "MACHINE"): (3, 3, False), (at(0), "p", "CONTAINER"): (1, 2, False),
+        (at(60), "p", "ZONE"): (0, 1, False), (at(60), "p", "MACHINE"): (0, 1, False), (at(60), "p", "CONTAINER"): (0, 1, False),
+        (at(60), "q", "ZONE"): (0, 1, False), (at(60), "q", "MACHINE"): (0, 1, False), (at(60), "q", "CONTAINER"): (0, 1, False)}
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ended = source.drained(stream, lambda df: W.placement_imbalance(df, pus, container, "1 minute", "10 seconds"), str(tmp_path / "run"))
+    assert {(r.window_start, r.pu, r.axis): (r.min, r.max, r.needs_rebalancing) for r in ended.collect()} == got
 
 
 def test_window_streams_match_their_batch_twins(spark, tmp_path):
