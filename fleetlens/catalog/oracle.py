@@ -302,6 +302,41 @@ _add("host_drain", f""", m AS (SELECT f.*, host, required_zones AS rz, row_numbe
   SELECT instance_id, pu, host, container_id, coalesce(target_id, '') AS target_id, is_stateful AS demote_first,
     CASE WHEN target_id IS NULL THEN 'no container meets the requirements' ELSE '' END AS problem
   FROM m LEFT JOIN r USING (rz, i)""", level="part")
+
+
+def _drain_round(n: int) -> str:
+    """The fullest class of what rounds before left, by trying all sets of the few requirement sets.
+
+    In the k emptiest containers of a set, with loads adding up to held, level * k - held movers find room below a level.
+    """
+    return f"""
+  s{n} AS (SELECT mask, sum(movers) AS movers FROM (SELECT unnest(range(1, 1 << (SELECT count(*) FROM o))) AS mask) JOIN o ON mask & bit > 0
+    WHERE mask & (SELECT done FROM d{n}) = 0 GROUP BY mask),
+  k{n} AS (SELECT mask, s.movers, row_number() OVER w AS k, sum(n_container) OVER w AS held
+    FROM s{n} s JOIN t ON mask & t.bits > 0 AND t.bits & (SELECT done FROM d{n}) = 0 WINDOW w AS (PARTITION BY mask ORDER BY n_container, container_id)),
+  b{n} AS (SELECT max(level) - 1 AS level FROM (SELECT mask, min((movers + held + k - 1) // k) AS level FROM k{n} GROUP BY mask)),
+  x{n} AS (SELECT mask, any_value(movers) AS movers, any_value(movers) - max(greatest(level * k - held, 0)) AS extras FROM k{n}, b{n} GROUP BY mask),
+  c{n} AS (SELECT * FROM x{n}, b{n} QUALIFY row_number() OVER (ORDER BY extras DESC, bit_count(mask)) = 1),
+  d{n + 1} AS (SELECT (SELECT done FROM d{n}) | coalesce((SELECT mask FROM c{n}), 0) AS done)"""
+
+
+_ROUNDS = range(1, 4)  # as many as there are requirement sets
+_add("host_drain_shared", f""", m AS (SELECT required_zones AS rz, count(*) AS movers FROM f_facts JOIN f_container USING (container_id)
+    JOIN f_pu USING (pu) WHERE {_DRAINED} GROUP BY rz),
+  o AS (SELECT *, 1 << (row_number() OVER (ORDER BY rz) - 1) AS bit FROM m),
+  t AS (SELECT container_id, n_container, bit_or(bit) AS bits FROM f_load l JOIN o ON len(rz) = 0 OR list_has_any(rz, zones)
+    WHERE NOT (l.{_DRAINED.replace(' addr', ' l.addr')}) GROUP BY ALL),
+  d1 AS (SELECT 0 AS done),{",".join(map(_drain_round, _ROUNDS))},
+  v AS ({" UNION ALL ".join(
+    f"SELECT container_id, n_container, level, extras, c{n}.movers FROM t JOIN c{n} ON bits & mask > 0 AND bits & (SELECT done FROM d{n}) = 0"
+    for n in _ROUNDS)})
+  SELECT container_id, n_container AS n_before, greatest(n_container, level) AS low,
+    greatest(n_container, level) + CASE WHEN extras > 0 AND n_container <= level THEN 1 ELSE 0 END AS high,
+    extras AS class_extras, movers AS class_movers, true AS fits FROM v""", level="part")
+_add("drain_status_after", f"""SELECT host, remaining, remaining = 0 AS agent_may_stop, remaining > 0 AS next_round FROM (
+  SELECT n.host, count(instance_id) AS remaining FROM f_nation n LEFT JOIN f_container c ON c.host = n.host
+  LEFT JOIN (SELECT * FROM f_facts WHERE pu NOT IN (SELECT pu FROM f_elig WHERE NOT ({_DRAINED}))) f ON f.container_id = c.container_id
+  WHERE n.{_DRAINED.replace(' addr', ' n.addr')} GROUP BY n.host)""", level="part")
 _add("drain_status", f"""SELECT host, remaining, remaining = 0 AS agent_may_stop, remaining > 0 AS next_round FROM (
   SELECT n.host, count(instance_id) AS remaining FROM f_nation n LEFT JOIN f_container c ON c.host = n.host
   LEFT JOIN f_facts f ON f.container_id = c.container_id WHERE n.{_DRAINED.replace(' addr', ' n.addr')} GROUP BY n.host)""")

@@ -411,10 +411,31 @@ def rebalance_step(f):
 
 @query("part")
 def host_drain(f):
-    plan = relocation.host_drain(f.pu, f.container, f.machine, facts(f), DRAINED)
+    plan = relocation.host_drain(f.pu, f.container, f.machine, facts(f), DRAINED, shared=False)
     return plan.withColumns({c: F.coalesce(c, F.lit("")) for c in ("target_id", "problem")})
 
 
+@query("part")
+def drain_status_after(f):
+    """A second pass: what is left on the hosts when the first plan has been carried out."""
+    held = facts(f)
+    plan = relocation.host_drain(f.pu, f.container, f.machine, held, DRAINED, shared=True)
+    return relocation.drain_status(f.machine, f.container, relocation.moved(held, plan), DRAINED, 2)
+
+
+@query("part")
+def host_drain_shared(f):
+    """What a drain leaves in the containers it may use, checked against the levels of their classes."""
+    rows = relocation.drain_levels(f.pu, f.container, f.machine, facts(f), DRAINED)
+    low = F.greatest("n_before", "level")
+    per_class = rows.groupBy("class").agg(
+        F.sum(F.col("n_after") - low).alias("class_extras"), F.sum(F.col("n_after") - F.col("n_before")).alias("class_movers"))
+    high = low + ((F.col("class_extras") > 0) & (F.col("n_before") <= F.col("level"))).cast("bigint")
+    return rows.join(per_class, "class").select(
+        "container_id", "n_before", low.alias("low"), high.alias("high"), "class_extras", "class_movers",
+        F.col("n_after").between(low, high).alias("fits"))
+
+
 @query()
 def drain_status(f):
     return relocation.drain_status(f.machine, f.container, facts(f), DRAINED, 1)

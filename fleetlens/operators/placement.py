@@ -26,7 +26,7 @@ def requirement(pu: DataFrame) -> DataFrame:
     return pu.withColumn("required_zones", zone_set("required_zones"))
 
 
-def _matched_sets(pu: DataFrame, located: DataFrame) -> DataFrame:
+def matched_sets(pu: DataFrame, located: DataFrame) -> DataFrame:
     """(required_zones, zones): requirement sets and the container zone sets that satisfy them."""
     no_zone = F.array(F.lit(None).cast("string"))
     wanted = (
@@ -49,7 +49,7 @@ def eligible_containers(pu: DataFrame, container: DataFrame) -> DataFrame:
     """``required_zones`` plus the container columns, for each requirement set and container that satisfies it."""
     located = container.withColumn("zones", zone_set("zones"))
     # zone sets, not containers, are matched; containers follow by their zone set
-    return _matched_sets(pu, located).join(located, "zones")
+    return matched_sets(pu, located).join(located, "zones")
 
 
 def container_load(container: DataFrame, instance: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def candidate_counts(pu: DataFrame, container: DataFrame, instance: DataFrame) -
     # containers are counted per zone set before the sets are matched
     sizes = located.join(used, "container_id", "left").groupBy("zones").agg(
         F.count("*").alias("n_all"), F.count_if(F.col("_used").isNull()).alias("n_empty"))
-    per_set = _matched_sets(pu, located).join(sizes, "zones").groupBy("required_zones").agg(
+    per_set = matched_sets(pu, located).join(sizes, "zones").groupBy("required_zones").agg(
         F.sum("n_all").alias("n_all"), F.sum("n_empty").alias("n_empty"))
     isolated = F.coalesce("requires_isolation", F.lit(False))
     counted = F.when(isolated, F.col("n_empty")).otherwise(F.col("n_all"))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators.ordering import ordinal_within, running_sum
-from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, requirement
+from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, matched_sets, requirement, zone_set
 from ..session import written
+from .spread import BLOCK, shared_spread
 
 NO_TARGET = "no container meets the requirements"
-BLOCK = 64  # places that movers look up together
 
 
 def _choices_per_pu(pu: DataFrame, choices: DataFrame) -> DataFrame:
@@ -73,16 +73,40 @@ def _filled(eligible: DataFrame, sizes: DataFrame) -> DataFrame:
     return ends.select("owner", "container_id", (F.col("to") - F.col("room")).alias("from"), "to")
 
 
+def _targets(pu: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Containers with their zone set as text, and (owner, zones): which requirement set may use which zone set."""
+    located = free.withColumn("zones", zone_set("zones"))
+    matched = matched_sets(pu, located).select(_owner(), F.array_join("zones", "\x01").alias("zones"))
+    return located.withColumn("zones", F.array_join("zones", "\x01")).select("zones", "container_id", "n_container", "n_machine"), matched
+
+
 def host_drain(
-    pu: DataFrame, container: DataFrame, machine: DataFrame, facts: DataFrame, hosts: Sequence[str]
+    pu: DataFrame, container: DataFrame, machine: DataFrame, facts: DataFrame, hosts: Sequence[str], shared: bool = False
 ) -> DataFrame:
     """Instances on the given hosts (names or addresses) with targets on the other machines.
 
     The movers of PUs with equal zone requirements are spread so that the containers they go to end
-    up equally full, give or take one; every requirement set starts from the loads before the drain.
+    up equally full, give or take one; every requirement set starts from the loads before the drain. With ``shared``
+    this holds over all PUs together: containers that can take each other's movers end up equally full (``spread``).
     Naming every machine is an error. The error is part of the plan, so it is raised by the
     first job that reads the leaving containers and nothing is collected here.
     """
+    return _drain(pu, container, machine, facts, hosts, shared)[0]
+
+
+def drain_levels(pu: DataFrame, container: DataFrame, machine: DataFrame, facts: DataFrame, hosts: Sequence[str]) -> DataFrame:
+    """Containers that a shared drain may use: load before and after, their class and the level of the class."""
+    plan, levels, targets = _drain(pu, container, machine, facts, hosts, shared=True)
+    taken = plan.where("target_id is not null").groupBy(F.col("target_id").alias("container_id")).agg(F.count("*").alias("taken"))
+    return targets.join(levels.where("owner is null").select("zones", "class", "level"), "zones").join(taken, "container_id", "left").select(
+        "container_id", F.col("n_container").alias("n_before"), "class", "level",
+        (F.col("n_container") + F.coalesce("taken", F.lit(0))).alias("n_after"))
+
+
+def _drain(
+    pu: DataFrame, container: DataFrame, machine: DataFrame, facts: DataFrame, hosts: Sequence[str], shared: bool
+) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The plan, and for a shared one its levels and the containers that may take movers."""
     named = P.on_machines(F.col("host"), F.col("addr"), hosts)
     guard = machine.agg(F.count("*").alias("machines"), F.count_if(named).alias("matching")).select(
         F.when(
@@ -97,13 +121,19 @@ def host_drain(
     movers = facts.join(leaving.drop("allowed"), "container_id").join(owners, "pu", "left").select(
         "instance_id", "pu", "host", "container_id", "is_stateful", F.coalesce("owner", F.lit("\x02")).alias("owner"))
     movers = written(ordinal_within(movers, ["owner"], ["instance_id", "container_id"], "place"))
-    eligible = written(eligible_containers(pu, loaded.where(P.negate(named))).select(
-        _owner(), "container_id", "n_container", "n_machine"))
-    places = _filled(eligible, movers.groupBy("owner").agg(F.count("*").alias("movers"))).select(
+    sizes = movers.groupBy("owner").agg(F.count("*").alias("movers"))
+    if shared:
+        targets, matched = _targets(pu, loaded.where(P.negate(named)))
+        levels, filled = shared_spread(sizes, matched, targets)
+    else:
+        levels = targets = None
+        filled = _filled(written(eligible_containers(pu, loaded.where(P.negate(named))).select(
+            _owner(), "container_id", "n_container", "n_machine")), sizes)
+    places = filled.select(
         F.col("owner").alias("_owner"), F.col("container_id").alias("target_id"), "from", "to",
         F.explode(F.sequence(F.expr(f"`from` div {BLOCK}"), F.expr(f"(`to` - 1) div {BLOCK}"))).alias("block"))
     place = F.col("place")
-    return (
+    plan = (
         movers.join(places, (F.col("owner") == F.col("_owner")) & (F.expr(f"place div {BLOCK}") == F.col("block"))
                     & (place >= F.col("from")) & (place < F.col("to")), "left")
         .select(
@@ -111,6 +141,14 @@ def host_drain(
             F.when(F.col("target_id").isNull(), F.lit(NO_TARGET)).alias("problem"),
         )
     )
+    return plan, levels, targets
+
+
+def moved(facts: DataFrame, plan: DataFrame) -> DataFrame:
+    """The instances as they are once the plan has been carried out; what has no target stays."""
+    targets = plan.where("target_id is not null").select("instance_id", "container_id", "target_id")
+    return facts.join(targets, ["instance_id", "container_id"], "left").withColumn(
+        "container_id", F.coalesce("target_id", "container_id")).select(*facts.columns)
 
 
 # a host is drained in at most this many passes
@@ -119,9 +157,9 @@ DRAIN_ROUNDS = 3
 
 def drain_status(
     machine: DataFrame, container: DataFrame, facts: DataFrame, hosts: Sequence[str], round_no: int,
-    skip_relocate: bool = False,
+    skip_relocate: bool = False, rounds: int = DRAIN_ROUNDS,
 ) -> DataFrame:
-    """After a pass: instances left per host, whether the agent may stop and whether another pass is due."""
+    """After a pass: instances left per host, whether the agent may stop and whether another pass (of ``rounds``) is due."""
     left = container.join(facts.groupBy("container_id").agg(F.count("*").alias("n")), "container_id")
     per_host = left.groupBy("host").agg(F.sum("n").alias("remaining"))
     remaining = F.coalesce("remaining", F.lit(0))
@@ -131,7 +169,7 @@ def drain_status(
         .select(
             "host", remaining.alias("remaining"),
             ((remaining == 0) | F.lit(skip_relocate)).alias("agent_may_stop"),
-            ((remaining > 0) & F.lit(not skip_relocate and round_no < DRAIN_ROUNDS)).alias("next_round"),
+            ((remaining > 0) & F.lit(not skip_relocate and round_no < rounds)).alias("next_round"),
         )
     )
 

@@ -229,3 +229,73 @@ def test_written_tables_can_be_cleared(spark):
     assert folder.is_dir()
     clear_written(spark)
     assert not folder.exists()
+
+
+def test_shared_spread_by_force(spark):
+    """Random overlapping requirements: the placed loads, sorted, are the best of all placements, and every mover is placed once."""
+    import itertools
+    import random
+
+    from fleetlens.plans import spread
+
+    draw = random.Random(4)
+    for _ in range(4):
+        zone_sets = [f"z{i}" for i in range(3)]
+        containers = [(z, f"c{z}{i}", draw.randrange(4), draw.randrange(3)) for z in zone_sets for i in range(draw.randrange(1, 3))]
+        owners = {f"o{i}": draw.randrange(1, 4) for i in range(3)}
+        allowed = {o: sorted(draw.sample(zone_sets, draw.randrange(1, 4))) for o in owners}
+        frames = (
+            spark.createDataFrame([*owners.items(), ("nowhere", 5)], "owner string, movers bigint"),
+            spark.createDataFrame([(o, z) for o, zs in allowed.items() for z in zs], "owner string, zones string"),
+            spark.createDataFrame(containers, "zones string, container_id string, n_container bigint, n_machine bigint"))
+        levels, places = spread.shared_spread(*frames)
+        rows = places.collect()
+        zone_of = {c: z for z, c, _, _ in containers}
+        assert all(zone_of[r.container_id] in allowed[r.owner] for r in rows)
+        for o, n in owners.items():
+            assert sorted(x for r in rows if r.owner == o for x in range(r["from"], r["to"])) == list(range(n))
+        loads = {c: n for _, c, n, _ in containers}
+        after = dict(loads)
+        for r in rows:
+            after[r.container_id] += r["to"] - r["from"]
+        movers = [o for o, n in owners.items() for _ in range(n)]
+        best = None
+        for choice in itertools.product(*[[c for c in loads if zone_of[c] in allowed[o]] for o in movers]):
+            trial = dict(loads)
+            for c in choice:
+                trial[c] += 1
+            key = sorted(trial.values(), reverse=True)
+            best = key if best is None or key < best else best
+        assert sorted(after.values(), reverse=True) == best
+    empty = spread.shared_spread(frames[0].limit(0), frames[1], frames[2])
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_shared_spread_over_blocks(spark):
+    """Many movers, ranges over several blocks of places; owners meet in the middle zone set."""
+    from fleetlens.plans import spread
+
+    containers = [(z, f"c{z}{i:03}", (i * 7) % 50, i % 4) for z in "abc" for i in range(40)]
+    owners, allowed = {"left": 4000, "right": 900}, {"left": "ab", "right": "bc"}
+    levels, places = spread.shared_spread(
+        spark.createDataFrame(list(owners.items()), "owner string, movers bigint"),
+        spark.createDataFrame([(o, z) for o, zs in allowed.items() for z in zs], "owner string, zones string"),
+        spark.createDataFrame(containers, "zones string, container_id string, n_container bigint, n_machine bigint"))
+    after = {c: n for _, c, n, _ in containers}
+    spans = {o: [] for o in owners}
+    for r in places.collect():
+        after[r.container_id] += r["to"] - r["from"]
+        spans[r.owner].append((r["from"], r["to"]))
+    for o, n in owners.items():
+        assert sorted(spans[o])[0][0] == 0 and sum(b - a for a, b in spans[o]) == n
+        assert all(x[1] == y[0] for x, y in itertools_pairs(sorted(spans[o])))
+    by_zone = {z: sorted(after[c] for y, c, _, _ in containers if y == z) for z in "abc"}
+    assert {r["class"]: r.level for r in levels.where("owner is null").collect()}.keys() == {0, 1}
+    for zones in ("ab", "c"):
+        used = [x for z in zones for x in by_zone[z]]
+        assert max(used) - min(used) <= 1 or zones == "c"
+    assert max(by_zone["c"]) <= min(by_zone["a"])
+
+
+def itertools_pairs(rows):
+    return zip(rows, rows[1:], strict=False)
