@@ -290,6 +290,8 @@ _add("rebalance_step", f"""SELECT s.pu, {_CHECK_NAMES.replace('role + 1', 's.rol
     coalesce(c.is_stateful AND s.role <> 1, false) AS demote_first
   FROM s_first s LEFT JOIN s_candidate c ON c.pu = s.pu LEFT JOIN s_target t ON t.pu = s.pu""",
      _checks([["RACK_0", "RACK_1"]]), _STEP, level="part")
+# the same cascade where all containers run on one machine and no zone counts, so that container checks decide
+_SQL["rebalance_one_machine"] = _SQL["rebalance_step"].replace("n_name AS host", "'HOST' AS host").replace("'RACK_0', 'RACK_1')", "'NO_ZONE')")
 _add("host_drain", f""", m AS (SELECT f.*, host, required_zones AS rz, row_number() OVER (PARTITION BY required_zones
     ORDER BY instance_id, f.container_id) AS i FROM f_facts f JOIN f_container c USING (container_id) JOIN f_pu USING (pu) WHERE {_DRAINED}),
   size AS (SELECT rz, count(*) AS movers FROM m GROUP BY rz),

@@ -399,9 +399,7 @@ def rebalance_checks(f):
         "min_key", "max_key", "needs_rebalancing")
 
 
-@query("part")
-def rebalance_step(f):
-    step = rebalance.rebalance_plan(f.pu, f.container, facts(f), RACK_PAIR)
+def _named_step(step: DataFrame) -> DataFrame:
     text = ("instance_id", "from_container", "to_key", "target_id", "problem")
     return step.select(
         "pu", scope_name(), "role", "axis", F.coalesce("zone_group", F.lit(-1)).alias("zone_group"), "action", "from_key",
@@ -409,6 +407,18 @@ def rebalance_step(f):
         F.coalesce("demote_first", F.lit(False)).alias("demote_first"))
 
 
+@query("part")
+def rebalance_step(f):
+    return _named_step(rebalance.rebalance_plan(f.pu, f.container, facts(f), RACK_PAIR))
+
+
+@query("part")
+def rebalance_one_machine(f):
+    """All containers on one machine and no zone group with a zone: container checks decide."""
+    one = f.container.withColumn("host", F.lit("HOST"))
+    return _named_step(rebalance.rebalance_plan(f.pu, one, facts(f), [["NO_ZONE"]]))
+
+
 @query("part")
 def host_drain(f):
     plan = relocation.host_drain(f.pu, f.container, f.machine, facts(f), DRAINED, shared=False)

@@ -28,12 +28,13 @@ def axis_keys(axes: Sequence[str] = AXES) -> Column:
     return F.concat(*parts)
 
 
-def slot_counts(facts: DataFrame) -> DataFrame:
+def slot_counts(facts: DataFrame, *more: Column) -> DataFrame:
     """Instances per PU, partition and container; a primary that is also a backup counts as primary."""
     return facts.groupBy("pu", "partition_id", "container_id").agg(
         F.count("*").alias("total"),
         F.count_if("is_primary").alias("primary"),
         F.count_if(~F.col("is_primary") & F.col("is_backup")).alias("backup"),
+        *more,
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from .ordering import ordinal_within
 
 
 def zone_set(zones: Column | str) -> Column:
@@ -72,31 +73,49 @@ def loaded_containers(container: DataFrame, instance: DataFrame) -> DataFrame:
 
 
 _BEST = ("n_container", "n_machine", "container_id")
+# parts in which the containers of a requirement set are handed to PUs
+PARTS = 16
 
 
-def ranked_containers(eligible: DataFrame, k: int | None, within: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` least loaded eligible containers, or all by load, per requirement set (and per ``within`` columns).
+def first_containers(pu: DataFrame, loaded: DataFrame, k: int, within: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` least loaded eligible containers per requirement set (and per ``within`` columns), with their rank.
 
-    A rank limit on row_number is applied before the shuffle as well as after it,
-    so a large group sends at most ``k`` rows per task.
+    The first of every zone set are found before zone sets meet requirement sets, so no container is paired with a
+    requirement. Both rank limits act before their shuffles too: a large group sends at most ``k`` rows a task.
     """
-    window = Window.partitionBy("required_zones", *within).orderBy(*_BEST)
-    ranked = eligible.withColumn("rank", F.row_number().over(window))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    located = loaded.withColumn("zones", zone_set("zones"))
+    place = F.row_number().over(Window.partitionBy("zones", *within).orderBy(*_BEST))
+    firsts = located.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+    best = Window.partitionBy("required_zones", *within).orderBy(*_BEST)
+    rows = matched_sets(pu, located).join(firsts, "zones").withColumn("rank", F.row_number().over(best))
+    return rows.where(F.col("rank") <= k)
+
+
+def ranked_containers(pu: DataFrame, loaded: DataFrame) -> DataFrame:
+    """All eligible containers of each requirement set by load, with ``rank`` from 1.
+
+    One order over all sets, cut into ranges, gives the ranks, so that few large sets are ranked by many tasks.
+    """
+    rows = eligible_containers(pu, loaded).select("required_zones", *_BEST, "host")
+    return ordinal_within(rows, ["required_zones"], list(_BEST), "_place").withColumn(
+        "rank", (F.col("_place") + 1).cast("int")).drop("_place")
 
 
 def best_containers(pu: DataFrame, container: DataFrame, instance: DataFrame, k: int | None = None) -> DataFrame:
     """Ranked containers each PU should use next: the whole list, or its first ``k``."""
-    eligible = eligible_containers(pu, loaded_containers(container, instance))
-    ranked = ranked_containers(eligible, k)
-    return requirement(pu).join(ranked, "required_zones").select(
+    loaded = loaded_containers(container, instance)
+    ranked = ranked_containers(pu, loaded) if k is None else first_containers(pu, loaded, k)
+    # few requirement sets are dealt by parts of their ranks; a PU's row goes to each part
+    part = F.col("rank") % PARTS
+    wanted = requirement(pu).select("pu", "required_zones", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    return wanted.join(ranked.withColumn("_part", part), ["required_zones", "_part"]).select(
         "pu", "rank", "container_id", "host", "n_container", "n_machine"
     )
 
 
-def best_two(eligible: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+def best_two(pu: DataFrame, loaded: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """First and second choice; the second serves the instance that already sits in the first."""
-    ranked = ranked_containers(eligible, 2, within)
+    ranked = first_containers(pu, loaded, 2, within)
     pick = lambda rank, name: F.max(F.when(F.col("rank") == rank, F.col(name)))
     return ranked.groupBy("required_zones", *within).agg(
         pick(1, "container_id").alias("first_id"), pick(2, "container_id").alias("second_id")

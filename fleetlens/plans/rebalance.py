@@ -253,10 +253,11 @@ def rebalance_step(
     the target to ``to_key``; zone and container moves may go to any machine.
     ``pus`` (a ``pu`` column) limits the PUs that move; loads still count everything.
     """
-    mine = facts if pus is None else facts.join(pus, "pu", "left_semi")
     wanted = pu if pus is None else pu.join(pus, "pu", "left_semi")
-    # the scan of the instances is the costly part: its counts are written once, loads and candidates use them too
-    all_slots = written(slot_counts(facts))
+    # the scan of the instances is the costly part: its counts are written once with the instance of each slot that
+    # would move first, so that loads and candidates need no other scan
+    first_out = F.min(F.struct("is_backup", "instance_id", "is_stateful", "is_primary")).alias("first_out")
+    all_slots = written(slot_counts(facts, first_out))
     slots = all_slots if pus is None else all_slots.join(pus, "pu", "left_semi")
     keys = _Keys(wanted, container, groups)
     held = written(keys.held(container, slots))
@@ -293,22 +294,17 @@ def rebalance_step(
     ).select("pu", "partition_id").distinct()
     sources = (
         located.where(on("max_key") & (in_scope | (F.col("axis") == "CONTAINER")))
-        .select("pu", "partition_id", "container_id")
+        .select("pu", "partition_id", "container_id", "first_out")
         .join(barred, ["pu", "partition_id"], "left_anti")
     )
-    candidate = (
-        mine.join(sources, ["pu", "partition_id", "container_id"])
-        .groupBy("pu")
-        .agg(F.min_by(
-            F.struct("instance_id", "partition_id", "container_id", "is_stateful", "is_primary"),
-            F.struct("is_backup", "instance_id"),
-        ).alias("c"))
-    )
+    # instance ids are unique, so the order of the struct's first two fields decides
+    candidate = sources.groupBy("pu").agg(F.min(F.struct("first_out", "partition_id", "container_id")).alias("_c")).select(
+        "pu", F.struct("_c.first_out.instance_id", "_c.partition_id", "_c.container_id", "_c.first_out.is_stateful",
+                       "_c.first_out.is_primary").alias("c"))
 
     loaded = loaded_containers(container, all_slots)
-    eligible = eligible_containers(wanted, loaded)
-    anywhere = best_two(eligible)
-    on_host = best_two(eligible, ["host"]).select(
+    anywhere = best_two(wanted, loaded)
+    on_host = best_two(wanted, loaded, ["host"]).select(
         "required_zones", F.col("host").alias("min_key"), F.col("first_id").alias("host_first"),
         F.col("second_id").alias("host_second"),
     )

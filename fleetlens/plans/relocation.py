@@ -32,7 +32,7 @@ def relocation_targets(
     """
     loaded = loaded_containers(container, facts)
     within = [same] if same else []
-    choices = _choices_per_pu(pu, best_two(eligible_containers(pu, loaded), within))
+    choices = _choices_per_pu(pu, best_two(pu, loaded, within))
     origin = loaded.select("container_id", "n_container", *within)
     target = choose(F.col("first_id"), F.col("second_id"), F.col("container_id"))
     return (

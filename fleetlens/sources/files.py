@@ -101,19 +101,41 @@ def _typed_descriptor(whole: Column) -> Column:
     return part("$")
 
 
+def _plain_shape() -> str:
+    """Pattern of the schema of a descriptor without unknown fields, with every value of the very type it should have.
+
+    Names come in alphabetical order there. Context properties may be any scalars.
+    """
+    kinds = {"string": "STRING", "int": "BIGINT", "boolean": "BOOLEAN", "array<string>": "ARRAY<STRING>"}
+
+    def level(path: str) -> str:
+        fields = []
+        for name, wanted in sorted(DESCRIPTOR_FIELDS[path].items()):
+            inner = level(f"{path}.{name}") if f"{path}.{name}" in DESCRIPTOR_FIELDS else "OBJECT<[^<>]*>"
+            fields.append(f"(?:{name}: (?:VOID|{inner if wanted == 'object' else kinds[wanted]})(?:, |(?=>)))?")
+        return f"OBJECT<{''.join(fields)}>"
+
+    return f"^{level('$')}$"
+
+
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once a row: later columns that use it several times cannot be merged with it."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
     """Add ``descriptor`` and ``context``; ``strict`` fails on bad JSON, wrong types and unknown fields, else ``problem`` names them.
 
     ``context`` keeps each property's type, because 1 and "1" are different values.
     """
-    json = F.col(text)
-    whole = F.try_parse_json(json)
+    json, whole = F.col(text), F.col("_whole")
+    parsed = _once(files, F.try_parse_json(json), "_whole")
     wrong, extra = wrong_types(whole), unknown_fields(json)
 
     def listed(title: str, paths: Column) -> Column:
         return F.when(F.size(paths) > 0, F.concat(F.lit(title), F.array_join(paths, ", ")))
 
-    found = F.concat_ws("; ", listed("wrong types: ", wrong), listed("unknown fields: ", extra))
+    found = F.concat_ws("; ", listed("wrong types: ", F.col("_found.wrong")), listed("unknown fields: ", F.col("_found.extra")))
     problem = F.when(json.isNull(), F.lit(None)).when(whole.isNull(), F.lit("not valid JSON")).when(found != "", found)
     if strict:
         message = F.concat(problem, F.lit(" in "), json)
@@ -124,9 +146,14 @@ def parse_descriptors(files: DataFrame, text: str = "text", strict: bool = True)
         F.try_variant_get(e["value"], "$", "string").alias("value"),
         F.schema_of_variant(e["value"]).alias("value_type"),
     ))
-    return files.withColumn("problem", problem).withColumn(
-        "descriptor", F.when(F.col("problem").isNull() & json.isNotNull(), _typed_descriptor(whole))
-    ).withColumn("context", F.when(F.col("descriptor").isNotNull(), context))
+    # most texts are plain, and one look at their schema says so; numbers of ten digits may not fit
+    plain = F.coalesce(F.schema_of_variant(whole).rlike(_plain_shape()) & ~json.rlike("[0-9]{10}"), F.lit(False))
+    none = F.array().cast("array<string>")
+    looked = F.when(plain, F.struct(none.alias("wrong"), none.alias("extra"))).otherwise(F.struct(wrong.alias("wrong"), extra.alias("extra")))
+    judged = _once(_once(parsed, looked, "_found"), problem, "problem")
+    read = F.when(F.col("problem").isNull() & json.isNotNull(), F.struct(_typed_descriptor(whole).alias("descriptor"), context.alias("context")))
+    return _once(judged, read, "_read").select(
+        *files.columns, "problem", F.col("_read.descriptor").alias("descriptor"), F.col("_read.context").alias("context"))
 
 
 def read_descriptors(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:

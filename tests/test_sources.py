@@ -174,3 +174,21 @@ def test_layers_of_a_deployment(spark):
     # the descriptor repeats the original value of k, so the shared one stays
     assert got == {("a", "k"): "1", ("a", "only"): "o", ("a", "pw"): "t", ("b", "k"): "7"}
     assert {(r.entity, r.key): r.value for r in shown_config(layers).collect()}[("a", "pw")] == "****"
+
+
+def test_plain_descriptors_are_judged_as_field_by_field(spark, monkeypatch):
+    texts = ['{}', '{"name":"a"}', '{"name":null,"sla":null}', '{"sla":{}}', '{"contextProperties":{},"name":"x"}', '[1]', 'null', '"x"', '{"name":{}}',
+             '{"contextProperties":{"a":1,"b":"x","c":null}}', '{"contextProperties":{"a":{"b":1}}}', '{"contextProperties":{"a":1},"extra":{"x":1}}',
+             '{"contextProperties":{"a":1},"zone":1}', '{"sla":{"zones":["x"],"maxInstancesPerVM":3},"topology":{"instances":4,"schema":"s"}}',
+             '{"sla":{"zones":["x",null]}}', '{"sla":{"zones":[1]}}', '{"sla":{"zones":[]}}', '{"topology":{"instances":12345678901}}',
+             '{"topology":{"instances":"12"}}', '{"topology":{"instances":2.5}}', '{"topology":{"instances":true}}', '{"topology":{"more":1}}',
+             '{"name":"OBJECT<x: STRING>"}', '{"a>, name":"x"}', '{"sla":{"requiresIsolation":true}}', '{"sla":{"requiresIsolation":1}}', None, '{']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+
+    def rows():
+        parsed = S.parse_descriptors(df, strict=False)
+        return sorted(map(str, parsed.select("i", "problem", "descriptor", "context").collect()))
+
+    fast = rows()
+    monkeypatch.setattr(S, "_plain_shape", lambda: "(?!)")
+    assert fast == rows()
