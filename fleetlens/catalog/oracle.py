@@ -77,6 +77,16 @@ c_role AS (SELECT pu, scope, axis, key, role, n FROM (
   UNION ALL SELECT pu, scope, axis, key, potential, 'backup', backup FROM c_all) WHERE potential > 0 OR n > 0)
 """
 
+_RANGES = """
+r_role AS (
+  SELECT pu, scope, axis, key, potential > 0 AS usable, 'total' AS role, total AS n FROM c_all
+  UNION ALL SELECT pu, scope, axis, key, potential > 0, 'primary', "primary" FROM c_all
+  UNION ALL SELECT pu, scope, axis, key, potential > 0, 'backup', backup FROM c_all),
+r_part AS (SELECT *, count(*) FILTER (n > 0) OVER (PARTITION BY pu, scope, axis, role ORDER BY key) AS part FROM r_role WHERE usable),
+r_range AS (SELECT pu, scope, axis, role, key AS first_key, key AS last_key, 1 AS n_keys, n FROM r_role WHERE n > 0
+  UNION ALL SELECT pu, scope, axis, role, min(key), max(key), count(*), 0 FROM r_part WHERE n = 0 GROUP BY pu, scope, axis, role, part)
+"""
+
 _BOUNDS = """min(n) AS "min", max(n) AS "max", arg_min(key, (n, key)) AS min_key, arg_min(key, (-n, key)) AS max_key,
   max(n) > min(n) + 1 AS needs_rebalancing"""
 
@@ -266,6 +276,10 @@ _add("dump_reports", f"""SELECT 'heap,thread' AS dumps_types, container_id, host
   {_AS_OF} AS start_time, coalesce(pu, '') AS pu_name, coalesce(copies, 0) AS copies FROM f_container LEFT JOIN
   (SELECT container_id, pu, count(*) AS copies FROM f_instance GROUP BY 1, 2) USING (container_id)""")
 
+_add("count_ranges", "SELECT * FROM r_range", _COUNTS, _RANGES)
+_add("tie_ranges", """SELECT pu, axis, role, bound, n, first_key, last_key, n_keys FROM (SELECT *, unnest(['min', 'max']) AS bound,
+    min(n) OVER w AS low, max(n) OVER w AS high FROM r_range WHERE scope = 'whole' WINDOW w AS (PARTITION BY pu, scope, axis, role))
+  WHERE n = CASE WHEN bound = 'min' THEN low ELSE high END""", _COUNTS, _RANGES, level="part")
 _add("container_load", "SELECT container_id, host, n_container, n_machine FROM f_load")
 _add("best_containers", """SELECT pu, CAST("rank" AS INTEGER) AS "rank", container_id, host, n_container, n_machine FROM (
   SELECT e.pu, l.*, row_number() OVER (PARTITION BY e.pu ORDER BY n_container, n_machine, container_id) AS "rank"
@@ -281,15 +295,16 @@ _add("candidate_counts", """SELECT pu, planned, (SELECT count(*) FROM f_elig e J
   WHERE e.pu = p.pu AND (NOT p.requires_isolation OR n_container = 0)) AS candidates FROM f_pu p""")
 _add("rebalance_checks", f"""SELECT pu, {_CHECK_NAMES}, "min", "max", min_key, max_key, needs_rebalancing FROM k_check""",
      _checks([["RACK_0", "RACK_1", "RACK_2", "RACK_3"]]))
-_add("rebalance_step", f"""SELECT s.pu, {_CHECK_NAMES.replace('role + 1', 's.role + 1').replace('lane', 's.lane')},
+_STEP_ROWS = f"""SELECT s.pu, {_CHECK_NAMES.replace('role + 1', 's.role + 1').replace('lane', 's.lane')},
     CASE WHEN s.role = 1 THEN 'demote' ELSE 'relocate' END AS "action", s.max_key AS from_key, "min", "max",
     coalesce(instance_id, '') AS instance_id, coalesce(c.container_id, '') AS from_container,
     coalesce(s.min_key, '') AS to_key, coalesce(target_id, '') AS target_id,
     CASE WHEN instance_id IS NULL THEN 'no candidate instance' WHEN s.role <> 1 AND target_id IS NULL
       THEN 'no container meets the requirements' ELSE '' END AS problem,
     coalesce(c.is_stateful AND s.role <> 1, false) AS demote_first
-  FROM s_first s LEFT JOIN s_candidate c ON c.pu = s.pu LEFT JOIN s_target t ON t.pu = s.pu""",
-     _checks([["RACK_0", "RACK_1"]]), _STEP, level="part")
+  FROM s_first s LEFT JOIN s_candidate c ON c.pu = s.pu LEFT JOIN s_target t ON t.pu = s.pu"""
+_add("rebalance_step", _STEP_ROWS, _checks([["RACK_0", "RACK_1"]]), _STEP, level="part")
+_add("rebalance_large", _STEP_ROWS, _checks([["RACK_0", "RACK_1"]]), _STEP)
 # the same cascade where all containers run on one machine and no zone counts, so that container checks decide
 _SQL["rebalance_one_machine"] = _SQL["rebalance_step"].replace("n_name AS host", "'HOST' AS host").replace("'RACK_0', 'RACK_1')", "'NO_ZONE')")
 _add("host_drain", f""", m AS (SELECT f.*, host, required_zones AS rz, row_number() OVER (PARTITION BY required_zones

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import balance, containers, counts, instances, layers, placement, processes, reports
+from ..operators import balance, containers, counts, instances, layers, placement, processes, ranges, reports
 from ..operators.containers import ContainerFilter
 from ..plans import config, operations, rebalance, relocation, schedule
 from ..session import application_folder
@@ -240,6 +240,20 @@ def count_remove_zeros(f):
     return counts.remove_zeros(counts.by_role(_zero_filled(f, True))).drop("potential")
 
 
+@query()
+def count_ranges(f):
+    """Counts of every partition and PU, free keys as ranges."""
+    rows = ranges.count_ranges(f.pu, f.container, facts(f), by_partition=True)
+    return rows.select("pu", scope_name(), "axis", "role", "first_key", "last_key", "n_keys", "n")
+
+
+@query("part")
+def tie_ranges(f):
+    """Tied keys of every small PU, nearly all of whose keys are free."""
+    rows = ranges.tie_ranges(ranges.count_ranges(f.pu, f.container, facts(f)))
+    return rows.drop("partition_id")
+
+
 @query()
 def count_retain_zones(f):
     return counts.retain_zones(_zero_filled(f), ["RACK_0", "ASIA"])
@@ -412,6 +426,12 @@ def rebalance_step(f):
     return _named_step(rebalance.rebalance_plan(f.pu, f.container, facts(f), RACK_PAIR))
 
 
+@query()
+def rebalance_large(f):
+    """Few large PUs, whose partitions have instances nearly everywhere: often none may move."""
+    return _named_step(rebalance.rebalance_plan(f.pu, f.container, facts(f), RACK_PAIR))
+
+
 @query("part")
 def rebalance_one_machine(f):
     """All containers on one machine and no zone group with a zone: container checks decide."""
