@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTITIONS = {"brand": 4, "part": 8}
+SNAPSHOTS = 6
 
 
 @dataclass(frozen=True)
@@ -130,6 +131,31 @@ class Fleet:
             F.lit("GSC").alias("service_type"), F.lit("ON_DEMAND").alias("instantiation_mode"))
         return containers.unionByName(managers).unionByName(leftovers)
 
+    def _reported(self, rows: DataFrame) -> DataFrame:
+        """Rows (cluster, started) in the weekly snapshots of their cluster, from the first one after their start."""
+        weeks = F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOTS - 1))).alias("week")
+        day = F.col("week") * 7 + F.col("cluster")
+        seen = rows.select("*", weeks).withColumn(
+            "snapshot", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=day.cast("int")))
+        return seen.where("started <= snapshot").drop("week", "started")
+
+    @cached_property
+    def container_history(self) -> DataFrame:
+        cluster = self.nation.select("host", F.col("n_regionkey").alias("cluster"))
+        return self._reported(self.container.join(cluster, "host").select(
+            "cluster", "container_id", "host", "pid", F.col("start_ts").alias("started")))
+
+    @cached_property
+    def process_history(self) -> DataFrame:
+        """What agents reported: containers from their start on, managers always, leftovers from a day of their own on."""
+        cluster = self.nation.select("host", F.col("n_regionkey").alias("cluster"))
+        first = F.lit("2024-01-01").cast("timestamp_ntz")
+        starts = self.container.select("host", "pid", F.col("start_ts").alias("started")).unionByName(
+            self.customer.select("host", (F.col("c_custkey") + 200000).alias("pid"),
+                                 (first + F.make_dt_interval(days=(F.col("c_custkey") % 40).cast("int"))).alias("started")))
+        rows = self.agent_process.join(starts, ["host", "pid"], "left").withColumn("started", F.coalesce("started", first))
+        return self._reported(rows.join(cluster, "host").select("cluster", "host", "pid", "agent_id", "started"))
+
     @cached_property
     def jvm(self) -> DataFrame:
         fixed = F.lit("2024-01-10").cast("timestamp_ntz")

@@ -367,6 +367,27 @@ bad AS (SELECT DISTINCT host, pid FROM (SELECT host, pid FROM f_agent_process UN
   WHERE (host, pid) NOT IN (SELECT (host, pid) FROM f_container)
     AND (host, pid) NOT IN (SELECT (host, pid) FROM f_jvm WHERE component_type IN ('GSA', 'GSM')))
 """
+_KNOWN = """
+h_time AS (SELECT n_regionkey AS cluster, TIMESTAMP '2024-01-01' + (7 * week + n_regionkey) * INTERVAL 1 DAY AS snapshot
+  FROM (SELECT DISTINCT n_regionkey FROM f_nation), range(6) r(week)),
+h_last AS (SELECT moment, cluster, max(snapshot) AS snapshot FROM h_time, (VALUES (TIMESTAMP '2024-01-03 12:00:00'), (TIMESTAMP '2024-02-01')) m(moment)
+  WHERE snapshot <= moment GROUP BY moment, cluster),
+h_container AS (SELECT moment, cluster, snapshot, c.* FROM h_last JOIN f_nation ON cluster = n_regionkey JOIN f_container c USING (host)
+  WHERE start_ts <= snapshot),
+h_start AS (SELECT host, pid, start_ts AS started FROM f_container
+  UNION ALL SELECT host, c_custkey + 200000, TIMESTAMP '2024-01-01' + (c_custkey % 40) * INTERVAL 1 DAY FROM f_customer),
+h_process AS (SELECT p.* FROM f_agent_process p LEFT JOIN h_start USING (host, pid) JOIN f_nation USING (host) JOIN h_last ON cluster = n_regionkey
+  WHERE moment = TIMESTAMP '2024-02-01' AND coalesce(started, TIMESTAMP '2024-01-01') <= snapshot),
+h_bad AS (SELECT DISTINCT host, pid FROM (SELECT host, pid FROM h_process UNION ALL SELECT host, pid FROM f_jvm)
+  WHERE (host, pid) NOT IN (SELECT (host, pid) FROM h_container WHERE moment < TIMESTAMP '2024-01-10')
+    AND (host, pid) NOT IN (SELECT (host, pid) FROM f_manager)
+    AND (host, pid) NOT IN (SELECT (host, pid) FROM f_agent))
+"""
+_add("containers_known", """SELECT cluster, snapshot, container_id, host, pid FROM h_container WHERE moment < TIMESTAMP '2024-01-10'""", _KNOWN)
+_add("bad_services_over_time", """SELECT b.host, b.pid, coalesce(container_id, '') AS container_id, coalesce(agent_id, -1) AS agent_id,
+  CASE WHEN container_id IS NOT NULL THEN 'restart' WHEN agent_id IS NOT NULL THEN 'kill' ELSE 'manual' END AS "action"
+  FROM h_bad b LEFT JOIN (SELECT * FROM h_container WHERE moment > TIMESTAMP '2024-01-10') c ON c.host = b.host AND c.pid = b.pid
+  LEFT JOIN h_process p ON p.host = b.host AND p.pid = b.pid""", _KNOWN)
 _add("bad_services", "SELECT host, pid FROM bad", _BAD)
 _add("bad_service_actions", """SELECT b.host, b.pid, '' AS container_id, coalesce(agent_id, -1) AS agent_id,
   CASE WHEN agent_id IS NULL THEN 'manual' ELSE 'kill' END AS "action"

@@ -15,11 +15,11 @@ from ..operators import balance, containers, counts, instances, layers, placemen
 from ..operators.containers import ContainerFilter
 from ..plans import config, operations, rebalance, relocation, schedule
 from ..session import application_folder
-from ..sources import files, inventory, sinks
+from ..sources import files, inventory, sinks, snapshots
 from ..streaming import readiness, source, windows
 from .fleet import Fleet
 
-AS_OF = datetime(2024, 2, 1)
+AS_OF, EARLY = datetime(2024, 2, 1), datetime(2024, 1, 3, 12)
 DRAINED = ["NATION_9", "10.2.0.7"]
 RACKS = [["RACK_0", "RACK_1", "RACK_2", "RACK_3"]]
 RACK_PAIR = [["RACK_0", "RACK_1"]]
@@ -496,6 +496,32 @@ def bad_service_actions(f):
         F.coalesce("agent_id", F.lit(-1)).alias("agent_id"), "action")
 
 
+def _history(f, name: str) -> DataFrame:
+    """A history of the fleet as a snapshot folder."""
+    folder = _scratch(f, name)
+    rows = getattr(f, name)
+    snapshots.add_snapshots(rows, folder)
+    return snapshots.read_snapshots(f.spark, folder, rows.schema)
+
+
+@query()
+def bad_services_over_time(f):
+    """Services that were bad early in January: known as containers since, killed by their agent, or left to be stopped by hand."""
+    held, seen = _history(f, "container_history"), _history(f, "process_history")
+    before, now = (snapshots.known_at(held, moment) for moment in (EARLY, AS_OF))
+    actions = processes.bad_service_actions(
+        snapshots.known_at(seen, AS_OF).select("host", "pid", "agent_id"), f.jvm, before, f.manager, f.agent, now)
+    return actions.select(
+        "host", "pid", F.coalesce("container_id", F.lit("")).alias("container_id"),
+        F.coalesce("agent_id", F.lit(-1)).alias("agent_id"), "action")
+
+
+@query()
+def containers_known(f):
+    """Containers of each cluster's last snapshot in early January."""
+    return snapshots.known_at(_history(f, "container_history"), EARLY).select("cluster", "snapshot", "container_id", "host", "pid")
+
+
 @query()
 def process_containers(f):
     found = processes.containers_of(f.agent_process.select("host", "pid", "agent_id"), f.container, f.agent)

@@ -4,47 +4,37 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running_sum
+from ..session import written
 from .source import END, micros, zone_free
 
 _PU = ["app", "pu"]
-_STATE = "app string, pu string, running bigint, done_ts timestamp_ntz, app_first_ts timestamp_ntz"
+#: Microseconds of the time buckets in which events are summed first.
+BUCKET = 600_000_000
 
 
-def _progress(events: DataFrame, planned: DataFrame, before: DataFrame) -> DataFrame:
-    """State after ``events``: instances running and when the plan was first met.
+def _reached(events: DataFrame, planned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per PU: instances running at last and its first event; and when the plan was first met.
 
-    ``events``: app, pu, ts, event_id, delta. ``planned``: app, pu, planned. ``before``: state
-    so far. A busy PU's events are summed over many tasks (see running_sum); the state is one
-    row per PU.
+    Buckets are summed first and put in order, so the running sums are over buckets. Single events are looked at
+    only in buckets that may meet the plan: the rises in them would do, and no bucket before has met it for certain.
     """
-    # only what is needed, because the ranges are written out
-    needed = events.select(*_PU, "ts", "event_id", "delta")
-    sums = running_sum(needed, _PU, ["ts", "event_id"], "delta", "sum")
-    carried = before.select(*_PU, F.col("running").alias("carried"))
-    counted = (
-        sums.join(planned, _PU)
-        .join(carried, _PU, "left")
-        .withColumn("n", F.col("sum") + F.coalesce("carried", F.lit(0)))
-    )
-    fresh = counted.groupBy(*_PU).agg(
-        F.sum("delta").alias("change"),
-        F.min(F.when(F.col("n") >= F.col("planned"), F.col("ts"))).alias("reached"),
-        F.min("ts").alias("first"),
-    )
-    merged = planned.select(*_PU).join(before, _PU, "left").join(fresh, _PU, "left")
-    per_app = merged.groupBy("app").agg(F.min(F.least("app_first_ts", "first")).alias("app_first_ts"))
-    return (
-        merged.drop("app_first_ts")
-        .join(per_app, "app")
-        .select(
-            *_PU, (F.coalesce("running", F.lit(0)) + F.coalesce("change", F.lit(0))).cast("bigint").alias("running"),
-            F.coalesce("done_ts", "reached").alias("done_ts"), "app_first_ts",
-        )
-    )
+    rows = events.select(*_PU, "ts", "event_id", "delta", F.floor(micros(F.col("ts")) / BUCKET).alias("_bucket"))
+    per_bucket = rows.groupBy(*_PU, "_bucket").agg(
+        F.sum("delta").alias("change"), F.sum(F.greatest("delta", F.lit(0))).alias("rise"), F.min("ts").alias("first"))
+    sums = running_sum(per_bucket.join(planned, _PU), _PU, ["_bucket"], "change", "after")
+    sums = written(sums.withColumn("before", F.col("after") - F.col("change")))
+    total = sums.groupBy(*_PU).agg(F.sum("change").alias("running"), F.min("first").alias("first"))
+    certain = sums.where("after >= planned").groupBy(*_PU).agg(F.min("_bucket").alias("_last"))
+    # a plan that is met from the start is met by the first event
+    doubtful = sums.where("before + rise >= planned").join(certain, _PU, "left").where("_last IS NULL OR _bucket <= _last")
+    start = doubtful.select(*_PU, "_bucket", "before", "planned")
+    inside = Window.partitionBy(*_PU, "_bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.join(start, [*_PU, "_bucket"]).withColumn("n", F.col("before") + F.sum("delta").over(inside)).where("n >= planned")
+    return total, met.groupBy(*_PU).agg(F.min("ts").alias("done_ts"))
 
 
 def verdicts(state: DataFrame, planned: DataFrame, timeout: timedelta) -> DataFrame:
@@ -59,9 +49,12 @@ def verdicts(state: DataFrame, planned: DataFrame, timeout: timedelta) -> DataFr
 
 
 def readiness_batch(events: DataFrame, planned: DataFrame, timeout: timedelta) -> DataFrame:
-    """Verdict per PU over a complete event table."""
-    empty = events.sparkSession.createDataFrame([], _STATE)
-    return verdicts(_progress(events, planned, empty), planned, timeout)
+    """Verdict per planned PU over a complete event table."""
+    total, met = _reached(events, planned)
+    merged = planned.select(*_PU).join(total, _PU, "left").join(met, _PU, "left")
+    per_app = merged.groupBy("app").agg(F.min("first").alias("app_first_ts"))
+    state = merged.join(per_app, "app").withColumn("running", F.coalesce("running", F.lit(0)).cast("bigint"))
+    return verdicts(state, planned, timeout)
 
 
 def outcomes(judged: DataFrame, declared: DataFrame) -> DataFrame:
@@ -82,14 +75,10 @@ def outcomes(judged: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame, every: str = "5 seconds") -> DataFrame:
-    """Instances running at the end of each interval that saw a change."""
-    needed = events.select(*_PU, "ts", "event_id", "delta")
-    sums = running_sum(needed, _PU, ["ts", "event_id"], "delta", "n")
-    return (
-        sums.groupBy(*_PU, F.window("ts", every).alias("w"))
-        .agg(F.max_by("n", F.struct("ts", "event_id")).alias("running"))
-        .select(*_PU, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "running")
-    )
+    """Instances running at the end of each interval that saw a change: running sums over intervals, not over events."""
+    changes = events.groupBy(*_PU, F.window("ts", every).alias("w")).agg(F.sum("delta").alias("change")).select(
+        *_PU, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "change")
+    return running_sum(changes, _PU, ["window_start"], "change", "running").drop("change")
 
 
 _VERDICTS = "app string, pu string, planned bigint, running bigint, done bigint, status string, closing boolean"
