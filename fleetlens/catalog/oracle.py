@@ -245,6 +245,18 @@ _add("container_report", """SELECT host, common_zones, n_containers, c.container
 _add("restart_selection", f"""SELECT container_id, count(DISTINCT label) AS labels, count(*) AS copies
   FROM l_label JOIN f_container USING (container_id) WHERE list_contains(zones, 'LARGE_HEAP')
   AND {_AS_OF} - start_ts > INTERVAL 28 DAY GROUP BY container_id""", _LABELS)
+_add("container_machines", "SELECT container_id, pid, host, addr FROM f_container")
+_add("machine_split", """SELECT CASE WHEN host = 'NATION_9' THEN 'same' ELSE 'different' END AS machine, count(*) AS n, min(container_id) AS "first"
+  FROM f_container GROUP BY 1""")
+_add("scan_agent_processes", "SELECT host, pid, agent_id, service_type FROM f_agent_process")
+_add("container_order", """SELECT *, row_number() OVER (PARTITION BY host ORDER BY specific_zones, pid) - 1 AS position FROM (
+    SELECT container_id, host, '[' || coalesce(string_agg(zone, ', ' ORDER BY zone), '') || ']' AS specific_zones, pid
+    FROM f_container LEFT JOIN z_specific USING (container_id) GROUP BY container_id, host, pid)""", _COMMON)
+_add("backup_first", """SELECT container_id, instance_id, is_backup,
+  row_number() OVER (PARTITION BY container_id ORDER BY is_backup DESC, instance_id) - 1 AS position FROM f_facts""", level="part")
+_add("zone_group_check", "SELECT container_id, array_to_string(list_sort(zones), ',') AS zones FROM f_container")
+_SQL["options_without_passwords"] = """SELECT p_partkey, '-Xmx' || p_size || 'm'
+  || CASE WHEN p_size % 2 = 0 THEN '' ELSE ' -D' || p_type || '.name=' || p_partkey END AS options FROM part"""
 _add("containers_per_host", "SELECT host, count(*) AS n_containers FROM f_container GROUP BY host")
 _add("agent_report", """SELECT a.host, required_managers, coalesce(processes, 0) AS processes, coalesce(p.pid, -1) AS pid,
     coalesce(agent_id, -1) AS agent_id, coalesce(service_type, '') AS service_type,
@@ -414,6 +426,21 @@ _add("effective_config", f"SELECT entity, key, arg_max(value, layer) AS value FR
 _add("shown_config", """, d AS (SELECT entity, key, value, bool_or(layer IN (2, 4)) AS secret, min(layer) AS layer FROM f_layer GROUP BY entity, key, value)
   SELECT entity, key, CASE WHEN arg_max(secret, layer) THEN '****' ELSE arg_max(value, layer) END AS value,
     arg_max(secret, layer) AS is_secret FROM d GROUP BY entity, key""")
+_BRAND = "brand AS (SELECT *, CAST(substr(p_brand, 7) AS INT) AS num, 'brand_' || substr(p_brand, 7) AS pu FROM part)"
+_SQL["deployment_files"] = f"""WITH {_BRAND}, b AS (SELECT pu, num, count(*) AS n FROM brand GROUP BY pu, num)
+  SELECT pu, CASE num % 4 WHEN 0 THEN 'no descriptor file' WHEN 1 THEN 'not valid JSON' WHEN 2 THEN 'unknown fields: $.surprise' ELSE '' END AS problem,
+    CASE num % 4 WHEN 3 THEN pu ELSE '' END AS name, '-Xmx' || n || 'm ${{CONTAINER_OPTIONS}} -Dbrand=' || num AS environment,
+    '-Xmx' || n || 'm -Dbrand=' || num AS jvm_args FROM b"""
+_SQL["deployment_config"] = f"""WITH {_BRAND}, b AS (SELECT pu, num, count(*) AS n FROM brand GROUP BY pu, num),
+  e AS (SELECT pu, 'origin' AS key, n::VARCHAR AS value, 'STRING' AS kind, 1 AS layer, false AS secret FROM b
+    UNION ALL SELECT pu, 'size.1', '0', 'STRING', 1, false FROM b
+    UNION ALL SELECT pu, 'size.' || p_size, max(p_partkey)::VARCHAR, 'STRING', 2, false FROM brand GROUP BY pu, p_size
+    UNION ALL SELECT pu, 'pw.' || p_type, count(*)::VARCHAR, 'STRING', 3, true FROM brand WHERE num % 5 > 1 GROUP BY pu, p_type
+    UNION ALL SELECT pu, 'size.1', n::VARCHAR, 'BIGINT', 4, false FROM b WHERE num % 4 = 3
+    UNION ALL SELECT pu, 'extra', 'x ' || num, 'STRING', 4, false FROM b WHERE num % 4 = 3),
+  d AS (SELECT pu, key, value, kind, min(layer) AS layer, bool_or(secret) AS secret FROM e GROUP BY pu, key, value, kind)
+  SELECT pu AS entity, key, CASE WHEN arg_max(secret, layer) THEN '****' ELSE arg_max(value, layer) END AS value, arg_max(secret, layer) AS is_secret
+  FROM d GROUP BY pu, key"""
 _add("merged_size", "SELECT entity, count(*) AS size, false AS is_empty FROM f_layer GROUP BY entity")
 _add("merged_entries", "SELECT DISTINCT entity, key, value FROM f_layer")
 _SQL["zone_limits_parse"] = """SELECT p_partkey, p_brand AS zone, p_size + 2 AS max_instances FROM part

@@ -101,6 +101,50 @@ def machine_instances(f):
     return found.select("instance_id", "pu", "container_id", "host", "addr")
 
 
+@query()
+def container_machines(f):
+    return inventory.containers_with_machine(f.container, f.machine).select("container_id", "pid", "host", "addr")
+
+
+@query()
+def machine_split(f):
+    """Containers on one machine and on all others."""
+    there = F.when(P.same_machine(F.col("host"), "NATION_9"), "same").when(P.different_machine(F.col("host"), "NATION_9"), "different")
+    return f.container.groupBy(there.alias("machine")).agg(F.count("*").alias("n"), F.min("container_id").alias("first"))
+
+
+@query()
+def scan_agent_processes(f):
+    """Agents report their processes as a list."""
+    listed = f.agent_process.groupBy("host").agg(F.collect_list(F.struct("pid", "agent_id", "service_type")).alias("processes"))
+    return inventory.flatten_processes(listed)
+
+
+@query()
+def container_order(f):
+    return reports.container_order(f.container)
+
+
+@query("part")
+def backup_first(f):
+    """The order in which a container's instances are restarted."""
+    return instances.backup_first_position(facts(f), ["container_id"], ["instance_id"]).select(
+        "container_id", "instance_id", "is_backup", "position")
+
+
+@query()
+def zone_group_check(f):
+    """Zones of each container as a checked zone group."""
+    return f.container.select("container_id", F.array_join(rebalance.validated_zone_group(F.concat("zones", "zones")), ",").alias("zones"))
+
+
+@query()
+def options_without_passwords(f):
+    options = F.array(F.concat(F.lit("-Xmx"), "p_size", F.lit("m")), F.concat(
+        F.lit("-D"), "p_type", F.when(F.col("p_size") % 2 == 0, ".password=").otherwise(".name="), "p_partkey"))
+    return f.table("part").select("p_partkey", F.array_join(X.without_passwords(options), " ").alias("options"))
+
+
 @query()
 def instance_locations(f):
     located = instances.with_location(facts(f), f.container)
@@ -707,6 +751,61 @@ def descriptor_context(f):
     return files.descriptor_layers(files.parse_descriptors(_descriptor_files(f), strict=False))
 
 
+def _deployment_files(f) -> str:
+    """Configuration files of every brand, written from the parts: some are missing, blank or damaged."""
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1)
+    part = f.table("part").withColumn("number", number.cast("int")).withColumn("directory", F.concat(F.lit("brand_"), "number"))
+
+    def listed(prefix: str, column: str, value: Column) -> DataFrame:
+        """A properties text per brand; its lines are as many as the column has values."""
+        lines = part.groupBy("directory", "number", column).agg(value.alias("v")).select(
+            "directory", "number", F.concat(F.lit(prefix), column, F.lit(" = "), "v").alias("line"))
+        return lines.groupBy("directory", "number").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
+
+    n = F.col("number")
+    per_brand = part.groupBy("directory", "number").agg(F.count("*").alias("n"))
+    good = F.to_json(F.struct(F.col("directory").alias("name"), F.struct(
+        F.col("n").alias("size.1"), F.concat(F.lit("x "), n).alias("extra")).alias("contextProperties")))
+    shared = listed("size.", "p_size", F.max("p_partkey")).select("directory", F.lit("shared-public.properties").alias("file_name"), "text")
+    secret = listed("pw.", "p_type", F.count("*")).where(n % 5 != 0).select(
+        "directory", F.lit("shared-secrets.properties").alias("file_name"), F.when(n % 5 == 1, "").otherwise(F.col("text")).alias("text"))
+    descriptor = per_brand.where(n % 4 != 0).select(
+        "directory", F.concat("directory", F.lit(".json")).alias("file_name"),
+        F.when(n % 4 == 1, F.substring(good, 1, 20)).when(n % 4 == 2, F.regexp_replace(good, "^.", '{"surprise":1,')).otherwise(good).alias("text"))
+    process = per_brand.select(
+        "directory", F.lit("process.xml").alias("file_name"),
+        F.concat(F.lit("<process><script><environment>-Xmx"), "n", F.lit(f"m {PLACEHOLDER} -Dbrand="), n, F.lit(
+            "</environment></script></process>")).alias("text"))
+    folder = _scratch(f, "deployment")
+    sinks.write_texts(shared.union(secret).union(descriptor).union(process), folder)
+    return folder
+
+
+@query()
+def deployment_files(f):
+    """Descriptor and process file of every brand, read from its directory."""
+    folder = _deployment_files(f)
+    brand = f.table("part").select(F.concat(F.lit("brand_"), F.regexp_extract("p_brand", r"(\d+)$", 1)).alias("pu")).distinct()
+    found = files.descriptors_of(brand, files.read_descriptors(f.spark, folder, strict=False))
+    process = files.read_process_files(f.spark, folder, PLACEHOLDER).select(
+        F.regexp_extract("directory", "([^/]+)$", 1).alias("pu"), "environment", "jvm_args")
+    return found.join(process, "pu").select(
+        "pu", F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("descriptor.name", F.lit("")).alias("name"), "environment", "jvm_args")
+
+
+@query()
+def deployment_config(f):
+    """What is configured for every brand from its five layers, files among them."""
+    folder = _deployment_files(f)
+    part = f.table("part").select(F.concat(F.lit("brand_"), F.regexp_extract("p_brand", r"(\d+)$", 1)).alias("pu"))
+    sizes = part.groupBy("pu").agg(F.count("*").cast("string").alias("value"))
+    original = sizes.select("pu", F.lit("origin").alias("key"), "value").union(sizes.select("pu", F.lit("size.1"), F.lit("0")))
+    shared = files.read_shared_properties(f.spark, folder).withColumn("directory", F.regexp_extract("directory", "([^/]+)$", 1))
+    entries = files.descriptor_layers(files.read_descriptors(f.spark, folder, strict=False))
+    places = sizes.select("pu", F.col("pu").alias("directory"))
+    return layers.shown_config(config.config_layers(places, original, shared, entries))
+
+
 @query("part")
 def deployed_settings(f):
     base = f.pu.select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
+from .ordering import ordinal_within
 
 
 def instance_facts(instance: DataFrame) -> DataFrame:
@@ -64,3 +65,9 @@ def labelled(facts: DataFrame) -> DataFrame:
 def backup_first(instances: DataFrame, order: str = "input_order") -> DataFrame:
     """Backups before all others, ties in input order."""
     return instances.orderBy(F.desc("is_backup"), order)
+
+
+def backup_first_position(instances: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Place of each instance in its group, from 0: backups before all others, ties by ``order``. A group may span many tasks."""
+    late = (~F.col("is_backup")).cast("int").alias("_late")
+    return ordinal_within(instances.select("*", late), group, ["_late", *order], "position").drop("_late")

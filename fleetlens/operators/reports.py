@@ -9,6 +9,7 @@ from ..functions import predicates as P
 from ..functions import text as X
 from ..session import written
 from .instances import labelled
+from .ordering import ordinal_within
 from .placement import zone_set
 from .processes import component_types, jvm_descriptions, process_counts
 
@@ -88,6 +89,13 @@ def container_report(container: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def container_order(container: DataFrame) -> DataFrame:
+    """Place of each container in the listing of its host, from 0: by its specific zones as printed, then by pid."""
+    printed = F.concat(F.lit("["), F.array_join("specific_zones", ", "), F.lit("]"))
+    rows = specific_zones(container).select("container_id", "host", printed.alias("specific_zones"), "pid")
+    return ordinal_within(rows, ["host"], ["specific_zones", "pid", "container_id"], "position")
+
+
 REPORT_ORDER = ["host", "specific_zones", "pid", "label"]
 
 

@@ -67,3 +67,8 @@ def flatten_processes(agent: DataFrame) -> DataFrame:
 def machines_with_agent(machine: DataFrame, agent: DataFrame) -> DataFrame:
     """Machines with their agent; null agent columns where none runs."""
     return machine.join(agent, "host", "left")
+
+
+def containers_with_machine(container: DataFrame, machine: DataFrame) -> DataFrame:
+    """Containers with the address of the machine they run on; a container of an unknown machine is left out."""
+    return container.drop("addr").join(machine.select("host", "addr"), "host")

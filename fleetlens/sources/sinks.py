@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,22 @@ def write_snapshot(counts: DataFrame, path: str, with_zeros: bool = True) -> Non
     """JSON lines in (pu, partition, axis, key) order over the files of the folder."""
     order = ["pu", "partition_id", "axis", "key"]
     snapshot_json(counts, with_zeros).orderBy(*order).select("json").write.text(path)
+
+
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """One file per row (directory, file_name, text) below ``folder``; a line feed closes each text.
+
+    Tasks write the texts under names of Spark's choosing and the driver renames them, one call a file: it is meant for
+    configuration files. The pair of directory and file name must be unique.
+    """
+    spark = rows.sparkSession
+    staging = f"{folder}/_staging"
+    rows.select("directory", "file_name", "text").write.partitionBy("directory", "file_name").text(staging)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    files = path_of(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(path_of(f"{staging}/directory=*/file_name=*/part-*")) or []:
+        written_to = status.getPath()
+        name, directory = (unquote(p.getName().split("=", 1)[1]) for p in (written_to.getParent(), written_to.getParent().getParent()))
+        files.mkdirs(path_of(f"{folder}/{directory}"))
+        if not files.rename(written_to, path_of(f"{folder}/{directory}/{name}")):
+            raise FileExistsError(f"{folder}/{directory}/{name}")
