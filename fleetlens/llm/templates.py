@@ -59,12 +59,17 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
+def _window_hash(start: Column, width: int, *more: Column) -> Column:
+    """Hash of ``width`` hashes in a row, taken one by one, since a slice for every window would be copied."""
+    return F.xxhash64(*[F.get("hashes", start + j) for j in range(width)], *more)
+
+
 def _with_windows(rows: DataFrame, window: int) -> DataFrame:
     """Add ``windows``: the hash of every run of ``window`` of the tokens; of all tokens when there are fewer."""
     # posexplode_outer below: the filter that Spark infers for an inner one would repeat all this for each window
     rows = rows.withColumn("hashes", F.transform("tokens", lambda x: F.xxhash64(x)))
     size = F.size("hashes")
-    runs = F.transform(F.sequence(F.lit(1), size - window + 1), lambda i: F.xxhash64(F.slice("hashes", i, window)))
+    runs = F.transform(F.sequence(F.lit(0), size - window), lambda i: _window_hash(i, window))
     return rows.withColumn("windows", F.when(size >= window, runs).when(size > 0, F.array(F.xxhash64("hashes", size))).otherwise(
         F.array().cast("array<bigint>"))).drop("hashes")
 
@@ -103,8 +108,8 @@ def literal_runs(docs: DataFrame, items: DataFrame, window: int = WINDOW, least:
 
     def runs(width: int) -> Column:
         more = [] if width == window else [F.lit(width)]  # as in _with_windows
-        return F.when(size >= width, F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.struct(
-            F.lit(width).alias("width"), (i - 1).alias("pos"), F.xxhash64(F.slice("hashes", i, width), *more).alias("hash")))
+        return F.when(size >= width, F.transform(F.sequence(F.lit(0), size - width), lambda i: F.struct(
+            F.lit(width).alias("width"), i.alias("pos"), _window_hash(i, width, *more).alias("hash")))
         ).otherwise(none)
 
     found = hashed.select("doc_id", F.explode_outer(F.concat(none, *map(runs, widths))).alias("w")).select("doc_id", "w.*")
