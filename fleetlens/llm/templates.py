@@ -10,8 +10,8 @@ An item or document shorter than a window is one window of all its tokens.
 
 Beside the templates, the windows of plain lower-cased words of every item are looked up, all words for
 an item shorter than a window, so copies word for word are found however many numbers or names they
-hold and whatever their case; ``LITERALS`` restricts only templates. An item that has an alignment with
-inconsistent values in a document counts there only by another, consistent alignment.
+hold and whatever their case; ``LITERALS`` and consistency restrict only templates. So a copy with one value
+changed is found by the windows that hold the item's own values, wherever there are ``LEAST`` of them.
 
 Native: regular expressions, array functions and joins only. Null and empty texts have no windows.
 Rows that share a doc_id (or a null id) are one document, rows that share an item_id one item with
@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int =
         *[F.col(c).alias(f"_{c}") for c in ("doc_id", "item_id", "wording", "shift")]))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("doc_id", "item_id", "wording", "shift")]
     good = runs.join(odd, same[0] & same[1] & same[2] & same[3], "left_anti").select("doc_id", "item_id", F.size("covered").alias("n"))
-    words = literal_runs(docs, items, window, least).join(odd, same[0] & same[1] & same[2], "left_anti")
+    words = literal_runs(docs, items, window, least)
     return good.unionByName(words.select("doc_id", "item_id", "n")).groupBy("doc_id", "item_id").agg(
         F.max("n").cast("long").alias("windows"))
 

@@ -239,8 +239,9 @@ def test_contamination(spark):
     texts = ["noise first. " + moved + " and noise", "nothing here at all but plain words in a row", "A short one!", None, "",
              items.first().text, "the baker has many loaves", odd]
     got = {r.doc_id: r.item_ids for r in templates.contamination(docs_of(spark, texts), items).collect()}
-    assert got == {0: [1], 1: [], 2: [2], 3: [], 4: [], 5: [1], 6: [], 7: []}
-    assert templates.decontaminated(docs_of(spark, texts), items).count() == 5
+    # the last one's values are inconsistent, but its tail has four whole windows of the item
+    assert got == {0: [1], 1: [], 2: [2], 3: [], 4: [], 5: [1], 6: [], 7: [1]}
+    assert templates.decontaminated(docs_of(spark, texts), items).count() == 4
     assert not templates.leaks(docs_of(spark, texts), items.limit(0)).count()
 
 
@@ -261,6 +262,16 @@ def test_verbatim_copy_behind_odd_spots(spark):
     assert [r.item_ids for r in templates.contamination(docs_of(spark, texts), items).orderBy("doc_id").collect()] == [[1]] * 4
 
 
+def test_whole_windows_count_beside_changed_values(spark):
+    passage = "Tom buys 12 apples and 12 pears while Anna picks 7 plums near the old mill before lunch on a cold day"
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    changed = [passage.replace("12 pears", "13 pears"), passage.replace("7", "12"), passage.title() + " " + passage.replace("12 pears", "13 pears")]
+    # inconsistent values, and no stretch of nine words of the item
+    broken = "Tom buys 12 apples and 13 pears while Otto picks 7 plums near her old mill before lunch on that cold day"
+    rows = templates.contamination(docs_of(spark, [*changed, broken]), items).orderBy("doc_id").collect()
+    assert [r.item_ids for r in rows] == [[1], [1], [1], []]
+
+
 def test_copies_without_listed_templates(spark):
     passage = "Every morning Clara and Ruth walk past the quiet harbour with Otto before the market opens"
     items = spark.createDataFrame([
