@@ -12,7 +12,9 @@ with the list's most typical class (its hub), and whatever is then not in the li
 component is compared, in blocks of bounded size, with every member of similar size.
 
 Chance: a pair at similarity 0.8 misses a list only if fewer than 40 % of its ``k`` = 24 smallest
-union values are common (below 1e-5); sets up to ``k`` are kept whole and lose nothing.
+union values are common (below 1e-5); sets up to ``k`` are kept whole and lose nothing. A saturated class is on
+the lists of its ``SPREAD`` = 8 smallest frequent values; two at 0.8 have none of them in common with a chance below 0.2 ** 8,
+3e-6, as each of them is a value of the other with a chance of 0.8.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows fall in one class. A
 document is a row: rows with equal ids but different texts are judged apart. Extra columns do not
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .common import WordHashes, components, in_arrow, in_groups, mixed, words_of
 
-K, RARE, SHARE, SPREAD = 24, 32, 0.4, 8
+K, RARE, SHARE, SPREAD, SALT = 24, 32, 0.4, 8, 16
 BLOCK_VALUES = 400_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,14 +192,16 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int, k
     classes = written(classes)
     values = classes.select("class", F.explode("sketch").alias("v"))
     held = written(values.groupBy("v").agg(F.count("*").alias("held")).where("held > 1"))
-    frequent = held.where(f"held > {rare}").select("v")
-    hot = values.join(frequent, "v").groupBy("class").agg(F.sort_array(F.collect_list("v")).alias("hot"))
-    full = written(classes.join(hot, "class", "left").withColumn(
-        "n_hot", F.when(F.col("hot").isNull(), 0).otherwise(F.size("hot"))))
+    # a frequent value may be held by a third of all classes, so its holders are dealt to SALT keys
+    salted = values.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALT)))
+    frequent = held.where(f"held > {rare}").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    hot = salted.join(frequent, ["v", "salt"], "left_semi").groupBy("class").agg(F.sort_array(F.collect_list("v")).alias("hot"))
+    none = F.array().cast("array<bigint>")
+    full = written(classes.join(hot, "class", "left").withColumn("hot", F.coalesce("hot", none)).withColumn("n_hot", F.size("hot")))
 
     entry = F.struct("class", "n", "n_hot")
     lists = (
-        full.select(F.explode("sketch").alias("v"), entry.alias("x")).join(held.where(f"held <= {rare}"), "v", "left_semi")
+        full.select(F.explode(F.array_except("sketch", "hot")).alias("v"), entry.alias("x")).join(held, "v", "left_semi")
         .groupBy("v").agg(F.collect_list("x").alias("xs"))
     )
     pairs = lists.select("xs", F.explode("xs").alias("x")).select(
@@ -215,8 +219,9 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int, k
     spokes = members.join(hubs, "v").where(_similar(F.col("n"), F.col("hub.n"), percent)).select(
         F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).where("a <> b").distinct()
     found = written(_estimated(pairs.union(spokes), full, k).distinct())
-    wanted = found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).union(
-        members.select("class")).distinct().join(classes.select("class", F.col("doc_id").alias("_id")), "class").select("_id").distinct()
+    # written, so that Spark knows how small it is and need not move the texts to it
+    wanted = written(found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).union(
+        members.select("class")).distinct().join(classes.select("class", F.col("doc_id").alias("_id")), "class").select("_id").distinct())
     ids = F.col("doc_id").cast("long")
     texts = docs.select(ids.alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = written(whole_sets(texts, width).dropDuplicates(["class"]))
@@ -252,9 +257,10 @@ def first_of_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     The group's smallest id stays. Rows that share an id are one document; of equal rows one stays.
     """
     judged = written(near_duplicates(docs, width, percent))
-    keep = written(judged.groupBy("doc_id").agg(
-        F.bool_or("kept").alias("kept"), F.count("class").alias("n")).where("kept").select(F.col("doc_id").alias("_keep"), "n"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
-    once = docs.join(keep.where("n <= 1").select("_keep"), same, "left_semi")
-    again = docs.join(keep.where("n > 1").select("_keep"), same, "left_semi")
+    # texts meet the ids that go or that several rows share, which are fewer than those that stay
+    ids = written(judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("class").alias("n")).where(
+        "not kept or n > 1").select(F.col("doc_id").alias("_id"), "kept"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    once = docs.join(ids.select("_id"), same, "left_anti")
+    again = docs.join(ids.where("kept").select("_id"), same, "left_semi")
     return once.unionByName(again.dropDuplicates([c for c, t in docs.dtypes if not t.startswith("map")]))

@@ -161,8 +161,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; rows that share id and source are taken together."""
     units = written(sizes(docs).groupBy("doc_id", "source").agg(F.sum("size").alias("size")))
-    got = copies(units, written(targets(units, weights, most))).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies"))
+    # written, so that Spark knows its size: where it is small, the texts stay where they are
+    got = written(copies(units, written(targets(units, weights, most))).where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     rows = docs.join(got, same)
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
