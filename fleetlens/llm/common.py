@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound so that a worker's memory stays bounded."""
 
-    LIMIT = 250_000
+    LIMIT = 500_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -71,39 +69,9 @@ def ship(spark: SparkSession) -> None:
     context._fleetlens_shipped = True
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers stay for later tasks of other stages, beside the JVM."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not the GNU library
-        pass
-
-
-#: What a worker keeps between tasks, by the module that keeps it: how to forget it.
-FORGET: dict[str, Callable[[], None]] = {}
-
-
-def forget_others(owner: str) -> None:
-    """A worker that comes to another operator's task drops what earlier operators kept in it."""
-    for name, forget in FORGET.items():
-        if name != owner:
-            forget()
-
-
 def in_arrow(df: DataFrame, function: Callable[[Iterable], Iterable], schema) -> DataFrame:
     ship(df.sparkSession)
-
-    owner = function.__module__
-
-    def run(batches: Iterable) -> Iterable:
-        forget_others(owner)
-        try:
-            yield from function(batches)
-        finally:
-            give_back()
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(function, schema)
 
 
 def in_groups(df: DataFrame, keys: list[str], function: Callable, schema) -> DataFrame:
