@@ -121,6 +121,30 @@ def test_placement_bounds(spark, tmp_path):
     assert {(r.window_start, r.pu, r.axis): (r.min, r.max, r.needs_rebalancing) for r in ended.collect()} == got
 
 
+def test_placement_counts_are_not_broadcast(spark, tmp_path):
+    """The batch that ends a stream is empty, but its state gives every count there is."""
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    pus = table("pus", [(f"p{n}", []) for n in range(9)], "pu string, required_zones array<string>")
+    container = table("containers", [(f"c{n}", "h", ["z"]) for n in range(9)], "container_id string, host string, zones array<string>")
+    rows = table("in", [(at(0), "p1", "c1")], "ts timestamp_ntz, pu string, container_id string")
+    stream = source.with_end(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "end"))
+    source.mark_end(spark, rows.schema, str(tmp_path / "end"))
+    out = W.placement_imbalance(stream, pus, container, "1 minute", "10 seconds")
+    with source.keyed_state(spark):
+        run = source.append_to(out, str(tmp_path / "out"), str(tmp_path / "progress")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    lines = run._jsq.explainInternal(False).split("== Physical Plan ==")[1].splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("StateStoreSave" in x for x in lines[i:below])
+    assert any("StateStoreSave" in x for x in lines) and spark.read.schema(out.schema).parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_window_streams_match_their_batch_twins(spark, tmp_path):
     rows = readings(spark).select("ts", "pu", F.col("app").alias("key"), (F.col("event_id") % 50 == 49).alias("is_manager"))
     write_parts(rows, str(tmp_path / "in"), 3)
