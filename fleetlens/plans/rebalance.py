@@ -20,7 +20,7 @@ from ..functions import predicates as P
 from ..operators.balance import needs_rebalancing
 from ..operators.counts import ROLES, WHOLE, occupied, slot_counts
 from ..operators.ordering import with_ordinal
-from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, requirement, zone_set
+from ..operators.placement import best_two, choose, eligible_containers, loaded_containers, matched_sets, requirement, zone_set
 from ..session import written
 from .relocation import NO_TARGET
 
@@ -81,6 +81,13 @@ def _nonzero(held: DataFrame) -> DataFrame:
     )
 
 
+def _counted_key(lane, key, offered, n_keys) -> Column:
+    return F.struct(
+        F.col(lane).alias("lane") if isinstance(lane, str) else lane.alias("lane"),
+        F.col(key).alias("key") if isinstance(key, str) else key.alias("key"),
+        F.coalesce(offered, F.lit(False)).alias("offered"), F.coalesce(n_keys, F.lit(0)).cast("bigint").alias("n_keys"))
+
+
 class _Keys:
     """Ordered eligible keys per requirement set and lane; PUs with the same requirements share a list."""
 
@@ -101,6 +108,7 @@ class _Keys:
         # the last key of a list has no following key and drops out
         self.links = self.ordered.join(following, ["owner", "lane", "ordinal"]).select("owner", "lane", "key", "next")
         self.heads = self.ordered.groupBy("owner", "lane").agg(F.count("*").alias("n_keys"), F.min("key").alias("first"))
+        self.pu, self.groups = pu, groups
 
     def per_pu(self) -> DataFrame:
         """Number of eligible keys and first eligible key per PU and lane."""
@@ -127,6 +135,56 @@ class _Keys:
         )
         return occupied(owned, keyed, ["lane", "key", "offered"], ["owner", "container_id"])
 
+    def places(self, container: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(container_id, place) and, per requirement set and place, the keys of its zones and host.
+
+        Containers with equal zones and host share a place, so the second table is small: requirement sets meet places.
+        It also tells the eligible keys of the container lane, and whether containers of the place are among them; a container
+        listed with several zone sets is eligible if one of them is.
+        """
+        sets = container.select("container_id", "host", zone_set("zones").alias("zones"))
+        listed = sets.groupBy("container_id").agg(F.array_sort(F.collect_set("zones")).alias("listed"))
+        what = ["zones", "host", "listed"]
+        rows = sets.join(listed, "container_id")
+        numbered = written(with_ordinal(rows.select(*what).distinct(), what, "place"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in what]
+        located = written(rows.alias("a").join(numbered.alias("b"), same).select("a.container_id", "b.place"))
+
+        owners = self.owners.select("owner").distinct().union(self.owners.sparkSession.range(1).select(F.lit("\x02")))
+        pairs = owners.crossJoin(numbered)
+        owner = F.array_join("required_zones", "\x01").alias("owner")
+        every = numbered.select("place", F.explode("listed").alias("zones"))
+        fitting = matched_sets(self.pu, every).join(every, "zones").select(owner, "place", F.lit(True).alias("fits")).distinct()
+        sizes = self.heads.select("owner", "lane", "n_keys")
+        offered = self.ordered.select("owner", "lane", "key", F.lit(True).alias("offered"))
+        shared = (
+            pairs.select("owner", "place", F.explode(_lane_keys(self.groups, ("MACHINE",))).alias("_key"))
+            .select("owner", "place", "_key.*")
+            .join(offered, ["owner", "lane", "key"], "left").join(sizes, ["owner", "lane"], "left")
+            .groupBy("owner", "place").agg(F.collect_list(_counted_key("lane", "key", "offered", "n_keys")).alias("keys"))
+        )
+        single = sizes.where(F.col("lane") == len(self.groups) + 1).select("owner", "n_keys")
+        return located, written(
+            pairs.select("owner", "place").join(shared, ["owner", "place"]).join(fitting, ["owner", "place"], "left")
+            .join(single, "owner", "left").select("owner", "place", "keys", "fits", "n_keys"))
+
+    def keyed(self, slots: DataFrame, shared: DataFrame) -> DataFrame:
+        """Counts per PU, scope, lane and key of slots with a ``scope`` and a ``place``; n_keys are the keys to choose from."""
+        single = _counted_key(F.lit(len(self.groups) + 1), F.col("container_id").cast("string"), "fits", "n_keys")
+        rows = slots.join(shared, ["owner", "place"]).withColumn("keys", F.concat("keys", F.array(single)))
+        if "only_lane" in slots.columns:
+            rows = rows.withColumn("keys", F.filter("keys", lambda k: k["lane"] == F.col("only_lane")))
+        return (
+            rows.select("pu", "scope", *ROLES, F.explode("keys").alias("_key")).select("pu", "scope", *ROLES, "_key.*")
+            .groupBy("pu", "scope", "lane", "key", "offered")
+            .agg(*[F.sum(r).alias(r) for r in ROLES], F.max("n_keys").alias("n_keys"))
+        )
+
+    def placed(self, slots: DataFrame, located: DataFrame) -> DataFrame:
+        """Slots with the place of their container and the requirement set of their PU, if it has a row of its own."""
+        return slots.join(located, "container_id").join(self.owners, "pu", "left").withColumn(
+            "owner", F.coalesce("owner", F.lit("\x02")))
+
     def smallest_free(self, checks: DataFrame, taken: DataFrame) -> DataFrame:
         """Smallest eligible key without instances; ``taken`` holds the occupied keys of the checks."""
         firsts = checks.select(*_CHECK).join(self.owners, "pu").join(self.heads, ["owner", "lane"])
@@ -138,8 +196,8 @@ class _Keys:
         return free.groupBy(*_CHECK).agg(F.min("key").alias("free_key"))
 
 
-def _first_failed(held: DataFrame, per_pu: DataFrame, lanes: int) -> DataFrame:
-    """First failed check of each PU: (pu, scope, role, lane, n_keys).
+def _failed_places(held: DataFrame, lanes: int) -> DataFrame:
+    """Place in the cascade of the first failed check among those held, per PU; null where none fails.
 
     Works on numbers only, so both aggregations stay hash aggregations; keys are looked
     up later for the chosen checks. A check whose counts are all zero is balanced, so
@@ -152,20 +210,32 @@ def _first_failed(held: DataFrame, per_pu: DataFrame, lanes: int) -> DataFrame:
             F.count_if((F.col(r) > 0) & F.col("offered")).alias(f"taken_{r}"),
             F.min(positive).alias(f"low_{r}"), F.max(positive).alias(f"max_{r}"),
         ]
-    sizes = per_pu.select("pu", "lane", "n_keys")
-    bounds = held.groupBy("pu", "scope", "lane").agg(*measures).join(sizes, ["pu", "lane"], "left").fillna(0, ["n_keys"])
+    bounds = held.groupBy("pu", "scope", "lane").agg(*measures, F.max("n_keys").alias("n_keys"))
     failed = []
     for role, r in enumerate(ROLES):
         low = F.when(F.col(f"taken_{r}") < F.col("n_keys"), F.lit(0)).otherwise(F.col(f"low_{r}"))
         place = (F.col("scope") * len(ROLES) + role) * lanes + F.col("lane")
         failed.append(F.when(needs_rebalancing(low, F.col(f"max_{r}")), place))
-    order = bounds.groupBy("pu").agg(F.min(F.least(*failed)).alias("place")).where("place IS NOT NULL")
-    chosen = order.select(
+    return bounds.groupBy("pu").agg(F.min(F.least(*failed)).alias("place"))
+
+
+def _first_failed(keys: _Keys, slots: DataFrame, located: DataFrame, shared: DataFrame, lanes: int) -> DataFrame:
+    """First failed check of each PU: (pu, scope, role, lane).
+
+    Partitions come first in the cascade, so the whole PU is counted only for PUs whose partitions are all balanced. Slots
+    move to their partition as they are and become keys there: a partition has at most a slot per container.
+    """
+    scoped = keys.placed(slots.select("pu", "partition_id", "container_id", *ROLES), located).withColumn(
+        "scope", F.col("partition_id").cast("bigint")).repartition("pu", "scope")
+    parts = written(_failed_places(keys.keyed(scoped, shared), lanes))
+    balanced = written(parts.where("place IS NULL").select("pu"))
+    rest = slots.select("pu", "container_id", *ROLES).join(balanced, "pu", "left_semi").withColumn("scope", F.lit(WHOLE))
+    whole = _failed_places(keys.keyed(keys.placed(rest, located), shared), lanes)
+    return parts.unionByName(whole).where("place IS NOT NULL").select(
         "pu", F.expr(f"place div {lanes * len(ROLES)}").alias("scope"),
         F.expr(f"cast((place div {lanes}) % {len(ROLES)} as int)").alias("role"),
         F.expr(f"cast(place % {lanes} as int)").alias("lane"),
     )
-    return chosen.join(sizes, ["pu", "lane"], "left").fillna(0, ["n_keys"])
 
 
 def _occupied_stats(nonzero: DataFrame, *extra: str) -> DataFrame:
@@ -260,12 +330,20 @@ def rebalance_step(
     all_slots = written(slot_counts(facts, first_out))
     slots = all_slots if pus is None else all_slots.join(pus, "pu", "left_semi")
     keys = _Keys(wanted, container, groups)
-    held = written(keys.held(container, slots))
+    located, shared = keys.places(container)
 
-    # one small row per PU; written once because four joins below read it
-    first = _first_failed(held, keys.per_pu(), len(groups) + 2)
+    # one small row per PU; written once because the joins below read it
+    first = written(_first_failed(keys, slots, located, shared, len(groups) + 2))
+    whole = F.col("scope") == WHOLE
+    in_scope = whole | (F.col("partition_id") == F.col("scope"))
+    # all that the rest needs of the slots: those of the failed scope, and for the container axis all of the PU
+    mine = written(slots.join(first.select("pu", "scope", F.col("lane").alias("only_lane")), "pu").where(
+        in_scope | (F.col("only_lane") == len(groups) + 1)))
+    held = keys.keyed(
+        keys.placed(mine.where(in_scope).select("pu", "scope", "only_lane", "container_id", *ROLES), located), shared)
+    sizes = keys.per_pu().select("pu", "lane", "n_keys")
     taken = written(
-        held.join(first, ["pu", "scope", "lane"])
+        held.drop("n_keys").join(first.join(sizes, ["pu", "lane"], "left").fillna(0, ["n_keys"]), ["pu", "scope", "lane"])
         .withColumn("n", F.element_at(F.array(*[F.col(r).cast("bigint") for r in ROLES]), F.col("role") + 1))
         .where("n > 0")
         .select(*_CHECK, "n_keys", "key", "offered", "n")
@@ -273,11 +351,8 @@ def rebalance_step(
     stats = _minimum(_occupied_stats(taken, "n_keys"))
     chosen = written(_with_min_key(stats, taken, keys).withColumn("axis", _axis(F.col("lane"), groups)))
 
-    whole = F.col("scope") == WHOLE
-    in_scope = whole | (F.col("partition_id") == F.col("scope"))
-    located = slots.join(container.select("container_id", "host", "zones"), "container_id").join(
-        chosen.select("pu", "scope", "axis", "max_key", "min_key"), "pu"
-    )
+    standing = mine.join(chosen.select("pu", "axis", "max_key", "min_key"), "pu").join(
+        container.select("container_id", "host", "zones"), "container_id")
     at = {
         "ZONE": lambda key: F.array_contains("zones", F.col(key)),
         "MACHINE": lambda key: F.col("host") == F.col(key),
@@ -289,11 +364,11 @@ def rebalance_step(
 
     # partitions already on the min key are out; the container axis looks at the scope only,
     # while its candidates are not limited to the scope; the zone axis excludes nothing
-    barred = located.where(
+    barred = standing.where(
         ((F.col("axis") == "MACHINE") & on("min_key")) | ((F.col("axis") == "CONTAINER") & on("min_key") & in_scope)
     ).select("pu", "partition_id").distinct()
     sources = (
-        located.where(on("max_key") & (in_scope | (F.col("axis") == "CONTAINER")))
+        standing.where(on("max_key") & (in_scope | (F.col("axis") == "CONTAINER")))
         .select("pu", "partition_id", "container_id", "first_out")
         .join(barred, ["pu", "partition_id"], "left_anti")
     )

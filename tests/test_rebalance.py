@@ -127,6 +127,40 @@ def test_step_limited_to_some_pus(spark):
     assert {r.pu: r for r in R.rebalance_plan(pu, container, facts, GROUPS, only).collect()} == {p: every[p] for p in some}
 
 
+def test_whole_pu_is_counted_only_where_partitions_balance(spark, monkeypatch):
+    containers = {"m1~1": box("m1"), "m1~2": box("m1"), "m2~1": box("m2"), "m2~2": box("m2")}
+    instances = [inst("i1", "p", 1, "m1~1"), inst("i2", "p", 1, "m1~2"), inst("j1", "q", 1, "m1~1"), inst("j2", "q", 2, "m1~2")]
+    counted, plain = [], R._failed_places
+
+    def watched(held, lanes):
+        counted.append(sorted(r.pu for r in held.select("pu").distinct().collect()))
+        return plain(held, lanes)
+
+    monkeypatch.setattr(R, "_failed_places", watched)
+    moves = R.rebalance_plan(*fleet(spark, containers, instances, {"p": [], "q": []})).collect()
+    assert sorted((m.pu, m.partition_id, m.axis, m.instance_id, m.to_key) for m in moves) == [
+        ("p", 1, "MACHINE", "i1", "m2"), ("q", None, "MACHINE", "j1", "m2")]
+    assert counted == [["p", "q"], ["q"]]
+
+
+def test_keys_of_slots_match_the_counts_of_the_checks(spark):
+    """Also for containers listed twice, slots without a partition and PUs without a row of their own."""
+    containers, instances, pus = random_fleet(3)
+    instances += [inst("x1", "none", 0, "c00"), inst("x2", "p1", None, "c01"), inst("x3", "p1", 0, None)]
+    pu, container, facts = fleet(spark, containers, instances, pus)
+    container = container.union(spark.createDataFrame([("c00", "h9", "10.9", ["Z3"]), ("c01", None, None, None)], CONTAINER))
+    keys, slots = R._Keys(pu, container, GROUPS), R.slot_counts(facts)
+    located, shared = keys.places(container)
+    columns = ["pu", "scope", "lane", "key", "offered", "total", "primary", "backup"]
+    parts = slots.withColumn("scope", F.col("partition_id").cast("bigint"))
+    both = parts.unionByName(slots.withColumn("scope", F.lit(R.WHOLE)))
+    got = keys.keyed(keys.placed(both, located), shared)
+    expected = keys.held(container, slots)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert order(got.select(columns).collect()) == order(expected.select(columns).collect())
+    assert expected.count() > 100
+
+
 def test_zone_group_validation(spark):
     assert R.zone_groups([["b", "a", "a"]]) == [["a", "b"]]
     assert R.zone_groups([["a", "a"]]) == [["a"]]
