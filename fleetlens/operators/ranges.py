@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .counts import AXES, ROLES, axis_keys, by_role, held_counts
+from .counts import AXES, ROLES, WHOLE, axis_keys, by_role, slot_counts
 from .ordering import ordinal_within
 from .placement import eligible_containers, requirement
 
@@ -27,6 +27,31 @@ def numbered_keys(pu: DataFrame, container: DataFrame, axes: Sequence[str] = AXE
     return ordinal_within(keys, ["required_zones", "axis"], ["key"], "place")
 
 
+def _held(container: DataFrame, facts: DataFrame, by_partition: bool, axes: Sequence[str]) -> DataFrame:
+    """The rows of ``held_counts``. Slots become keys only where the slots of their counters meet.
+
+    A whole PU or a partition has at most one slot per container there. Counted ahead of that, nearly every key of a small PU
+    was a row of its own in the memory of each task. The number of tasks is given, since AQE would merge them by the size of
+    the slots.
+    """
+    spark = facts.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sums = [F.sum(r).alias(r) for r in ROLES]
+    by = ["pu"]
+    if by_partition:
+        by = ["pu", "scope"]
+        parts = written(slot_counts(facts))
+        whole = parts.groupBy("pu", "container_id").agg(*sums).withColumn("scope", F.lit(WHOLE))
+        slots = parts.withColumn("scope", F.col("partition_id").cast("bigint")).drop("partition_id").unionByName(whole)
+    else:
+        slots = slot_counts(facts.withColumn("partition_id", F.lit(WHOLE))).drop("partition_id")
+    keys = written(container.select("container_id", axis_keys(axes).alias("_keys")))
+    rows = slots.repartition(tasks, *by).join(keys, "container_id").select(*by, *ROLES, F.explode("_keys").alias("_key"))
+    held = rows.select(*by, *ROLES, "_key.axis", "_key.key").groupBy(*by, "axis", "key").agg(*sums)
+    scope = F.when(F.col("scope") != WHOLE, F.col("scope")) if by_partition else F.lit(None).cast("bigint")
+    return held.select("pu", scope.alias("partition_id"), "axis", "key", *ROLES)
+
+
 def count_ranges(
     pu: DataFrame, container: DataFrame, facts: DataFrame, by_partition: bool = False, axes: Sequence[str] = AXES
 ) -> DataFrame:
@@ -35,7 +60,7 @@ def count_ranges(
     An occupied key is a row of its own (n above 0, eligible or not); a row with n = 0 stands for all free keys from
     first_key to last_key in the order of the requirement set.
     """
-    held = written(by_role(held_counts(container, facts, by_partition, axes)))
+    held = written(by_role(_held(container, facts, by_partition, axes)))
     keys = written(numbered_keys(pu, container, axes))
     sizes = keys.groupBy("required_zones", "axis").agg(F.count("*").alias("place"))
     sets = requirement(pu).select("pu", "required_zones")

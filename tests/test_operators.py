@@ -299,3 +299,22 @@ def test_shared_spread_over_blocks(spark):
 
 def itertools_pairs(rows):
     return zip(rows, rows[1:], strict=False)
+
+
+@pytest.mark.parametrize("by_partition", [False, True])
+def test_held_keys_of_ranges(spark, by_partition):
+    """The rows of held_counts, where no row per key is moved: slots are."""
+    from fleetlens.operators import counts, ranges
+
+    container = spark.createDataFrame(
+        [("a", "h1", ["z1", "z2"]), ("b", "h1", ["z2"]), ("c", "h2", None), ("a", "h3", ["z1"])], "container_id string, host string, zones array<string>").coalesce(1)
+    facts = spark.createDataFrame(
+        [(f"p{n % 50}", None if n == 5 else n % 3, "abcx"[n % 4], n % 7 == 0, n % 7 == 1) for n in range(900)],
+        "pu string, partition_id int, container_id string, is_primary boolean, is_backup boolean")
+    held = ranges._held(container, facts, by_partition, counts.AXES)
+    expected = counts.held_counts(container, facts, by_partition)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert held.columns == expected.columns and order(held.collect()) == order(expected.collect())
+    plan = held._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    generate = next(i for i, x in enumerate(plan) if "Generate" in x)
+    assert not any("Exchange hashpartitioning" in x for x in plan[:generate])
