@@ -26,6 +26,7 @@ import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -95,12 +96,17 @@ class WordEncoder:
     def _word(self, word: str) -> list[int] | None:
         """Ids of a word of letters and closing punctuation, None for others."""
         body = word.rstrip(_CLOSING)
-        if not body.isalpha() or not (body.isascii() or ("\u03a3" not in body and unicodedata.is_normalized("NFC", body))):
+        if not body.isalpha():
             return None
         small = body.lower()
-        if not small.isalpha():
-            return None
-        ids = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(_CHARACTERS))]
+        if not small.isascii() or not body.isascii():
+            if "\u03a3" in body or not small.isalpha() or not unicodedata.is_normalized("NFC", body):
+                return None
+            small = small.encode().decode("latin-1").translate(_CHARACTERS)
+        # letters of ASCII stand for themselves in the vocabulary
+        ids = [t.id for t in self.model.tokenize(small)]
+        if len(body) == len(word):
+            return ids
         tail = word[len(body):]
         if tail not in self.closing:
             if len(self.closing) > 10_000:
@@ -108,32 +114,45 @@ class WordEncoder:
             self.closing[tail] = self._whole([tail])[0]
         return ids + self.closing[tail]
 
-    def _learn(self, words: list[str]) -> None:
-        fresh = [w for w in dict.fromkeys(words) if w not in self.place]
-        if not fresh:
-            return
-        if len(self.place) + len(fresh) > REMEMBERED:
-            self.forget()
-            fresh = list(dict.fromkeys(words))
-        got = [self._word(w) if self.plain else None for w in fresh]
-        rest = [i for i, g in enumerate(got) if g is None]
-        for i, ids in zip(rest, self._whole([fresh[i] for i in rest]), strict=True):
-            got[i] = ids
-        sizes = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+    def _learn(self, fresh: list[str]) -> None:
+        """Remember distinct words that are not known yet."""
+        plain, rest, sizes, flat = [], [], [], []
+        for word in fresh:
+            ids = self._word(word) if self.plain else None
+            if ids is None:
+                rest.append(word)
+            else:
+                plain.append(word)
+                sizes.append(len(ids))
+                flat += ids
+        for ids in self._whole(rest):
+            sizes.append(len(ids))
+            flat += ids
+        self.place.update(zip(chain(plain, rest), range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        sizes, flat = np.array(sizes, np.int64), np.array(flat, np.uint32)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; words are learned for many texts at once."""
+        """Ids of each text; words are looked up and learned for many texts at once."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        self._learn([w for words in split for w in words])
-        return [self._known(words) for words in split]
-
-    def _known(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = [words[i] for i in unknown.tolist()]
+            fresh = list(dict.fromkeys(missing))
+            if len(self.place) + len(fresh) > REMEMBERED:
+                self.forget()
+                missing, unknown = words, slice(None)
+                fresh = list(dict.fromkeys(missing))
+            self._learn(fresh)
+            at[unknown] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
+        ends = np.cumsum([len(x) for x in split])
+        return [self._known(at[end - len(x):end]) for x, end in zip(split, ends, strict=True)]
+
+    def _known(self, at: np.ndarray) -> np.ndarray:
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

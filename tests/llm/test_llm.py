@@ -334,3 +334,18 @@ def test_languages_held_out(spark, documents):
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, FOLDER).orderBy("start").collect()
     assert rows and [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
+
+
+def test_words_are_learned_once(monkeypatch):
+    """Only distinct words not known yet are given to the model, also when the memory is full; ids are the library's."""
+    texts = ["Plain words, plain WORDS.", None, "", "Straße ΣΟΦΟΣ K İstanbul café x1 日本語!", "plain  new\nwords."]
+    plain = records.tokenizer(records.VOCABULARY)
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    words, learned = records.WordEncoder(records.VOCABULARY), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda fresh: (learned.append(list(fresh)), learn(fresh)))
+    assert [x.tolist() for x in words.encode_all(texts)] == expected
+    assert [x.tolist() for x in words.encode_all(texts + ["other words"])] == [*expected, plain.encode("other words", add_special_tokens=False).ids]
+    assert len(learned) == 2 and len(set(learned[0])) == len(learned[0]) and learned[1] == ["other", "words"]
+    monkeypatch.setattr(records, "REMEMBERED", 3)
+    assert [x.tolist() for x in words.encode_all(["fresh plain words, again"] + texts)][1:] == expected
