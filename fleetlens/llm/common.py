@@ -36,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound so that a worker's memory stays bounded."""
 
-    LIMIT = 500_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -69,9 +69,45 @@ def ship(spark: SparkSession) -> None:
     context._fleetlens_shipped = True
 
 
-def in_arrow(df: DataFrame, function: Callable[[Iterable], Iterable], schema) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(name: str, made: Callable[[], object]):
+    """What tasks of one worker share under ``name``, made by the first that asks."""
+    if name not in _REMEMBERED:
+        _REMEMBERED[name] = made()
+    return _REMEMBERED[name]
+
+
+def forget_others(name: str) -> None:
+    """Drop what earlier tasks of this worker remembered, but for ``name``."""
+    for other in [x for x in _REMEMBERED if x != name]:
+        del _REMEMBERED[other]
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterable], Iterable], schema, keeps: str = "") -> DataFrame:
+    """``keeps`` names what the tasks share by ``remembered``; workers are used again by other operators, whose memory goes.
+
+    Unless the session says otherwise, Arrow batches are bounded by BATCH_BYTES, as texts have no common length.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+    def run(batches):
+        forget_others(keeps)
+        return function(batches)
+
+    return df.mapInArrow(run, schema)
+
+
+def in_parts(batches: Iterable, rows: int = 500) -> Iterable:
+    """Slices of the batches, so that a worker's objects do not grow with the rows Spark puts into a batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def in_groups(df: DataFrame, keys: list[str], function: Callable, schema) -> DataFrame:

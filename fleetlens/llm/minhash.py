@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WordHashes, components, in_arrow, in_groups, mixed, words_of
+from .common import WordHashes, components, in_arrow, in_groups, in_parts, mixed, words_of
 
 K, RARE, SHARE, SPREAD, SALT = 24, 32, 0.4, 8, 16
 BLOCK_VALUES = 400_000
@@ -59,7 +59,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = [shingle_hashes(known.of(words_of(t)), width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -76,7 +76,7 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = [shingle_hashes(known.of(words_of(t)), width) for t in batch.column(0).to_pylist()]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([

@@ -25,7 +25,6 @@ import struct
 import unicodedata
 import uuid
 import zlib
-from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -34,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import application_folder
-from .common import in_arrow
+from .common import in_arrow, in_parts, remembered
 
 END_ID, RECORDS_PER_FILE = 2, 4096
-REMEMBERED = 1_200_000
+REMEMBERED, AT_ONCE = 690_000, 2048
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -46,7 +45,6 @@ def masked(data: bytes) -> int:
     return (((value >> 15) | (value << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-@lru_cache(maxsize=2)
 def tokenizer(vocabulary: str):
     """Tokenizer of a public vocabulary name or of a file path, one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,14 +61,11 @@ def tokenizer(vocabulary: str):
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 _CLOSING = ".,;:!?"
-_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(vocabulary: str) -> WordEncoder:
     """The worker's encoder; it outlives a task, so that words are not encoded again by each."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return remembered(f"encoder {vocabulary}", lambda: WordEncoder(vocabulary))
 
 
 class WordEncoder:
@@ -89,9 +84,24 @@ class WordEncoder:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = np.empty(0, bool)
+
+    def _keep_used(self) -> None:
+        """Forget the words that no later texts held since the last time; all words where that frees little."""
+        kept = np.flatnonzero(self.used)
+        if 4 * len(kept) > 3 * REMEMBERED:
+            self.forget()
+            return
+        words = list(self.place)
+        self.place = {words[i]: place for place, i in enumerate(kept.tolist())}
+        self.ids, self.sizes = self._known(kept), self.sizes[kept]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.used = np.zeros(len(kept), bool)
 
     def _whole(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # the library's results take about a kilobyte a word
+        parts = (words[start:start + AT_ONCE] for start in range(0, len(words), AT_ONCE))
+        return [e.ids for part in parts for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
 
     def _word(self, word: str) -> list[int] | None:
         """Ids of a word of letters and closing punctuation, None for others."""
@@ -133,20 +143,25 @@ class WordEncoder:
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), bool)])
+
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+        """Place of each word (-1: unknown), which are unknown, these words and the distinct ones of them."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(at < 0)
+        missing = [words[i] for i in unknown.tolist()]
+        return at, unknown, missing, list(dict.fromkeys(missing))
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; words are looked up and learned for many texts at once."""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         words = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            missing = [words[i] for i in unknown.tolist()]
-            fresh = list(dict.fromkeys(missing))
+        at, unknown, missing, fresh = self._places(words)
+        self.used[at[at >= 0]] = True
+        if fresh:
             if len(self.place) + len(fresh) > REMEMBERED:
-                self.forget()
-                missing, unknown = words, slice(None)
-                fresh = list(dict.fromkeys(missing))
+                self._keep_used()
+                at, unknown, missing, fresh = self._places(words)
             self._learn(fresh)
             at[unknown] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
         ends = np.cumsum([len(x) for x in split])
@@ -186,16 +201,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, en
 
     def run(batches):
         words = encoder(vocabulary)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                ids = words.encode_all(part.column(1).to_pylist())
-                frames = [frame(i, np.append(x, np.uint32(end_id))) for i, x in zip(part.column(0).to_pylist(), ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+        for batch in in_parts(batches):
+            ids = words.encode_all(batch.column(1).to_pylist())
+            frames = [frame(i, np.append(x, np.uint32(end_id))) for i, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    in_arrow(ordered, run, "frame binary").select(F.col("frame").cast("string")).write.option(
+    in_arrow(ordered, run, "frame binary", keeps=f"encoder {vocabulary}").select(F.col("frame").cast("string")).write.option(
         "lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(f"{folder}/data")
 
 
