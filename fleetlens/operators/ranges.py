@@ -97,6 +97,15 @@ def _placed_keys(
         *shape, "axis", "key", *none, "end").agg(*[F.sum(r).cast("bigint").alias(r) for r in ROLES])
 
 
+def _held(container: DataFrame, facts: DataFrame, by_partition: bool, axes: Sequence[str]) -> DataFrame:
+    """The rows of ``held_counts``: the occupied keys alone, where no PU has a requirement set."""
+    spark = facts.sparkSession
+    pu = spark.createDataFrame([], "pu string, required_zones array<string>")
+    keys = spark.createDataFrame([], "required_zones array<string>, axis string, key string, place bigint, prev string, next string")
+    rows = _placed_keys(pu, container, facts, keys, by_partition, axes).where("NOT end")
+    return rows.select("pu", "partition_id", "axis", "key", *ROLES)
+
+
 def count_ranges(
     pu: DataFrame, container: DataFrame, facts: DataFrame, by_partition: bool = False, axes: Sequence[str] = AXES
 ) -> DataFrame:
